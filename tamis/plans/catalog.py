@@ -29,6 +29,22 @@ def queries() -> dict:
         "bank_by_type": Q.bank_by_type,
         "bank_size": Q.bank_size_q,
         "word_bank_csv": Q.word_bank_csv,
+        "parse_standard": Q.parse_standard_q,
+        "parse_dify": Q.parse_dify_q,
+        "render_standard": Q.render_standard_q,
+        "render_dify": Q.render_dify_q,
+        "render_dify_documented": Q.render_dify_documented,
+        "hit_counts": Q.hit_counts_q,
+        "hit_counts_rollup": Q.hit_counts_rollup,
+        "top_words": Q.top_words_q,
+        "gauge_last": Q.gauge_last,
+        "gauge_level": Q.gauge_level,
+        "value_histogram": Q.value_histogram,
+        "flag_rate_windows": Q.flag_rate_windows,
+        "flag_rate_sliding": Q.flag_rate_sliding,
+        "stream_moderate": Q.stream_moderate,
+        "quota_audit": Q.quota_audit_q,
+        "custom_matcher": Q.custom_matcher,
     }
 
 

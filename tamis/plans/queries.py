@@ -218,3 +218,155 @@ def word_bank_csv(spark, d):
             .select("word", "type", "severity", "action",
                     F.coalesce("n_docs", F.lit(0).cast("long")).alias("n_docs"),
                     F.lit(n_bad).cast("long").alias("n_bad")))
+
+
+# ----------------------------------------------------------------------- requests / responses
+
+def standard_requests(spark, d) -> DataFrame:
+    """Request bodies built from conversation turns: good ones, a bad point, a missing
+    text and a text of the wrong JSON type (the shape varies with the turn)."""
+    c = read(spark, d, "conversations")
+    v = F.col("turn") % 5
+    t = F.col("text")
+    req = (F.when(v == 0, F.to_json(F.struct(t.alias("text"), F.lit("input").alias("point"),
+                                             F.concat(F.lit("app-"), F.col("conv_id")).alias("app_id"))))
+           .when(v == 1, F.to_json(F.struct(t.alias("text"), F.lit("output").alias("point"))))
+           .when(v == 2, F.to_json(F.struct(t.alias("text"), F.col("role").alias("point"))))
+           .when(v == 3, F.to_json(F.struct(F.lit("input").alias("point"))))
+           .otherwise(F.to_json(F.struct(F.length(t).alias("text")))))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), req.alias("request"))
+
+
+def dify_requests(spark, d) -> DataFrame:
+    c = read(spark, d, "conversations")
+    v = F.col("turn") % 5
+    t = F.col("text")
+    app = F.concat(F.lit("app-"), F.col("conv_id"))
+    req = (F.when(v == 0, F.to_json(F.struct(F.lit(fixed.DIFY_POINT_INPUT).alias("point"),
+                                             F.struct(app.alias("app_id"), t.alias("query")).alias("params"))))
+           .when(v == 1, F.to_json(F.struct(F.lit(fixed.DIFY_POINT_OUTPUT).alias("point"),
+                                            F.struct(t.alias("text")).alias("params"))))
+           .when(v == 2, F.to_json(F.struct(F.concat(F.lit("app.moderation."), F.col("role")).alias("point"))))
+           .when(v == 3, F.to_json(F.struct(F.struct(t.alias("query")).alias("params"))))
+           .otherwise(F.to_json(F.struct(F.lit(fixed.DIFY_POINT_INPUT).alias("point"),
+                                         F.struct(t.alias("text")).alias("params")))))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), req.alias("request"))
+
+
+def parse_standard_q(spark, d):
+    from tamis.sources.requests import parse_standard
+    return parse_standard(standard_requests(spark, d)).drop("request")
+
+
+def parse_dify_q(spark, d):
+    from tamis.sources.requests import parse_dify
+    return parse_dify(dify_requests(spark, d)).drop("request")
+
+
+def render_dify_q(spark, d, style: str = "code"):
+    from tamis.sources.requests import parse_dify
+    from tamis.sources.render import render_dify
+    p = parse_dify(dify_requests(spark, d))
+    r = moderate(p, [KeywordMatcher(DOC_BANK)], mode="chain", keep=("error",))
+    body = F.when(F.col("error").isNotNull(), F.to_json(F.struct(F.col("error").alias("error")))) \
+        .otherwise(render_dify(F.col("flagged"), style=style))
+    return r.select("id", body.alias("response"))
+
+
+def render_dify_documented(spark, d):
+    return render_dify_q(spark, d, style="documented")
+
+
+def render_standard_q(spark, d):
+    from tamis.sources.requests import parse_standard
+    from tamis.sources.render import render_standard
+    p = parse_standard(standard_requests(spark, d))
+    r = moderate(p, [KeywordMatcher(DOC_BANK)], mode="chain", keep=("error",))
+    body = F.when(F.col("error").isNotNull(), F.to_json(F.struct(F.col("error").alias("error")))) \
+        .otherwise(render_standard(F.col("flagged"), F.col("action"), F.col("hits")))
+    return r.select("id", body.alias("response"))
+
+
+# ----------------------------------------------------------------------- reports
+
+def _kw_hits_flat(spark, d):
+    return match_keywords(docs(spark, d), DOC_BANK, id_col="doc_id")
+
+
+def hit_counts_q(spark, d):
+    from tamis.operators.report import hit_counts
+    return hit_counts(_kw_hits_flat(spark, d), by=("type", "severity"))
+
+
+def hit_counts_rollup(spark, d):
+    from tamis.operators.report import hit_counts
+    return hit_counts(_kw_hits_flat(spark, d), by=("type", "word"), subtotals="rollup")
+
+
+def top_words_q(spark, d):
+    from tamis.operators.report import top_words
+    return top_words(_kw_hits_flat(spark, d), k=2, by="type").select("type", "word", "n", "rk")
+
+
+def gauge_last(spark, d):
+    from tamis.operators.report import last_value
+    ev = read(spark, d, "events")
+    return last_value(ev, "user_id", "ts", "value", tiebreak="event_id").select(
+        "user_id", "last_value", "n_events")
+
+
+def gauge_level(spark, d):
+    from tamis.operators.report import running_level
+    ev = read(spark, d, "events")
+    return running_level(ev, "user_id", "ts", "value", tiebreak="event_id").select(
+        "event_id", "user_id", F.col("level").cast("double").alias("level"))
+
+
+def value_histogram(spark, d):
+    from tamis.operators.report import histogram
+    from tamis.plans.fixtures import VALUE_BUCKETS
+    return histogram(read(spark, d, "events"), "value", VALUE_BUCKETS, by=("event_type",))
+
+
+def flag_rate_windows(spark, d):
+    from tamis.operators.report import flag_rate
+    r = flag_rate(read(spark, d, "events"), "ts", F.col("event_type") == "error", window="1 hour")
+    return r.select(F.unix_seconds(F.col("window_start").cast("timestamp")).alias("window_start"), "n_events", "n_flagged", "rate")
+
+
+def flag_rate_sliding(spark, d):
+    from tamis.operators.report import flag_rate
+    r = flag_rate(read(spark, d, "events"), "ts", F.col("event_type") == "error", window="3 hours",
+                  slide="1 hour")
+    return r.select(F.unix_seconds(F.col("window_start").cast("timestamp")).alias("window_start"), "n_events", "n_flagged", "rate")
+
+
+# ----------------------------------------------------------------------- streams and user matchers
+
+def stream_moderate(spark, d):
+    from tamis.streaming.moderate import moderate_stream, run_available_now
+    schema = read(spark, d, "documents").schema
+    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(d))
+    verdicts = moderate_stream(stream.select("doc_id", "text"), doc_matchers(spark), mode="chain",
+                               id_col="doc_id")
+    out = verdicts.select(F.col("id").alias("doc_id"), "flagged", "action",
+                          F.size("hits").cast("long").alias("n_hits"),
+                          F.get(F.col("hits"), 0)["matcher"].alias("decided_by"))
+    return spark.read.parquet(run_available_now(spark, out, "stream_moderate"))
+
+
+def quota_audit_q(spark, d):
+    from tamis.streaming.quota import quota_audit
+    from tamis.plans.fixtures import QUOTA_RATE, QUOTA_CAPACITY
+    r = quota_audit(read(spark, d, "events"), "user_id", "ts", QUOTA_RATE, QUOTA_CAPACITY, tiebreak="event_id")
+    return r.select(F.col("tiebreak").alias("event_id"), F.col("key").alias("user_id"), "admitted")
+
+
+def custom_matcher(spark, d):
+    from tamis.operators.registry import python_find_matcher, get_matcher
+    python_find_matcher(DOC_BANK)
+    m = get_matcher("python_find")
+    r = moderate(docs(spark, d), [m], mode="parallel", id_col="doc_id")
+    return r.select(F.col("id").alias("doc_id"), F.inline("hits")).select(
+        "doc_id", "word", "type", "severity", "idx", "len")

@@ -151,3 +151,196 @@ per AS (SELECT b.word, count(DISTINCT d.doc_id) AS n_docs FROM documents d JOIN
 SELECT b.word, b.type, b.severity, b.action, CAST(coalesce(per.n_docs, 0) AS BIGINT) AS n_docs,
        CAST(2 AS BIGINT) AS n_bad
 FROM bank b LEFT JOIN per ON per.word = b.word"""
+
+# ----------------------------------------------------------------------- requests / responses
+
+_STD_REQ = """req AS (
+  SELECT conv_id * 1000 + turn AS id, CAST(CASE turn % 5
+    WHEN 0 THEN json_object('text', text, 'point', 'input', 'app_id', 'app-' || conv_id)
+    WHEN 1 THEN json_object('text', text, 'point', 'output')
+    WHEN 2 THEN json_object('text', text, 'point', role)
+    WHEN 3 THEN json_object('point', 'input')
+    ELSE json_object('text', length(text)) END AS VARCHAR) AS request
+  FROM conversations)"""
+
+_STD_PARSE = _STD_REQ + f""",
+p AS (
+  SELECT id, request, json_valid(request) AND json_type(request) = 'OBJECT' AS is_obj,
+         coalesce(json_type(request, '$.text'), 'NULL') IN ('VARCHAR', 'NULL')
+         AND coalesce(json_type(request, '$.point'), 'NULL') IN ('VARCHAR', 'NULL')
+         AND coalesce(json_type(request, '$.app_id'), 'NULL') IN ('VARCHAR', 'NULL') AS types_ok,
+         coalesce(json_extract_string(request, '$.text'), '') AS text,
+         coalesce(json_extract_string(request, '$.point'), '') AS point,
+         coalesce(json_extract_string(request, '$.app_id'), '') AS app_id
+  FROM req),
+e AS (
+  SELECT *, CASE WHEN NOT (is_obj AND types_ok) OR text = '' THEN {_q(fixed.MSG_TEXT_REQUIRED)}
+                 WHEN point NOT IN ('', 'input', 'output') THEN {_q(fixed.MSG_BAD_POINT)} END AS err
+  FROM p),
+parsed AS (
+  SELECT id, CASE WHEN err IS NULL THEN text END AS text,
+         CASE WHEN err IS NULL THEN CASE WHEN point = 'output' THEN 'output' ELSE 'input' END END AS point,
+         CASE WHEN err IS NULL THEN app_id END AS app_id,
+         CASE WHEN err IS NOT NULL THEN {_q(fixed.ERR_INVALID_INPUT)} END AS error_code, err AS error
+  FROM e)"""
+
+SQL["parse_standard"] = "WITH " + _STD_PARSE + "\nSELECT * FROM parsed"
+
+_DIFY_REQ = f"""req AS (
+  SELECT conv_id * 1000 + turn AS id, CAST(CASE turn % 5
+    WHEN 0 THEN json_object('point', {_q(fixed.DIFY_POINT_INPUT)}, 'params', json_object('app_id', 'app-' || conv_id, 'query', text))
+    WHEN 1 THEN json_object('point', {_q(fixed.DIFY_POINT_OUTPUT)}, 'params', json_object('text', text))
+    WHEN 2 THEN json_object('point', 'app.moderation.' || role)
+    WHEN 3 THEN json_object('params', json_object('query', text))
+    ELSE json_object('point', {_q(fixed.DIFY_POINT_INPUT)}, 'params', json_object('text', text)) END AS VARCHAR) AS request
+  FROM conversations)"""
+
+
+def _vs(path):
+    return f"coalesce(json_type(request, '{path}'), 'NULL') IN ('VARCHAR', 'NULL')"
+
+
+_DIFY_PARSE = _DIFY_REQ + f""",
+p AS (
+  SELECT id, json_valid(request) AND json_type(request) = 'OBJECT'
+         AND {_vs('$.point')} AND coalesce(json_type(request, '$.params'), 'NULL') IN ('OBJECT', 'NULL')
+         AND {_vs('$.params.app_id')} AND {_vs('$.params.query')} AND {_vs('$.params.text')} AS bind_ok,
+         coalesce(json_extract_string(request, '$.point'), '') AS point,
+         coalesce(CASE WHEN json_extract_string(request, '$.point') = {_q(fixed.DIFY_POINT_INPUT)}
+                       THEN json_extract_string(request, '$.params.query')
+                       ELSE json_extract_string(request, '$.params.text') END, '') AS text,
+         coalesce(json_extract_string(request, '$.params.app_id'), '') AS app_id
+  FROM req),
+e AS (
+  SELECT *, CASE WHEN NOT bind_ok THEN {_q(fixed.MSG_BAD_BODY)}
+                 WHEN point = '' THEN {_q(fixed.MSG_POINT_REQUIRED)}
+                 WHEN point NOT IN ({_q(fixed.DIFY_POINT_INPUT)}, {_q(fixed.DIFY_POINT_OUTPUT)})
+                   THEN {_q(fixed.MSG_UNSUPPORTED_POINT)} || point
+                 WHEN text = '' THEN {_q(fixed.MSG_TEXT_REQUIRED)} END AS err
+  FROM p),
+parsed AS (
+  SELECT id, CASE WHEN err IS NULL THEN text END AS text,
+         CASE WHEN err IS NULL THEN CASE WHEN point = {_q(fixed.DIFY_POINT_INPUT)} THEN 'input' ELSE 'output' END END AS point,
+         CASE WHEN err IS NULL THEN app_id END AS app_id,
+         CASE WHEN err IS NOT NULL THEN {_q(fixed.ERR_INVALID_INPUT)} END AS error_code, err AS error
+  FROM e)"""
+
+SQL["parse_dify"] = "WITH " + _DIFY_PARSE + "\nSELECT * FROM parsed"
+
+
+def _render_dify_sql(documented: bool) -> str:
+    if documented:
+        flagged = (f"json_object('flagged', true, 'action', {_q(fixed.DIFY_DOC_ACTION_FLAGGED)}, "
+                   f"'preset_response', {_q(fixed.DIFY_DOC_PRESET)})")
+        clean = f"json_object('flagged', false, 'action', {_q(fixed.DIFY_ACTION)}, 'preset_response', '')"
+    else:
+        flagged = (f"json_object('flagged', true, 'action', {_q(fixed.DIFY_ACTION)}, "
+                   f"'preset_response', {_q(fixed.DIFY_PRESET)})")
+        clean = f"json_object('flagged', false, 'action', {_q(fixed.DIFY_ACTION)})"
+    return f"WITH {BANK}, " + _DIFY_PARSE + "," + kw_hits_cte("parsed", "id", "text")[1:] + f""",
+k AS (SELECT id, count(*) AS n FROM kw GROUP BY id)
+SELECT p.id, CAST(CASE WHEN p.error IS NOT NULL THEN json_object('error', p.error)
+                       WHEN k.n IS NOT NULL THEN {flagged} ELSE {clean} END AS VARCHAR) AS response
+FROM parsed p LEFT JOIN k ON k.id = p.id"""
+
+
+SQL["render_dify"] = _render_dify_sql(False)
+SQL["render_dify_documented"] = _render_dify_sql(True)
+
+SQL["render_standard"] = f"WITH {BANK}, " + _STD_PARSE + "," + kw_hits_cte("parsed", "id", "text")[1:] + """,
+h AS (SELECT id, to_json(list(json_object('word', word, 'type', type, 'severity', severity, 'index', idx,
+                                           'length', len) ORDER BY idx + len, len DESC, word)) AS hits
+      FROM kw GROUP BY id)
+SELECT p.id, CAST(CASE WHEN p.error IS NOT NULL THEN json_object('error', p.error)
+                       WHEN h.hits IS NOT NULL THEN json_object('flagged', true, 'action', 'block', 'hits', h.hits)
+                       ELSE json_object('flagged', false, 'action', 'pass', 'hits', json('[]')) END AS VARCHAR) AS response
+FROM parsed p LEFT JOIN h ON h.id = p.id"""
+
+# ----------------------------------------------------------------------- reports
+
+SQL["hit_counts"] = _doc_kw() + """
+SELECT type, severity, count(*) AS n_hits, count(DISTINCT id) AS n_texts FROM kw GROUP BY type, severity"""
+
+SQL["hit_counts_rollup"] = _doc_kw() + """
+SELECT type, word, CAST(GROUPING(type, word) AS INTEGER) AS gid, count(*) AS n_hits, count(DISTINCT id) AS n_texts
+FROM kw GROUP BY ROLLUP(type, word)"""
+
+SQL["top_words"] = _doc_kw() + """
+SELECT type, word, n, CAST(rk AS INTEGER) AS rk FROM (
+  SELECT type, word, count(*) AS n, row_number() OVER (PARTITION BY type ORDER BY count(*) DESC, word) AS rk
+  FROM kw GROUP BY type, word) WHERE rk <= 2"""
+
+SQL["gauge_last"] = """
+SELECT user_id, first(value ORDER BY ts DESC, event_id DESC) AS last_value, count(*) AS n_events
+FROM events GROUP BY user_id"""
+
+SQL["gauge_level"] = """
+SELECT event_id, user_id, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER (
+         PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS level
+FROM events"""
+
+
+def _hist_sql() -> str:
+    from tamis.plans.fixtures import VALUE_BUCKETS
+    cols = []
+    for b in sorted(VALUE_BUCKETS):
+        name = ("le_" + (str(int(b)) if float(b).is_integer() else str(b))).replace(".", "_")
+        cols.append(f"CAST(count_if(value <= {float(b)}) AS BIGINT) AS {name}")
+    return ("SELECT event_type, " + ", ".join(cols) +
+            ", count(value) AS le_inf, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS sum, count(*) AS count"
+            " FROM events GROUP BY event_type")
+
+
+SQL["value_histogram"] = _hist_sql()
+
+SQL["flag_rate_windows"] = """
+SELECT CAST(epoch(b) AS BIGINT) AS window_start, count(*) AS n_events,
+       CAST(count_if(event_type = 'error') AS BIGINT) AS n_flagged,
+       CAST(count_if(event_type = 'error') AS BIGINT) / count(*) AS rate
+FROM (SELECT time_bucket(INTERVAL 1 hour, ts) AS b, event_type FROM events) GROUP BY b"""
+
+SQL["flag_rate_sliding"] = """
+SELECT CAST(epoch(b) AS BIGINT) AS window_start, count(*) AS n_events,
+       CAST(count_if(event_type = 'error') AS BIGINT) AS n_flagged,
+       CAST(count_if(event_type = 'error') AS BIGINT) / count(*) AS rate
+FROM (SELECT time_bucket(INTERVAL 1 hour, ts) - to_hours(k) AS b, event_type FROM events, range(0, 3) t(k))
+GROUP BY b"""
+
+# ----------------------------------------------------------------------- streams and user matchers
+
+SQL["stream_moderate"] = SQL["chain_verdict"]
+SQL["custom_matcher"] = SQL["keyword_first"]
+
+
+def _quota_sql() -> str:
+    from tamis.plans.fixtures import QUOTA_RATE, QUOTA_CAPACITY
+    rate, cap = repr(float(QUOTA_RATE)), f"CAST({float(QUOTA_CAPACITY)} AS DOUBLE)"
+
+    def adv(tok, last, has):
+        d = f"(e.t - {last})"
+        return (f"CASE WHEN {has} THEN least({cap}, {tok} + (CAST({d} // 1000000000 AS DOUBLE) "
+                f"+ CAST({d} % 1000000000 AS DOUBLE) / 1e9) * CAST({rate} AS DOUBLE)) ELSE {cap} END")
+
+    ok = ("(a - 1.0 >= 0 OR ({r} > 0 AND CAST(trunc(1e9 * (-(a - 1.0) / CAST({r} AS DOUBLE))) AS BIGINT) = 0))"
+          .format(r=rate))
+    if QUOTA_CAPACITY < 1:
+        ok = "false"
+    return f"""
+WITH RECURSIVE ev AS (
+  SELECT event_id, user_id, epoch_ns(ts) AS t,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+st AS (
+  SELECT user_id, rn, event_id, ok AS admitted,
+         CAST(CASE WHEN ok THEN a - 1.0 ELSE 0.0 END AS DOUBLE) AS tokens,
+         CASE WHEN ok THEN t ELSE 0 END AS last_t, ok AS has
+  FROM (SELECT e.*, {cap} AS a FROM ev e WHERE rn = 1) x, LATERAL (SELECT {ok} AS ok)
+  UNION ALL
+  SELECT user_id, rn, event_id, ok, CASE WHEN ok THEN a - 1.0 ELSE tokens END,
+         CASE WHEN ok THEN t ELSE last_t END, has OR ok
+  FROM (SELECT e.user_id, e.rn, e.event_id, e.t, s.tokens, s.last_t, s.has,
+               {adv('s.tokens', 's.last_t', 's.has')} AS a
+        FROM st s JOIN ev e ON e.user_id = s.user_id AND e.rn = s.rn + 1) y, LATERAL (SELECT {ok} AS ok))
+SELECT event_id, user_id, admitted FROM st"""
+
+
+SQL["quota_audit"] = _quota_sql()
