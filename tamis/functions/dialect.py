@@ -199,3 +199,123 @@ def prepare(spark, pattern: str) -> str | None:
     except PatternError:
         return None
     return j if java_valid(spark, j) else None
+
+
+def required_literal(p: str) -> str | None:
+    """The longest literal run every match of RE2 pattern ``p`` must contain, or None.
+
+    Conservative: only top-level literals count (no alternation at the top, nothing
+    inside groups or classes, an optional char drops out). Used as a cheap
+    ``contains`` test in front of the regex: a text without the literal cannot match.
+    """
+    if re.search(r"\(\?[a-zA-Z]*i", p):
+        return None
+    runs, cur = [], []
+    i, n, depth = 0, len(p), 0
+    # reject top-level alternation
+    j, d, in_cls = 0, 0, False
+    while j < n:
+        c = p[j]
+        if c == "\\":
+            j += 2
+            continue
+        if in_cls:
+            if p.startswith("[:", j):
+                e = p.find(":]", j + 2)
+                j = n if e < 0 else e + 2
+                continue
+            in_cls = c != "]"
+        elif c == "[":
+            in_cls = True
+            if p.startswith("[]", j) or p.startswith("[^]", j):
+                j += 2
+        elif c == "(":
+            d += 1
+        elif c == ")":
+            d -= 1
+        elif c == "|" and d == 0:
+            return None
+        j += 1
+
+    def end_run():
+        if cur:
+            runs.append("".join(cur))
+            cur.clear()
+
+    while i < n:
+        c = p[i]
+        nxt = p[i + 1] if i + 1 < n else ""
+        if c == "\\" and i + 1 < n:
+            d = p[i + 1]
+            if not d.isalnum():
+                atom, i = d, i + 2
+            elif d == "Q":
+                k = p.find("\\E", i + 2)
+                lit = p[i + 2:] if k < 0 else p[i + 2:k]
+                i = n if k < 0 else k + 2
+                q = p[i] if i < n else ""
+                if q in "*?{":
+                    end_run()
+                    continue
+                cur.extend(lit)
+                if q == "+":
+                    end_run()
+                continue
+            else:
+                end_run()
+                i += 2
+                continue
+        elif c == "[":
+            k = i + 1
+            if p.startswith("^", k):
+                k += 1
+            if p.startswith("]", k):
+                k += 1
+            while k < n and p[k] != "]":
+                if p.startswith("[:", k):
+                    e = p.find(":]", k + 2)
+                    k = n if e < 0 else e + 2
+                    continue
+                k += 2 if p[k] == "\\" else 1
+            end_run()
+            i = k + 1
+            continue
+        elif c == "(":
+            k, d = i, 0
+            while k < n:
+                if p[k] == "\\":
+                    k += 2
+                    continue
+                if p[k] == "(":
+                    d += 1
+                elif p[k] == ")":
+                    d -= 1
+                    if d == 0:
+                        break
+                k += 1
+            end_run()
+            i = k + 1
+            continue
+        elif c in ".^$":
+            end_run()
+            i += 1
+            continue
+        elif c in "*+?{":
+            end_run()
+            i += 1
+            if c == "{":
+                k = p.find("}", i)
+                i = n if k < 0 else k + 1
+            continue
+        else:
+            atom, i = c, i + 1
+        q = p[i] if i < n else ""
+        if q in ("*", "?") or (q == "{" and re.match(r"\{0", p[i:])):
+            end_run()
+            continue
+        cur.append(atom)
+        if q in ("+", "{"):
+            end_run()
+    end_run()
+    best = max(runs, key=len, default="")
+    return best or None

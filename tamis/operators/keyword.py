@@ -60,17 +60,46 @@ def count_occurrences(text: Column, word: Column, pat: Column) -> Column:
 
 
 class KeywordMatcher(Matcher):
-    """M1, plan A: every occurrence of every word, as an ``array<hit>`` per text."""
+    """M1: every occurrence of every word.
+
+    ``plan="auto"`` keeps banks of up to ``inline_max`` words inline (a row matcher:
+    one projection, verdicts without a shuffle) and matches larger banks with the
+    gram join (a flat matcher: verdicts by aggregation). ``"inline"`` / ``"gram"``
+    force a plan.
+    """
 
     name = "keyword"
 
-    def __init__(self, bank, max_words: int = 5000, name: str | None = None):
-        self.rows = bank_rows(bank, max_words)
+    def __init__(self, bank, max_words: int = 5000, name: str | None = None, plan: str = "auto",
+                 inline_max: int = 64, chunk: int = 4096, broadcast_max_words: int = 200_000):
         if name:
             self.name = name
+        self.chunk, self.broadcast_max_words, self.max_words = chunk, broadcast_max_words, max_words
+        self.bank_df = None
+        if plan == "gram" or (plan == "auto" and _too_big(bank, inline_max)):
+            self.row_based = False
+            self.bank_df = _as_df(bank)
+            self.rows = []
+            self.bank_lit = None
+            return
+        self.rows = bank_rows(bank, max_words)
         self.bank_lit = literal_rows(
             [dict(r, wlen=len(r["word"]), pat=lookahead_pattern(r["word"])) for r in self.rows], _FIELDS)
 
+    def flat_hits(self, texts: DataFrame, ord_: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
+        if self.row_based:
+            return super().flat_hits(texts, ord_, id_col, text_col)
+        tx = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        return (_gram_plan(tx, self.bank_df, self.chunk, self.broadcast_max_words, self.max_words)
+                .withColumn("matcher", F.lit(self.name)).withColumn("matcher_ord", F.lit(ord_).cast("int"))
+                .select(*schemas.HITS.fieldNames()))
+
+    def actions(self) -> dict:
+        if not self.row_based:
+            return {r["word"]: r["action"] for r in self.bank_df.select("word", "action")
+                    .limit(self.max_words + 1).collect()}
+        return {r["word"]: r.get("action") for r in self.rows}
+
     def _found(self, t: Column) -> Column:
         return F.filter(self.bank_lit, lambda b: F.contains(t, b["word"]))
 
@@ -95,9 +124,6 @@ class KeywordMatcher(Matcher):
                            lambda acc, b: acc + _weight_of(b["severity"], wm)
                            * count_occurrences(text, b["word"], b["pat"]).cast("long"))
 
-    def actions(self) -> dict:
-        return {r["word"]: r.get("action") for r in self.rows}
-
 
 class LiteralMatcher(KeywordMatcher):
     """M4: first occurrence of each word (``strings.Index`` semantics), ≤ 1 hit per word."""
@@ -125,47 +151,58 @@ def match_literal(texts: DataFrame, bank, id_col: str = "id", text_col: str = "t
 
 
 def match_keywords(texts: DataFrame, bank, plan: str = "auto", id_col: str = "id", text_col: str = "text",
-                   max_words: int = 5000, chunk: int = 1024, broadcast_max_words: int = 200_000) -> DataFrame:
+                   max_words: int = 5000, chunk: int = 4096, broadcast_max_words: int = 200_000,
+                   inline_max: int = 64) -> DataFrame:
     """M1 as a flat HITS DataFrame. ``plan``: "inline" (A), "gram" (B) or "auto"."""
     tx = _texts(texts, id_col, text_col)
-    if plan in ("auto", "inline"):
-        try:
-            return KeywordMatcher(bank, max_words=max_words).flat_hits(tx, 0)
-        except BankTooLarge:
-            if plan == "inline":
-                raise
-    if isinstance(bank, list):
-        raise ValueError("plan 'gram' takes the bank as a DataFrame")
-    return _gram_plan(tx, bank, chunk, broadcast_max_words, max_words)
+    return KeywordMatcher(bank, max_words=max_words, plan=plan, inline_max=inline_max, chunk=chunk,
+                          broadcast_max_words=broadcast_max_words).flat_hits(tx, 0)
+
+
+def _as_df(bank) -> DataFrame:
+    if isinstance(bank, DataFrame):
+        return bank
+    from pyspark.sql import SparkSession
+    return SparkSession.getActiveSession().createDataFrame([tuple(r) for r in bank], schemas.BANK)
+
+
+def _too_big(bank, inline_max: int) -> bool:
+    if isinstance(bank, DataFrame):
+        return bank.limit(inline_max + 1).count() > inline_max
+    return len(bank) > inline_max
 
 
 def _gram_plan(tx: DataFrame, bank: DataFrame, chunk: int, broadcast_max_words: int, max_words: int) -> DataFrame:
+    """Plan B: hash equi-join of text 3-grams with the bank's first three characters.
+
+    Per text, one regex pass cuts it into ``chunk``-character pieces and one pass per
+    piece lists, for every character position, the next ``W`` characters (W = the
+    longest word); a match consumes one code point, so positions stay in characters
+    even beside surrogate pairs. Only (id, offset, window) rows are exploded - never
+    the text - and the bank side is broadcast only behind a row-count check.
+    """
     from pyspark.sql.functions import broadcast
 
-    b = bank.select("word", "type", "severity", F.length("word").cast("int").alias("wlen"))
+    b = bank.select("word", "type", "severity", F.length("word").cast("int").alias("wlen")) \
+        .filter(F.col("wlen") > 0)
     short = b.filter(F.col("wlen") <= 2).select("word", "type", "severity")
     long_ = b.filter(F.col("wlen") >= 3).withColumn("g", F.substring("word", 1, 3))
-    # the window must hold the longest word; one small aggregate over the bank
-    w = long_.agg(F.max("wlen")).first()[0] or 3
-    # chunks of the code-point array (no O(n^2) substring walks), overlapping by w-1
-    chars = F.split(F.col("text"), "", -1)
-    n = F.size(chars)
-    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / chunk).cast("int"), F.lit(0))),
-                         lambda k: F.struct((k * chunk).alias("off"),
-                                            F.slice(chars, k * chunk + 1, chunk + w - 1).alias("cs")))
-    ck = tx.filter(F.length("text") > 0).select("id", F.inline(chunks))
-    pos = ck.select("id", F.posexplode(F.transform(
-        F.slice(F.col("cs"), 1, chunk),
-        lambda c, i: F.array_join(F.slice(F.col("cs"), i + 1, w), ""))).alias("i", "win"),
-        "off")
-    pos = pos.select("id", (F.col("off") + F.col("i")).cast("int").alias("idx"), "win",
-                     F.substring("win", 1, 3).alias("g"))
+    w = long_.agg(F.max("wlen")).first()[0] or 3  # one small aggregate over the bank
+    pieces = F.regexp_extract_all(F.col("text"), F.lit("(?s).{1,%d}" % chunk), F.lit(0))
+    rows = let(pieces, lambda cs: F.transform(cs, lambda c, k: F.struct(
+        (k * chunk).alias("off"), F.length(c).alias("n"),
+        F.concat(c, F.coalesce(F.substring(F.get(cs, k + 1), 1, w - 1), F.lit(""))).alias("ext"))))
+    ck = tx.filter(F.length("text") >= 3).select("id", F.inline(rows))
+    wins = F.slice(F.regexp_extract_all(F.col("ext"), F.lit("(?s)(?=(.{1,%d}))." % w), F.lit(1)), 1, F.col("n"))
+    pos = (ck.select("id", "off", F.posexplode(wins).alias("i", "win"))
+           .filter(F.length("win") >= 3)
+           .select("id", (F.col("off") + F.col("i")).cast("int").alias("idx"), "win",
+                   F.substring("win", 1, 3).alias("g")))
     n_long = long_.limit(broadcast_max_words + 1).count()
     side = broadcast(long_) if n_long <= broadcast_max_words else long_
     cand = pos.join(side, "g").filter(F.startswith(F.col("win"), F.col("word")))
-    long_hits = cand.select("id", F.lit("keyword").alias("matcher"), F.lit(0).cast("int").alias("matcher_ord"),
-                            "word", "type", "severity", "idx", F.col("wlen").alias("len"))
-    out = long_hits
+    out = cand.select("id", F.lit("keyword").alias("matcher"), F.lit(0).cast("int").alias("matcher_ord"),
+                      "word", "type", "severity", "idx", F.col("wlen").alias("len"))
     if short.limit(1).count():
         out = out.unionByName(KeywordMatcher(short, max_words=max_words).flat_hits(tx, 0))
     return out.select(*schemas.HITS.fieldNames())

@@ -51,7 +51,15 @@ def moderate(texts: DataFrame, matchers: list, mode: str = fixed.DEFAULT_MODE,
     mode = _mode(mode)
     fb = fixed.ACTION_BLOCK if fallback == fixed.ACTION_BLOCK else fixed.ACTION_PASS
     if not all(getattr(m, "row_based", False) for m in matchers):
-        raise ValueError("moderate() takes row matchers; use moderate_hits() for a HITS table")
+        # some matcher needs a join: combine flat hits by aggregation instead
+        tx = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep)
+        hits = None
+        for k, m in enumerate(matchers):
+            h = m.flat_hits(tx, k)
+            hits = h if hits is None else hits.unionByName(h)
+        r = moderate_hits(tx, hits, mode=mode, threshold=threshold, fallback=fallback, weights=weights, keep=keep)
+        return r.select("id", "flagged", "action", "score", F.lit(None).cast(schemas.HITS_DDL).alias("hits"),
+                        "n_hits", *keep)
     t = F.col("_t")
     df = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"), *keep)
     score = F.lit(None).cast("double")
@@ -99,6 +107,7 @@ def moderate(texts: DataFrame, matchers: list, mode: str = fixed.DEFAULT_MODE,
         .otherwise(F.lit(fixed.ACTION_PASS)).alias("action"),
         F.when(t.isNull(), F.lit(None).cast("double")).otherwise(score).alias("score"),
         F.when(t.isNull(), empty_hits()).otherwise(F.col("_hits")).alias("hits"),
+        F.when(t.isNull(), F.lit(0)).otherwise(F.size("_hits")).cast("long").alias("n_hits"),
         *keep)
     return out
 
@@ -122,14 +131,16 @@ def policy_hits(hits: DataFrame, mode: str = fixed.DEFAULT_MODE) -> DataFrame:
 
 def moderate_hits(texts: DataFrame, hits: DataFrame, mode: str = fixed.DEFAULT_MODE,
                   threshold: float = fixed.DEFAULT_THRESHOLD, fallback: str = fixed.DEFAULT_FALLBACK,
-                  weights: dict | None = None, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """Verdicts from a flat HITS table: (id, flagged, action, score, n_hits).
+                  weights: dict | None = None, id_col: str = "id", text_col: str = "text",
+                  keep: tuple = ()) -> DataFrame:
+    """Verdicts from a flat HITS table: (id, flagged, action, score, n_hits[, keep]).
 
-    Only ids cross the shuffle: texts are reduced to (id, is_null) before the join.
+    Only ids (and ``keep`` columns) cross the shuffle: the text itself is reduced to
+    an is-null flag before the join.
     """
     mode = _mode(mode)
     fb = fixed.ACTION_BLOCK if fallback == fixed.ACTION_BLOCK else fixed.ACTION_PASS
-    ids = texts.select(F.col(id_col).alias("id"), F.col(text_col).isNull().alias("_null"))
+    ids = texts.select(F.col(id_col).alias("id"), F.col(text_col).isNull().alias("_null"), *keep)
     if mode == "weighted":
         wm = weight_micros(weights)
         agg = hits.groupBy("id").agg(F.sum(_weight_of(F.col("severity"), wm)).alias("_s"), F.count(F.lit(1)).alias("_n"))
@@ -150,7 +161,7 @@ def moderate_hits(texts: DataFrame, hits: DataFrame, mode: str = fixed.DEFAULT_M
                     F.when(nul, F.lit(fb)).when(flagged, F.lit(fixed.ACTION_BLOCK))
                     .otherwise(F.lit(fixed.ACTION_PASS)).alias("action"),
                     F.when(nul, F.lit(None).cast("double")).otherwise(score).alias("score"),
-                    F.when(nul, F.lit(0).cast("long")).otherwise(n).alias("n_hits"))
+                    F.when(nul, F.lit(0).cast("long")).otherwise(n).alias("n_hits"), *keep)
 
 
 # --------------------------------------------------------------------------- P5 / P6

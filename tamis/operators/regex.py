@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tamis.functions.dialect import prepare
+from tamis.functions.dialect import prepare, required_literal
 from tamis.operators.matchers import Matcher, bank_rows, hit_struct, empty_hits, _weight_of
 from tamis.functions.text import weight_micros
 
@@ -34,7 +34,8 @@ class RegexMatcher(Matcher):
         self.entries, self.skipped = [], []
         for e in entries:
             j = prepare(spark, e["pattern"])
-            (self.entries if j is not None else self.skipped).append(dict(e, java=j))
+            (self.entries if j is not None else self.skipped).append(
+                dict(e, java=j, lit=required_literal(e["pattern"]) if j is not None else None))
 
     @classmethod
     def from_bank(cls, spark, bank, name: str = "regex", max_words: int = 500):
@@ -53,12 +54,18 @@ class RegexMatcher(Matcher):
                     else r for r in rules]
         return cls(spark, rows, name=name, max_patterns=max_rules)
 
+    @staticmethod
+    def found(text: Column, e: dict) -> Column:
+        """Leftmost-match test; a required literal is checked first with ``contains``."""
+        m = text.rlike(e["java"])
+        return (F.contains(text, F.lit(e["lit"])) & m) if e.get("lit") else m
+
     def _one(self, text: Column, e: dict, ord_: int) -> Column:
         p = e["java"]
         idx = F.length(F.regexp_extract(text, "^((?s:.*?))(?:" + p + ")", 1))
         ln = F.length(F.regexp_extract(text, p, 0))
-        return F.when(text.rlike(p), hit_struct(ord_, self.name, F.lit(e["name"]), F.lit(e.get("type")),
-                                                F.lit(e.get("severity")), idx, ln))
+        return F.when(self.found(text, e), hit_struct(ord_, self.name, F.lit(e["name"]), F.lit(e.get("type")),
+                                                      F.lit(e.get("severity")), idx, ln))
 
     def hits(self, text: Column, ord_: int) -> Column:
         if not self.entries:
@@ -74,7 +81,7 @@ class RegexMatcher(Matcher):
         for e in self.entries:
             w = wm.get(e.get("severity"), 0)
             if w:
-                out = out + F.when(text.rlike(e["java"]), F.lit(w).cast("long")).otherwise(F.lit(0).cast("long"))
+                out = out + F.when(self.found(text, e), F.lit(w).cast("long")).otherwise(F.lit(0).cast("long"))
         return out
 
     def match_counts(self, text: Column) -> Column:
@@ -104,7 +111,7 @@ def match_rules(spark, texts: DataFrame, rules, id_col: str = "id", text_col: st
         return m.flat_hits(tx, 0)
     t = F.col("text")
     arr = F.filter(F.array(*[
-        F.when(t.rlike(e["java"]), F.struct(m._one(t, e, 0).alias("h"),
+        F.when(m.found(t, e), F.struct(m._one(t, e, 0).alias("h"),
                                             F.size(F.regexp_extract_all(t, F.lit(e["java"]), F.lit(0)))
                                             .cast("int").alias("n_matches")))
         for e in m.entries]), lambda x: x.isNotNull()) if m.entries else \

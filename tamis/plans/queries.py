@@ -19,6 +19,7 @@ from tamis.operators.policy import moderate, redact, declared_action
 from tamis.operators.bank import lookup, is_listed, not_listed, bank_size
 from tamis.plans.fixtures import DOC_BANK, EMAIL_RULE, REGEX_BANK
 from tamis.sources.wordbank import load_word_bank, bank_from_rows, by_type
+from tamis.sources.texts import spread
 
 DATA_DIR = os.path.join(os.path.dirname(os.path.dirname(__file__)), "data")
 DOC_BANK_CSV = os.path.join(DATA_DIR, "doc_bank.csv")
@@ -31,7 +32,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark, d) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", "text")
+    return spread(read(spark, d, "documents").select("doc_id", "text"))
 
 
 def doc_matchers(spark):
@@ -63,7 +64,7 @@ def rule_hits(spark, d):
 
 
 def rule_hits_pages(spark, d):
-    pages = read(spark, d, "pages")
+    pages = spread(read(spark, d, "pages").select("page_id", "html"))
     return (match_rules(spark, pages, fixed.DEFAULT_RULES, id_col="page_id", text_col="html", all=True)
             .select(F.col("id").alias("page_id"), F.col("word").alias("rule"), "type", "severity", "idx", "len",
                     "n_matches"))

@@ -17,3 +17,16 @@ def as_contexts(df: DataFrame, id: str = "id", text: str = "text", point: str |
             (F.coalesce(F.col(point), F.lit(fixed.POINT_INPUT)) if point else F.lit(fixed.POINT_INPUT)).alias("point"),
             (F.col(app_id).cast("string") if app_id else F.lit(None).cast("string")).alias("app_id")]
     return df.select(*cols, *[F.col(k) for k in keep])
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a batch input over the cores when it has fewer splits than cores.
+
+    Text matching is CPU-bound; a small file with few row groups would leave cores
+    idle. On a cluster input splits far outnumber cores and this is a no-op, so the
+    text is never shuffled there.
+    """
+    if df.isStreaming:
+        return df
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
