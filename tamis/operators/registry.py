@@ -21,6 +21,12 @@ from tamis.operators.matchers import Matcher
 
 _REGISTRY: dict = {}
 
+# Code of this module runs on Python workers; ship it by value with the task so the
+# workers need not have the package installed.
+import sys as _sys
+from pyspark import cloudpickle as _cp
+_cp.register_pickle_by_value(_sys.modules[__name__])
+
 
 class MatcherNotFound(KeyError):
     pass

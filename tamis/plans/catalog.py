@@ -45,6 +45,7 @@ def queries() -> dict:
         "stream_moderate": Q.stream_moderate,
         "quota_audit": Q.quota_audit_q,
         "custom_matcher": Q.custom_matcher,
+        "stream_reload": Q.stream_reload,
     }
 
 

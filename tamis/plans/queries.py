@@ -329,17 +329,22 @@ def value_histogram(spark, d):
     return histogram(read(spark, d, "events"), "value", VALUE_BUCKETS, by=("event_type",))
 
 
+def _epoch(c: str):
+    """Seconds since 1970 of a TIMESTAMP_NTZ, independent of the session time zone."""
+    return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})").alias(c)
+
+
 def flag_rate_windows(spark, d):
     from tamis.operators.report import flag_rate
     r = flag_rate(read(spark, d, "events"), "ts", F.col("event_type") == "error", window="1 hour")
-    return r.select(F.unix_seconds(F.col("window_start").cast("timestamp")).alias("window_start"), "n_events", "n_flagged", "rate")
+    return r.select(_epoch("window_start"), "n_events", "n_flagged", "rate")
 
 
 def flag_rate_sliding(spark, d):
     from tamis.operators.report import flag_rate
     r = flag_rate(read(spark, d, "events"), "ts", F.col("event_type") == "error", window="3 hours",
                   slide="1 hour")
-    return r.select(F.unix_seconds(F.col("window_start").cast("timestamp")).alias("window_start"), "n_events", "n_flagged", "rate")
+    return r.select(_epoch("window_start"), "n_events", "n_flagged", "rate")
 
 
 # ----------------------------------------------------------------------- streams and user matchers
@@ -371,3 +376,19 @@ def custom_matcher(spark, d):
     r = moderate(docs(spark, d), [m], mode="parallel", id_col="doc_id")
     return r.select(F.col("id").alias("doc_id"), F.inline("hits")).select(
         "doc_id", "word", "type", "severity", "idx", "len")
+
+
+def stream_reload(spark, d):
+    """ST2: a document stream whose bank is re-read from the CSV at every micro-batch;
+    each verdict row carries the version of the bank it used."""
+    from tamis.session import scratch_path
+    from tamis.streaming.moderate import moderate_stream_reload
+    schema = read(spark, d, "documents").schema
+    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(d).select("doc_id", "text"))
+    sink, ck = scratch_path(spark, "stream_reload"), scratch_path(spark, "stream_reload-ck")
+    q = moderate_stream_reload(stream, lambda: load_word_bank(spark, DOC_BANK_CSV),
+                               lambda rows: [KeywordMatcher(rows)], sink, ck, mode="chain", id_col="doc_id")
+    q.awaitTermination()
+    return spark.read.parquet(sink).select(F.col("id").alias("doc_id"), "flagged", "action", "n_hits",
+                                           "bank_version")

@@ -344,3 +344,17 @@ SELECT event_id, user_id, admitted FROM st"""
 
 
 SQL["quota_audit"] = _quota_sql()
+
+
+def _reload_sql() -> str:
+    from tamis.streaming.moderate import bank_version
+    rows = [dict(word=w, type=t, severity=s, action=a) for (w, t, s, a) in _CSV_BANK]
+    ver = bank_version(rows)
+    return f"""WITH {bank_values_sql(_CSV_BANK)},{kw_hits_cte()},
+k AS (SELECT id, count(*) AS n FROM kw GROUP BY id)
+SELECT d.doc_id, k.n IS NOT NULL AS flagged, CASE WHEN k.n IS NOT NULL THEN 'block' ELSE 'pass' END AS action,
+       CAST(coalesce(k.n, 0) AS BIGINT) AS n_hits, {_q(ver)} AS bank_version
+FROM documents d LEFT JOIN k ON k.id = d.doc_id"""
+
+
+SQL["stream_reload"] = _reload_sql()

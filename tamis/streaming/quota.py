@@ -24,6 +24,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 NS = 1_000_000_000
 
+# Code of this module runs on Python workers; ship it by value with the task so the
+# workers need not have the package installed.
+import sys as _sys
+from pyspark import cloudpickle as _cp
+_cp.register_pickle_by_value(_sys.modules[__name__])
+
 
 class TokenBucket:
     """The limiter arithmetic on nanosecond timestamps (float64 tokens)."""
