@@ -71,9 +71,11 @@ class KeywordMatcher(Matcher):
     name = "keyword"
 
     def __init__(self, bank, max_words: int = 5000, name: str | None = None, plan: str = "auto",
-                 inline_max: int = 64, chunk: int = 4096, broadcast_max_words: int = 200_000):
+                 inline_max: int = 64, chunk: int = 4096, broadcast_max_words: int = 200_000,
+                 text_chunk: int = 65536):
         if name:
             self.name = name
+        self.text_chunk = text_chunk
         self.chunk, self.broadcast_max_words, self.max_words = chunk, broadcast_max_words, max_words
         self.bank_df = None
         if plan == "gram" or (plan == "auto" and _too_big(bank, inline_max)):
@@ -87,9 +89,9 @@ class KeywordMatcher(Matcher):
             [dict(r, wlen=len(r["word"]), pat=lookahead_pattern(r["word"])) for r in self.rows], _FIELDS)
 
     def flat_hits(self, texts: DataFrame, ord_: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
-        if self.row_based:
-            return super().flat_hits(texts, ord_, id_col, text_col)
         tx = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        if self.row_based:
+            return self._chunked_inline(tx, ord_)
         return (_gram_plan(tx, self.bank_df, self.chunk, self.broadcast_max_words, self.max_words)
                 .withColumn("matcher", F.lit(self.name)).withColumn("matcher_ord", F.lit(ord_).cast("int"))
                 .select(*schemas.HITS.fieldNames()))
@@ -100,6 +102,25 @@ class KeywordMatcher(Matcher):
                     .limit(self.max_words + 1).collect()}
         return {r["word"]: r.get("action") for r in self.rows}
 
+    def _chunked_inline(self, tx: DataFrame, ord_: int) -> DataFrame:
+        """Flat plan A over bounded pieces: a text longer than ``text_chunk`` characters is
+        cut (one regex pass) into pieces that overlap by the longest word minus one;
+        a piece keeps the occurrences that start inside it. A giant text never
+        becomes one giant hit array."""
+        c = self.text_chunk
+        w = max([len(r["word"]) for r in self.rows] or [1])
+        t = F.col("text")
+        pieces = F.regexp_extract_all(t, F.lit("(?s).{1,%d}" % c), F.lit(0))
+        many = let(pieces, lambda cs: F.transform(cs, lambda p, k: F.struct(
+            (k * c).alias("off"), F.length(p).alias("n"),
+            F.concat(p, F.coalesce(F.substring(F.get(cs, k + 1), 1, w - 1), F.lit(""))).alias("ext"))))
+        one = F.array(F.struct(F.lit(0).alias("off"), F.length(t).alias("n"), t.alias("ext")))
+        ck = tx.select("id", F.inline(F.when(F.length(t) <= c, one).otherwise(many)))
+        e = F.col("ext")
+        own = F.filter(self.hits(e, ord_), lambda h: h["idx"] < F.col("n"))
+        shifted = F.transform(own, lambda h: h.withField("idx", h["idx"] + F.col("off")))
+        return ck.select("id", F.inline(shifted)).select(*schemas.HITS.fieldNames())
+
     def _found(self, t: Column) -> Column:
         return F.filter(self.bank_lit, lambda b: F.contains(t, b["word"]))
 

@@ -17,6 +17,7 @@ from tamis.operators.keyword import KeywordMatcher, LiteralMatcher, match_keywor
 from tamis.operators.regex import RegexMatcher, match_rules
 from tamis.operators.policy import moderate, redact, declared_action
 from tamis.operators.bank import lookup, is_listed, not_listed, bank_size
+from tamis.operators.matchers import bank_rows
 from tamis.plans.fixtures import DOC_BANK, EMAIL_RULE, REGEX_BANK
 from tamis.sources.wordbank import load_word_bank, bank_from_rows, by_type
 from tamis.sources.texts import spread
@@ -213,7 +214,7 @@ def bank_size_q(spark, d):
 
 def word_bank_csv(spark, d):
     bank, n_bad = load_word_bank(spark, DOC_BANK_CSV, mode="drop", with_bad_count=True)
-    rows = [r.asDict() for r in bank.collect()]  # config-size bank, already deduped
+    rows = bank_rows(bank)  # config-size bank behind a row limit, already deduped
     per = _docs_per_word(spark, d, rows).groupBy("word").agg(F.countDistinct("doc_id").alias("n_docs"))
     return (bank.join(per, "word", "left")
             .select("word", "type", "severity", "action",

@@ -68,3 +68,14 @@ def test_plan_is_one_narrow_projection(spark):
     df = texts_df(spark, ["a b"])
     plan = match_keywords(df, bank("a"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_chunked_inline_matches_across_piece_borders(spark):
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice("ab😀 ") for _ in range(rnd.randint(0, 700))) for _ in range(20)]
+    words = ["ab", "a😀b", "bab a", "😀"]
+    km = KeywordMatcher(bank(*words), text_chunk=50)
+    rows = km.flat_hits(texts_df(spark, texts), 0).collect()
+    got = sorted((r.id, r.word, r.idx, r.len) for r in rows)
+    exp = sorted((i, w, p, len(w)) for i, t in enumerate(texts) for (w, p) in naive_occurrences(t, words))
+    assert got == exp
