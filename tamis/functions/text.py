@@ -5,8 +5,6 @@ Offsets and lengths count characters (code points), 0-based.
 
 from __future__ import annotations
 
-from typing import Iterable
-
 from pyspark.sql import Column, functions as F
 
 from tamis import fixed
@@ -93,6 +91,3 @@ def weight_micros(weights: dict | None = None) -> dict:
     w = fixed.SEVERITY_WEIGHTS if weights is None else weights
     return {k: int(round(float(v) * 1_000_000)) for k, v in w.items()}
 
-
-def ascii_words(words: Iterable[str]) -> list[str]:
-    return [w for w in words if w.isascii()]

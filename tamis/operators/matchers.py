@@ -66,7 +66,6 @@ class Matcher:
 
     def score_micros(self, text: Column, weights: dict | None = None) -> Column:
         wm = weight_micros(weights)
-        w = None
         return F.aggregate(self.hits(text, 0), F.lit(0).cast("long"),
                            lambda acc, h: acc + _weight_of(h["severity"], wm))
 

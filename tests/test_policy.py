@@ -97,3 +97,24 @@ def test_declared_action(spark):
     r = moderate(texts_df(spark, ["a c", "a b", "zzz"]), [km]).orderBy("id")
     got = [x[0] for x in r.select(declared_action(F.col("hits"), km.actions())).collect()]
     assert got == ["review", "block", None]
+
+
+def test_row_path_verdicts_need_no_exchange(spark):
+    from tamis.operators.regex import RegexMatcher
+    from tamis import fixed
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    ms = [KeywordMatcher([("bad", "t", "high", "block")]), RegexMatcher.from_rules(spark, fixed.DEFAULT_RULES)]
+    for mode in ("chain", "parallel", "weighted"):
+        plan = moderate(df, ms, mode=mode, id_col="doc_id")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan, mode
+
+
+def test_flat_path_shuffles_ids_not_texts(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    ms = [KeywordMatcher([("bad", "t", "high", "block")], plan="gram")]
+    r = moderate(df, ms, mode="chain", id_col="doc_id")
+    ex = r._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    for block in ex.split("\n\n"):
+        if "Exchange" in block.split("\n")[0] and "hashpartitioning" in block:
+            assert "text" not in block.split("Input")[1].split("\n")[0]
