@@ -18,7 +18,7 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 REPS = int(os.environ.get("BENCH_REPS", "2"))
 
-HEADLINE = ["keyword_hits", "keyword_hits_1000", "keyword_first", "regex_bank_hits", "rule_hits",
+HEADLINE = ["keyword_hits", "keyword_hits_1000", "line_verdicts", "keyword_first", "regex_bank_hits", "rule_hits",
             "chain_verdict", "parallel_verdict", "weighted_verdict", "redact_counts", "render_standard",
             "hit_counts_rollup", "quota_audit", "gauge_level"]
 
@@ -56,6 +56,7 @@ def main():
             best = s if best is None else min(best, s)
         times[name] = round(best, 3)
     stats = bench_queries.corpus_stats(spark, SF_DIR)
+    lines = bench_queries.line_stats(spark, SF_DIR)
     kw = times["keyword_hits"]
     kw1k = times["keyword_hits_1000"]
     out = {"metric": "moderation_headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
@@ -64,7 +65,9 @@ def main():
            "keyword10_texts_per_sec_per_core": round(stats["texts"] / kw / int(CPUS), 1),
            "keyword10_chars_per_sec_per_core": round(stats["chars"] / kw / int(CPUS)),
            "keyword1000_texts_per_sec_per_core": round(stats["texts"] / kw1k / int(CPUS), 1),
-           "keyword1000_chars_per_sec_per_core": round(stats["chars"] / kw1k / int(CPUS))}
+           "keyword1000_chars_per_sec_per_core": round(stats["chars"] / kw1k / int(CPUS)),
+           "line_texts": lines["lines"], "line_avg_chars": round(lines["avg_chars"], 1),
+           "line_verdicts_per_sec_per_core": round(lines["lines"] / times["line_verdicts"] / int(CPUS))}
     print(json.dumps(out))
     spark.stop()
 

@@ -40,4 +40,25 @@ def corpus_stats(spark, d) -> dict:
 
 
 def queries() -> dict:
-    return {"keyword_hits_1000": keyword_hits_1000}
+    return {"keyword_hits_1000": keyword_hits_1000, "line_verdicts": line_verdicts}
+
+
+def line_texts(spark, d):
+    """Every line of every document as its own short text (id = doc_id * 1e6 + line)."""
+    from tamis.sources.texts import spread
+    doc = spread(read(spark, d, "documents").select("doc_id", "text"))
+    return doc.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ln", "line")) \
+        .select((F.col("doc_id") * 1_000_000 + F.col("ln")).alias("id"), F.col("line").alias("text"))
+
+
+def line_verdicts(spark, d):
+    """Chain verdict (10-word bank + e-mail rule) per line: the service's request shape."""
+    from tamis.operators.policy import moderate
+    from tamis.plans.queries import doc_matchers
+    r = moderate(line_texts(spark, d), doc_matchers(spark), mode="chain")
+    return r.select("id", "flagged", "action", "n_hits")
+
+
+def line_stats(spark, d) -> dict:
+    r = line_texts(spark, d).agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("text")).alias("avg")).first()
+    return {"lines": int(r["n"]), "avg_chars": float(r["avg"] or 0)}
