@@ -230,3 +230,11 @@ def declared_action(hits: Column, actions: dict) -> Column:
     for a, r in sorted(rank.items(), key=lambda kv: -kv[1]):
         out = F.when(best == r, F.lit(a)) if out is None else out.when(best == r, F.lit(a))
     return out
+
+
+def byte_offsets(text: Column, hits: Column) -> Column:
+    """Hits with ``idx`` / ``len`` in UTF-8 bytes instead of characters (the service's
+    regex matcher reports bytes; its keyword matcher is off by w-1 bytes for a last
+    character of w bytes, which is not kept)."""
+    return F.transform(hits, lambda h: h.withField("idx", F.octet_length(text.substr(F.lit(1), h["idx"])).cast("int"))
+                       .withField("len", F.octet_length(text.substr(h["idx"] + 1, h["len"])).cast("int")))

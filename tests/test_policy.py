@@ -118,3 +118,11 @@ def test_flat_path_shuffles_ids_not_texts(spark):
     for block in ex.split("\n\n"):
         if "Exchange" in block.split("\n")[0] and "hashpartitioning" in block:
             assert "text" not in block.split("Input")[1].split("\n")[0]
+
+
+def test_byte_offsets(spark):
+    from tamis.operators.policy import byte_offsets
+    km = KeywordMatcher([("敏感词", "t", "high", "block"), ("bad", "t", "high", "block")])
+    r = moderate(texts_df(spark, ["敏感词 bad"]), [km], keep=("text",))
+    got = sorted((h.word, h.idx, h.len) for h in r.select(byte_offsets(F.col("text"), F.col("hits"))).first()[0])
+    assert got == [("bad", 10, 3), ("敏感词", 0, 9)]
