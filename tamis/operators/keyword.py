@@ -207,7 +207,9 @@ def _gram_plan(tx: DataFrame, bank: DataFrame, chunk: int, broadcast_max_words:
     b = bank.select("word", "type", "severity", F.length("word").cast("int").alias("wlen")) \
         .filter(F.col("wlen") > 0)
     short = b.filter(F.col("wlen") <= 2).select("word", "type", "severity")
-    long_ = b.filter(F.col("wlen") >= 3).withColumn("g", F.substring("word", 1, 3))
+    # join key: a 64-bit hash of the first three characters (a long-keyed hash
+    # relation probes faster than a string one); startswith() below removes collisions
+    long_ = b.filter(F.col("wlen") >= 3).withColumn("g", F.xxhash64(F.substring("word", 1, 3)))
     w = long_.agg(F.max("wlen")).first()[0] or 3  # one small aggregate over the bank
     pieces = F.regexp_extract_all(F.col("text"), F.lit("(?s).{1,%d}" % chunk), F.lit(0))
     rows = let(pieces, lambda cs: F.transform(cs, lambda c, k: F.struct(
@@ -218,7 +220,7 @@ def _gram_plan(tx: DataFrame, bank: DataFrame, chunk: int, broadcast_max_words:
     pos = (ck.select("id", "off", F.posexplode(wins).alias("i", "win"))
            .filter(F.length("win") >= 3)
            .select("id", (F.col("off") + F.col("i")).cast("int").alias("idx"), "win",
-                   F.substring("win", 1, 3).alias("g")))
+                   F.xxhash64(F.substring("win", 1, 3)).alias("g")))
     n_long = long_.limit(broadcast_max_words + 1).count()
     side = broadcast(long_) if n_long <= broadcast_max_words else long_
     cand = pos.join(side, "g").filter(F.startswith(F.col("win"), F.col("word")))
