@@ -13,6 +13,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tamis import fixed
 
 
+_OUT = ("text", "point", "app_id", "error_code", "error")
+
+
+def _kept(df: DataFrame) -> list:
+    """Input columns that the parsed fields do not replace."""
+    return [F.col(f"`{c}`") for c in df.columns if c not in _OUT]
+
+
 def _v(col: str) -> Column:
     return F.expr(f"try_parse_json(`{col}`)")
 
@@ -42,8 +50,8 @@ def parse_standard(df: DataFrame, col: str = "request") -> DataFrame:
            .when(~point.isin("", fixed.POINT_INPUT, fixed.POINT_OUTPUT), F.lit(fixed.MSG_BAD_POINT)))
     out = df.withColumn("_v", _v(col)).withColumn("_err", err)
     return out.select(
-        *[c for c in df.columns],
-        F.when(F.col("_err").isNull(), text).alias("text") if "text" not in df.columns else F.col("text"),
+        *_kept(df),
+        F.when(F.col("_err").isNull(), text).alias("text"),
         F.when(F.col("_err").isNull(), F.when(point == fixed.POINT_OUTPUT, F.lit(fixed.POINT_OUTPUT))
                .otherwise(F.lit(fixed.POINT_INPUT))).alias("point"),
         F.when(F.col("_err").isNull(), F.coalesce(_str(v, "$.app_id"), F.lit(""))).alias("app_id"),
@@ -70,7 +78,7 @@ def parse_dify(df: DataFrame, col: str = "request") -> DataFrame:
     out = df.withColumn("_v", _v(col)).withColumn("_err", err)
     ok = F.col("_err").isNull()
     return out.select(
-        *df.columns,
+        *_kept(df),
         F.when(ok, text).alias("text"),
         F.when(ok, F.when(is_in, F.lit(fixed.POINT_INPUT)).otherwise(F.lit(fixed.POINT_OUTPUT))).alias("point"),
         F.when(ok, F.coalesce(_str(v, "$.params.app_id"), F.lit(""))).alias("app_id"),
