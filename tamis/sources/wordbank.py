@@ -41,8 +41,11 @@ def load_word_bank(spark: SparkSession, path: str, mode: str = "drop", with_bad_
                .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
                .option("multiLine", "false")
                .csv(path))
-        # line order straight after the read: a bank file is config-size, one split
-        raw = raw.withColumn("_line", F.monotonically_increasing_id()).cache()
+        # line order: file, then the split's start offset, then the row's place inside
+        # its split (monotonically_increasing_id right after the read, before any
+        # shuffle) - exact even when a big bank file is cut into several splits
+        raw = raw.withColumn("_line", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+                                               F.monotonically_increasing_id())).cache()
         n_bad = raw.filter(F.col("_bad").isNotNull()).count()
     except Exception as e:  # missing file and the like
         raise WordBankError(f"[{fixed.ERR_WORD_BANK_LOAD}] failed to open word bank file: {e}") from e

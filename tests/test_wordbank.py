@@ -60,3 +60,18 @@ def test_load_rules_yaml(spark, tmp_path):
     p = tmp_path / "rules.yaml"
     p.write_text("patterns:\n  - pattern: 'a+b'\n    name: ab\n    type: t\n    severity: low\n    action: review\n")
     assert [tuple(r) for r in load_rules(spark, str(p)).collect()] == [("ab", "a+b", "t", "low", "review")]
+
+
+def test_last_row_wins_across_splits(spark, tmp_path):
+    # a bank file cut into many splits: the later row of a word must still win
+    p = tmp_path / "big.csv"
+    lines = [f"w{i},t,low,pass" for i in range(20000)] + ["w5,late,high,block"]
+    p.write_text("\n".join(lines) + "\n", encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        bank = load_word_bank(spark, str(p))
+        assert bank.filter("word = 'w5'").first().type == "late"
+        assert bank.count() == 20000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
