@@ -26,7 +26,7 @@ class RegexMatcher(Matcher):
     name = "regex"
 
     def __init__(self, spark: SparkSession, entries: list[dict], name: str | None = None,
-                 max_patterns: int = 500):
+                 max_patterns: int = 50_000, unroll_max: int = 200, plan: str = "auto"):
         if name:
             self.name = name
         if len(entries) > max_patterns:
@@ -36,16 +36,27 @@ class RegexMatcher(Matcher):
             j = prepare(spark, e["pattern"])
             (self.entries if j is not None else self.skipped).append(
                 dict(e, java=j, lit=required_literal(e["pattern"]) if j is not None else None))
+        # up to ``unroll_max`` patterns: one literal expression each (compiled once per
+        # task); beyond: the pack is one folded literal array and each text runs only
+        # the patterns whose required literal it contains
+        self.packed = plan == "packed" or (plan == "auto" and len(self.entries) > unroll_max)
+        if self.packed:
+            from tamis.functions.sqlutil import literal_rows
+            self.pack = literal_rows(
+                [dict(name=e["name"], type=e.get("type"), severity=e.get("severity"), java=e["java"],
+                      pre="^((?s:.*?))(?:" + e["java"] + ")", lit=e["lit"]) for e in self.entries],
+                [("name", "string"), ("type", "string"), ("severity", "string"), ("java", "string"),
+                 ("pre", "string"), ("lit", "string")])
 
     @classmethod
-    def from_bank(cls, spark, bank, name: str = "regex", max_words: int = 500):
+    def from_bank(cls, spark, bank, name: str = "regex", max_words: int = 50_000):
         """M2: the bank's words are the patterns; a hit's word is the pattern."""
         rows = bank_rows(bank, max_words)
         return cls(spark, [dict(name=r["word"], pattern=r["word"], type=r["type"], severity=r["severity"],
                                 action=r.get("action")) for r in rows], name=name, max_patterns=max_words)
 
     @classmethod
-    def from_rules(cls, spark, rules, name: str = "rules", max_rules: int = 500):
+    def from_rules(cls, spark, rules, name: str = "rules", max_rules: int = 50_000):
         """M3: a rule pack; a hit's word is the rule name."""
         if isinstance(rules, DataFrame):
             rows = [r.asDict() for r in rules.limit(max_rules + 1).collect()]
@@ -67,9 +78,20 @@ class RegexMatcher(Matcher):
         return F.when(self.found(text, e), hit_struct(ord_, self.name, F.lit(e["name"]), F.lit(e.get("type")),
                                                       F.lit(e.get("severity")), idx, ln))
 
+    def _packed_hits(self, text: Column, ord_: int) -> Column:
+        name = self.name
+        cand = F.filter(self.pack, lambda p: (p["lit"].isNull() | F.contains(text, p["lit"]))
+                        & F.regexp(text, p["java"]))
+        return F.transform(cand, lambda p: hit_struct(
+            ord_, name, p["name"], p["type"], p["severity"],
+            F.length(F.call_function("regexp_extract", text, p["pre"], F.lit(1))),
+            F.length(F.call_function("regexp_extract", text, p["java"], F.lit(0)))))
+
     def hits(self, text: Column, ord_: int) -> Column:
         if not self.entries:
             return empty_hits()
+        if self.packed:
+            return self._packed_hits(text, ord_)
         return F.filter(F.array(*[self._one(text, e, ord_) for e in self.entries]), lambda h: h.isNotNull())
 
     def first_hits(self, text: Column, ord_: int) -> Column:
@@ -77,6 +99,9 @@ class RegexMatcher(Matcher):
 
     def score_micros(self, text: Column, weights: dict | None = None) -> Column:
         wm = weight_micros(weights)
+        if self.packed:
+            return F.aggregate(self._packed_hits(text, 0), F.lit(0).cast("long"),
+                               lambda acc, h: acc + _weight_of(h["severity"], wm))
         out = F.lit(0).cast("long")
         for e in self.entries:
             w = wm.get(e.get("severity"), 0)

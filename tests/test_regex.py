@@ -62,3 +62,16 @@ def test_default_rules_with_counts(spark):
                   for r in match_rules(spark, df, fixed.DEFAULT_RULES, all=True).collect())
     assert rows == [(0, "email_pattern", 5, 6, 2), (1, "credit_card_pattern", 5, 19, 1),
                     (2, "url_pattern", 4, 13, 1)]
+
+
+def test_packed_plan_equals_unrolled(spark):
+    from tamis.plans.fixtures import REGEX_BANK
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id AS id", "text")
+    entries = [dict(name=w, pattern=w, type=t, severity=s) for (w, t, s, a) in REGEX_BANK] + \
+        [dict(name=n, pattern=p, type=t, severity=s) for (n, p, t, s, a) in fixed.DEFAULT_RULES]
+    a = RegexMatcher(spark, entries, plan="unrolled")
+    b = RegexMatcher(spark, entries, plan="packed")
+    assert b.packed and not a.packed
+    ha = sorted(tuple(r) for r in a.flat_hits(df, 0).collect())
+    hb = sorted(tuple(r) for r in b.flat_hits(df, 0).collect())
+    assert ha == hb and len(ha) > 100
