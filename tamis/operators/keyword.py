@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tamis import schemas
 from tamis.functions.arrays import exclusive_prefix_sum, let
 from tamis.functions.sqlutil import literal_rows
-from tamis.operators.matchers import Matcher, bank_rows, hit_struct, BankTooLarge, _weight_of
+from tamis.operators.matchers import Matcher, bank_rows, hit_struct, _weight_of
 from tamis.functions.text import weight_micros
 
 _FIELDS = [("word", "string"), ("type", "string"), ("severity", "string"), ("action", "string"),

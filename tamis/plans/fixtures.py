@@ -4,6 +4,8 @@ The reference's default bank has no hit in the generated documents, so the
 queries use this bank: accented, nested, suffix, self-overlapping and absent words.
 """
 
+from tamis import fixed
+
 # (word, type, severity, action)
 DOC_BANK = [
     ("license", "legal", "critical", "block"),
@@ -18,8 +20,7 @@ DOC_BANK = [
     ("zzqx", "never", "high", "block"),
 ]
 
-EMAIL_RULE = [r for r in __import__("tamis.fixed", fromlist=["DEFAULT_RULES"]).DEFAULT_RULES
-              if r[0] == "email_pattern"]
+EMAIL_RULE = [r for r in fixed.DEFAULT_RULES if r[0] == "email_pattern"]
 
 
 def bank_values_sql(rows=DOC_BANK, alias: str = "bank") -> str:

@@ -6,7 +6,6 @@ plain GROUP BY / window SQL.
 """
 
 from tamis import fixed
-from tamis.plans.fixtures import DOC_BANK, REGEX_BANK_VALID, bank_values_sql
 
 W_HIGH, W_MED, W_LOW = (int(round(fixed.SEVERITY_WEIGHTS[k] * 1_000_000)) for k in ("high", "medium", "low"))
 EMAIL = next(r for r in fixed.DEFAULT_RULES if r[0] == "email_pattern")

@@ -9,14 +9,13 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.functions import broadcast
 
 from tamis import fixed
 from tamis.functions import text as T
-from tamis.operators.keyword import KeywordMatcher, LiteralMatcher, match_keywords, match_literal
+from tamis.operators.keyword import KeywordMatcher, match_keywords, match_literal
 from tamis.operators.regex import RegexMatcher, match_rules
 from tamis.operators.policy import moderate, redact, declared_action
-from tamis.operators.bank import lookup, is_listed, not_listed, bank_size
+from tamis.operators.bank import lookup, is_listed, bank_size
 from tamis.operators.matchers import bank_rows
 from tamis.plans.fixtures import DOC_BANK, EMAIL_RULE, REGEX_BANK
 from tamis.sources.wordbank import load_word_bank, bank_from_rows, by_type
