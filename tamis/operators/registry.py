@@ -58,16 +58,20 @@ class PythonRowMatcher(Matcher):
         self.name = name
         self.fn = fn
         self._udfs = {}
+        from pyspark import SparkContext
+        # rows whose call raised (an accumulator: a retried task may count twice)
+        self.errors = SparkContext.getOrCreate().accumulator(0)
 
     def _udf(self, ord_: int, first: bool):
         key = (ord_, first)
         if key in self._udfs:
             return self._udfs[key]
-        fn_, name = self.fn, self.name
+        fn_, name, errors = self.fn, self.name, self.errors
 
         @F.pandas_udf(schemas.HITS_DDL)
         def _run(texts: pd.Series) -> pd.Series:
             out = []
+            failed = 0
             for t in texts:
                 hs = []
                 if t is not None:
@@ -75,6 +79,7 @@ class PythonRowMatcher(Matcher):
                         hs = list(fn_(t) or [])
                     except Exception:
                         hs = []  # a failing matcher is skipped for this text
+                        failed += 1
                 if first:
                     best = {}
                     for h in hs:
@@ -83,6 +88,8 @@ class PythonRowMatcher(Matcher):
                     hs = list(best.values())
                 out.append([{"matcher_ord": ord_, "matcher": name, "word": w, "type": ty, "severity": sv,
                              "idx": int(i), "len": int(n)} for (w, ty, sv, i, n) in hs])
+            if failed:
+                errors.add(failed)
             return pd.Series(out)
 
         self._udfs[key] = _run
@@ -95,6 +102,32 @@ class PythonRowMatcher(Matcher):
         return self._udf(ord_, True)(text)
 
 
+class DataFrameMatcher(Matcher):
+    """A DataFrame-level matcher: ``fn(texts_df, bank) -> HITS`` with at least
+    (id, word, type, severity, idx, len). Policies over it aggregate (flat path)."""
+
+    row_based = False
+
+    def __init__(self, name: str, fn, bank=None):
+        self.name, self.fn, self.bank = name, fn, bank
+
+    def hits(self, text: Column, ord_: int) -> Column:
+        raise TypeError("a DataFrame matcher gives a HITS table, not a column")
+
+    def flat_hits(self, texts, ord_: int, id_col: str = "id", text_col: str = "text"):
+        tx = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        h = self.fn(tx, self.bank)
+        return h.select("id", F.lit(self.name).alias("matcher"), F.lit(ord_).cast("int").alias("matcher_ord"),
+                        "word", "type", "severity", F.col("idx").cast("int"), F.col("len").cast("int"))
+
+
+def dataframe_matcher(name: str, fn, bank=None, register: bool = True) -> DataFrameMatcher:
+    m = DataFrameMatcher(name, fn, bank)
+    if register:
+        register_matcher(name, m)
+    return m
+
+
 def row_matcher(name: str, fn, register: bool = True) -> PythonRowMatcher:
     m = PythonRowMatcher(name, fn)
     if register:

@@ -126,3 +126,21 @@ def test_byte_offsets(spark):
     r = moderate(texts_df(spark, ["敏感词 bad"]), [km], keep=("text",))
     got = sorted((h.word, h.idx, h.len) for h in r.select(byte_offsets(F.col("text"), F.col("hits"))).first()[0])
     assert got == [("bad", 10, 3), ("敏感词", 0, 9)]
+
+
+def test_failing_rows_are_counted(spark):
+    m = failing("boom-count")
+    moderate(texts_df(spark, ["a", "b", "c"]), [m]).collect()
+    assert m.errors.value == 3
+
+
+def test_dataframe_matcher_in_chain(spark):
+    from tamis.operators.registry import dataframe_matcher
+    from tamis.operators.keyword import match_literal
+
+    def fn(texts, bank):
+        return match_literal(texts, bank)
+
+    m = dataframe_matcher("df-literal", fn, bank=[("bad", "t", "high", "block")])
+    rows = moderate(texts_df(spark, ["a bad x", "fine"]), [stub("none", []), m], mode="chain").orderBy("id").collect()
+    assert [(r.flagged, r.n_hits) for r in rows] == [(True, 1), (False, 0)]
