@@ -159,6 +159,17 @@ class LiteralMatcher(KeywordMatcher):
         return F.aggregate(self._found(text), F.lit(0).cast("long"),
                            lambda acc, b: acc + _weight_of(b["severity"], wm))
 
+    def flat_hits(self, texts: DataFrame, ord_: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
+        if self.row_based:
+            tx = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+            return Matcher.flat_hits(self, tx, ord_)
+        # large bank: every occurrence from the gram plan, then each word's first one
+        # (a partial aggregate per (id, word), so a hot text is combined map-side)
+        allh = KeywordMatcher.flat_hits(self, texts, ord_, id_col, text_col)
+        first = allh.groupBy("id", "word").agg(
+            F.min(F.struct("idx", "len", "matcher", "matcher_ord", "type", "severity")).alias("f"))
+        return first.select("id", "f.matcher", "f.matcher_ord", "word", "f.type", "f.severity", "f.idx", "f.len")
+
 
 # --------------------------------------------------------------------------- flat API
 

@@ -79,3 +79,10 @@ def test_chunked_inline_matches_across_piece_borders(spark):
     got = sorted((r.id, r.word, r.idx, r.len) for r in rows)
     exp = sorted((i, w, p, len(w)) for i, t in enumerate(texts) for (w, p) in naive_occurrences(t, words))
     assert got == exp
+
+
+def test_literal_match_with_large_bank_keeps_first_occurrence(spark):
+    words = [f"w{i:03d}" for i in range(100)] + ["bad"]
+    b = spark.createDataFrame(bank(*words), "word string, type string, severity string, action string")
+    rows = match_literal(texts_df(spark, ["bad w001 bad w001", "none"]), b).collect()
+    assert sorted((r.id, r.word, r.idx) for r in rows) == [(0, "bad", 0), (0, "w001", 4)]
