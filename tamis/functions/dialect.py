@@ -26,6 +26,25 @@ class PatternError(ValueError):
     pass
 
 
+def _prop(p: str, i: int):
+    """Rewrite a Unicode property escape at p[i] ('\\p' or '\\P'); returns (java, next_i).
+
+    RE2 names scripts bare (\\p{Greek}); Java wants \\p{IsGreek} (Is works for categories
+    too). \\p{^X} is RE2's negation."""
+    neg = p[i + 1] == "P"
+    if i + 2 < len(p) and p[i + 2] == "{":
+        j = p.find("}", i + 3)
+        if j < 0:
+            raise PatternError("bad property")
+        name = p[i + 3:j]
+        if name.startswith("^"):
+            neg, name = not neg, name[1:]
+        if name == "Any":
+            return ("[\\x{0}-\\x{10FFFF}]" if not neg else "[^\\x{0}-\\x{10FFFF}]"), j + 1
+        return ("\\P" if neg else "\\p") + "{Is" + name + "}", j + 1
+    return p[i:i + 3], i + 3
+
+
 def _flags_at(p: str, i: int):
     """Parse '(?flags)' or '(?flags:' at p[i]; returns (flags_on, flags_off, end, is_group)."""
     m = re.match(r"\(\?([imsU]*)(?:-([imsU]*))?([:)])", p[i:])
@@ -55,6 +74,11 @@ def re2_to_java(p: str) -> str:
                     raise PatternError("\\S inside a class is not rewritten")
                 elif d == "v":
                     out.append("\\x0B")
+                elif d in "pP":
+                    j, i = _prop(p, i)
+                    out.append(j)
+                    class_start = False
+                    continue
                 elif d.isdigit() and d != "0":
                     raise PatternError("backreference")
                 else:
@@ -113,6 +137,10 @@ def re2_to_java(p: str) -> str:
                 raise PatternError("\\Z is not RE2")
             elif d == "C":
                 raise PatternError("\\C is not supported")
+            elif d in "pP":
+                j, i = _prop(p, i)
+                out.append(j)
+                continue
             elif d.isdigit() and d != "0":
                 raise PatternError("backreference")
             elif d == "Q":
@@ -262,8 +290,21 @@ def required_literal(p: str) -> str | None:
                     end_run()
                 continue
             else:
+                # class / assertion escapes; skip their argument too (\p{..}, \pL, \x{..}, \xhh, \0oo)
                 end_run()
                 i += 2
+                if d in "pPx" and i < n and p[i] == "{":
+                    k = p.find("}", i)
+                    i = n if k < 0 else k + 1
+                elif d in "pP":
+                    i += 1
+                elif d == "x":
+                    i += 2
+                elif d == "0":
+                    while i < n and p[i] in "01234567":
+                        i += 1
+                if i < n and p[i] in "*+?{":
+                    continue
                 continue
         elif c == "[":
             k = i + 1
