@@ -59,6 +59,8 @@ def re2_to_java(p: str) -> str:
     i, n = 0, len(p)
     in_class = False
     class_start = False
+    negated_class = False
+    stack = []
     dotall = False
     multiline = False
     while i < n:
@@ -71,7 +73,9 @@ def re2_to_java(p: str) -> str:
                 if d == "s":
                     out.append(SPACE_CHARS)
                 elif d == "S":
-                    raise PatternError("\\S inside a class is not rewritten")
+                    if negated_class:
+                        raise PatternError("\\S inside a negated class is not rewritten")
+                    out.append("[^" + SPACE_CHARS + "]")  # a nested class is a union in Java
                 elif d == "v":
                     out.append("\\x0B")
                 elif d in "pP":
@@ -141,6 +145,13 @@ def re2_to_java(p: str) -> str:
                 j, i = _prop(p, i)
                 out.append(j)
                 continue
+            elif d == "x" and p.startswith("{", i + 2):
+                k = p.find("}", i + 2)
+                if k < 0:
+                    raise PatternError("bad \\x{...}")
+                out.append(p[i:k + 1])
+                i = k + 1
+                continue
             elif d.isdigit() and d != "0":
                 raise PatternError("backreference")
             elif d == "Q":
@@ -157,14 +168,22 @@ def re2_to_java(p: str) -> str:
             in_class = True
             class_start = True
             out.append("[")
-            if p.startswith("[^", i):
+            negated_class = p.startswith("[^", i)
+            if negated_class:
                 out.append("^")
                 i += 2
             else:
                 i += 1
             continue
+        if c == ")":
+            if stack:
+                dotall, multiline = stack.pop()
+            out.append(")")
+            i += 1
+            continue
         if c == "(":
             if p.startswith("(?P<", i):
+                stack.append((dotall, multiline))
                 out.append("(?<")
                 i += 4
                 continue
@@ -177,19 +196,17 @@ def re2_to_java(p: str) -> str:
                 on, off, end, is_group = f
                 if "U" in on or "U" in off:
                     raise PatternError("(?U) differs between dialects")
-                if not is_group:
-                    dotall = dotall or "s" in on
-                    multiline = multiline or "m" in on
-                    if "s" in off:
-                        dotall = False
-                    if "m" in off:
-                        multiline = False
+                if is_group:  # (?flags:...) scopes the flags to the group
+                    stack.append((dotall, multiline))
+                dotall = (dotall or "s" in on) and "s" not in off
+                multiline = (multiline or "m" in on) and "m" not in off
                 on2 = on.replace("m", "").replace("i", "iu") if "i" in on else on.replace("m", "")
                 off2 = off.replace("m", "")
                 if on2 or off2 or is_group:
                     out.append("(?" + on2 + ("-" + off2 if off2 else "") + (":" if is_group else ")"))
                 i = end
                 continue
+            stack.append((dotall, multiline))
             out.append("(")
             i += 1
             continue
