@@ -61,6 +61,7 @@ def re2_to_java(p: str) -> str:
     class_start = False
     negated_class = False
     stack = []
+    ungreedy = False
     dotall = False
     multiline = False
     while i < n:
@@ -177,13 +178,13 @@ def re2_to_java(p: str) -> str:
             continue
         if c == ")":
             if stack:
-                dotall, multiline = stack.pop()
+                dotall, multiline, ungreedy = stack.pop()
             out.append(")")
             i += 1
             continue
         if c == "(":
             if p.startswith("(?P<", i):
-                stack.append((dotall, multiline))
+                stack.append((dotall, multiline, ungreedy))
                 out.append("(?<")
                 i += 4
                 continue
@@ -194,24 +195,34 @@ def re2_to_java(p: str) -> str:
                 if not f:
                     raise PatternError("unsupported group")
                 on, off, end, is_group = f
-                if "U" in on or "U" in off:
-                    raise PatternError("(?U) differs between dialects")
                 if is_group:  # (?flags:...) scopes the flags to the group
-                    stack.append((dotall, multiline))
+                    stack.append((dotall, multiline, ungreedy))
                 dotall = (dotall or "s" in on) and "s" not in off
                 multiline = (multiline or "m" in on) and "m" not in off
+                ungreedy = (ungreedy or "U" in on) and "U" not in off
+                on, off = on.replace("U", ""), off.replace("U", "")
                 on2 = on.replace("m", "").replace("i", "iu") if "i" in on else on.replace("m", "")
                 off2 = off.replace("m", "")
                 if on2 or off2 or is_group:
                     out.append("(?" + on2 + ("-" + off2 if off2 else "") + (":" if is_group else ")"))
                 i = end
                 continue
-            stack.append((dotall, multiline))
+            stack.append((dotall, multiline, ungreedy))
             out.append("(")
             i += 1
             continue
         if c in "*+?}" and i + 1 < n and p[i + 1] == "+":
             raise PatternError("possessive quantifiers are not RE2")
+        rep = re.match(r"\{\d+(,\d*)?\}", p[i:]) if c == "{" else None
+        if c in "*+?" or rep:
+            q = rep.group(0) if rep else c
+            i += len(q)
+            lazy = i < n and p[i] == "?"
+            if lazy:
+                i += 1
+            # RE2 (?U) swaps greedy and lazy
+            out.append(q + ("?" if lazy != ungreedy else ""))
+            continue
         if c == ".":
             out.append("." if dotall else "[^\\n]")
         elif c == "$":

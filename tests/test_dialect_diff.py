@@ -13,7 +13,8 @@ PATTERNS = [r"\bfoo\b", r"a.b", r"^ab", r"ab$", r"\s+x", r"[\s,]+", r"[[:alpha:]
             r"[^\n]+", r"\Qa.b\E", r"(?P<x>ab)+", r"\d+\.\d*", r"[a-c]+?b", r"(a|ab)(c|bcd)", r"\Bb", r"é\b",
             r"[\d\s]+", r"\v", r"\S+", r"\w+@\w+", r"[[:space:]]+", r"[^\s]+", r"[\S]+", r"(?i:ab)c",
             r"[[:^space:]]+", r"a{,3}", r"(?s:.)(?-s:.)", r"\A\w", r"x\z", r"[^[:alpha:]]+", r"(?i)[a-c]+",
-            r"[[:word:]]+", r"\W\D", r"(?m)\.$", r"[.]+", r"\x41|\x{3a9}", r"[\x{e9}-\x{ff}]+"]
+            r"[[:word:]]+", r"\W\D", r"(?m)\.$", r"[.]+", r"\x41|\x{3a9}", r"[\x{e9}-\x{ff}]+", r"(?U)a+", r"(?U)a+?b",
+            r"(?U:x*)y", r"(?U)(S+)(S*)", r"a??b", r"(SS){1,2}?"]
 
 
 def rand_texts(n, seed=1):
