@@ -242,7 +242,18 @@ def re2_to_java(p: str) -> str:
 def java_valid(spark, pattern: str) -> bool:
     """Compile on the driver's JVM (the executors run the same java.util.regex)."""
     try:
-        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+        jvm = spark.sparkContext._jvm
+    except Exception:
+        jvm = None
+    if jvm is not None:
+        try:
+            jvm.java.util.regex.Pattern.compile(pattern)
+            return True
+        except Exception:
+            return False
+    try:  # no driver JVM handle: let Spark compile it on a one-row frame
+        from pyspark.sql import functions as F
+        spark.range(1).select(F.lit("").rlike(pattern)).collect()
         return True
     except Exception:
         return False

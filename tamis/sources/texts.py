@@ -28,5 +28,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """
     if df.isStreaming:
         return df
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()  # a plain scan: planning only, no job
+    except Exception:  # no RDD access (e.g. a remote session): leave the input as it is
+        return df
+    return df.repartition(target) if n < target else df
