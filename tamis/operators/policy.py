@@ -52,7 +52,8 @@ def moderate(texts: DataFrame, matchers: list, mode: str = fixed.DEFAULT_MODE,
     fb = fixed.ACTION_BLOCK if fallback == fixed.ACTION_BLOCK else fixed.ACTION_PASS
     if not all(getattr(m, "row_based", False) for m in matchers):
         # some matcher needs a join: combine flat hits by aggregation instead
-        tx = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep)
+        tx = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                          *[F.col(k) for k in keep if k != "text"])
         hits = None
         for k, m in enumerate(matchers):
             h = m.flat_hits(tx, k)

@@ -144,3 +144,10 @@ def test_dataframe_matcher_in_chain(spark):
     m = dataframe_matcher("df-literal", fn, bank=[("bad", "t", "high", "block")])
     rows = moderate(texts_df(spark, ["a bad x", "fine"]), [stub("none", []), m], mode="chain").orderBy("id").collect()
     assert [(r.flagged, r.n_hits) for r in rows] == [(True, 1), (False, 0)]
+
+
+def test_flat_path_keeps_columns(spark):
+    km = KeywordMatcher([("bad", "t", "high", "block")], plan="gram")
+    df = spark.createDataFrame([(1, "bad bad", "x"), (2, "ok", "y")], "id long, text string, tag string")
+    rows = moderate(df, [km], keep=("text", "tag")).orderBy("id").collect()
+    assert [(r.flagged, r.n_hits, r.text, r.tag) for r in rows] == [(True, 2, "bad bad", "x"), (False, 0, "ok", "y")]
