@@ -28,6 +28,13 @@ def _sf(d: str) -> str:
     return b[2:] if b.startswith("sf") else b
 
 
+def _sf_num(d: str):
+    try:
+        return float(_sf(d))
+    except ValueError:
+        return _sf(d)
+
+
 def main():
     from tamis.session import get_spark
     from tamis.plans import catalog
@@ -60,7 +67,7 @@ def main():
     kw = times["keyword_hits"]
     kw1k = times["keyword_hits_1000"]
     out = {"metric": "moderation_headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
-           "queries": times, "sf": _sf(SF_DIR), "cpus": int(CPUS),
+           "queries": times, "sf": _sf_num(SF_DIR), "cpus": int(CPUS),
            "texts": stats["texts"], "chars": stats["chars"],
            "keyword10_texts_per_sec_per_core": round(stats["texts"] / kw / int(CPUS), 1),
            "keyword10_chars_per_sec_per_core": round(stats["chars"] / kw / int(CPUS)),

@@ -75,3 +75,16 @@ def test_last_row_wins_across_splits(spark, tmp_path):
         assert bank.count() == 20000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_unicode_white_space_is_trimmed(spark, tmp_path):
+    p = tmp_path / "u.csv"
+    p.write_text(" word　, type\u0085,\tlow ,pass \n", encoding="utf-8")
+    assert [tuple(r) for r in load_word_bank(spark, str(p)).collect()] == [("word", "type", "low", "pass")]
+
+
+def test_only_bad_rows(spark, tmp_path):
+    p = tmp_path / "bad.csv"
+    p.write_text("a,b\nc,d,e,f,g\n", encoding="utf-8")
+    bank, n_bad = load_word_bank(spark, str(p), with_bad_count=True)
+    assert bank.count() == 0 and n_bad == 2
