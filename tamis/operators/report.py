@@ -37,27 +37,54 @@ def last_value(df: DataFrame, key: str, ts: str, val: str, tiebreak: str | None
                                F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("n_events"))
 
 
-def running_level(df: DataFrame, key: str, ts: str, delta: str, tiebreak: str, bucket: str = "1 hour",
-                  keep: tuple = (), scale: int = 2) -> DataFrame:
-    """R2 gauge Inc/Dec: the running sum of ``delta`` per key in time order.
-
-    Skew-safe: rows are cut into (key, time bucket) groups. Bucket totals (partial
-    aggregates) give each bucket's offset by a window over the small totals table;
-    inside a bucket a window gives the running sum. A hot key is spread over its
-    buckets instead of one task. Sums are DECIMAL, so they do not depend on order.
+def running_level(df: DataFrame, key: str, ts: str, delta: str, tiebreak: str, keep: tuple = (),
+                  scale: int = 2, partitions: int | None = None) -> DataFrame:
+    """R2 gauge Inc/Dec: the running sum of ``delta`` per key in (ts, tiebreak) order.
+
+    An exact parallel prefix sum that no key can skew:
+
+    1. ``repartitionByRange(key, ts, tiebreak)`` cuts the sorted event order into
+       balanced ranges (sampled), so a hot key spans several partitions;
+    2. inside each sorted partition, ``mapInPandas`` adds up each key's deltas
+       (vectorised cumsum on integer units of 10^-scale, carried across Arrow batches);
+    3. the only key of a partition that continues from earlier partitions is its
+       first one, so the offsets table has at most one row per partition: a proven
+       bound, broadcast to add each continuing key's earlier total.
     """
-    dt = f"decimal(18,{scale})"
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+    from pyspark.sql.functions import broadcast
+
+    unit = 10 ** scale
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ev = df.select(F.col(key).alias("_k"), F.col(ts).alias("_ts"), F.col(tiebreak).alias("_tb"),
-                   F.col(delta).cast(dt).alias("_d"), F.window(ts, bucket)["start"].alias("_b"), *keep)
-    tot = ev.groupBy("_k", "_b").agg(F.sum("_d").alias("_bt"))
-    off = tot.select("_k", "_b", F.coalesce(F.sum("_bt").over(
-        Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0).cast(dt)).alias("_off"))
-    inner = ev.withColumn("_run", F.sum("_d").over(
-        Window.partitionBy("_k", "_b").orderBy("_ts", "_tb").rowsBetween(Window.unboundedPreceding, 0)))
-    j = inner.join(off, ["_k", "_b"])
+                   (F.col(delta).cast(f"decimal(18,{scale})") * F.lit(unit)).cast("long").alias("_c"), *keep)
+    rp = ev.repartitionByRange(n, "_k", "_ts", "_tb").withColumn("_p", F.spark_partition_id())
+    out_schema = T.StructType(rp.schema.fields + [T.StructField("_run", T.LongType())])
+
+    def scan(batches):
+        last_key, carry = None, 0
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            c = pdf["_c"].fillna(0).astype("int64")
+            run = c.groupby(pdf["_k"], sort=False, dropna=False).cumsum().to_numpy(dtype=np.int64)
+            if last_key is not None:
+                first = (pdf["_k"] == last_key).to_numpy()
+                run = run + np.where(first, carry, 0)
+            last_key, carry = pdf["_k"].iloc[-1], int(run[-1])
+            yield pdf.assign(_run=pd.Series(run, index=pdf.index))
+
+    local = rp.sortWithinPartitions("_k", "_ts", "_tb").mapInPandas(scan, out_schema)
+    # totals per (partition, key) -> earlier totals of the same key -> keep continuing keys only
+    tot = rp.groupBy("_p", "_k").agg(F.sum("_c").alias("_t"))
+    earlier = F.sum("_t").over(Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    off = tot.select("_p", "_k", earlier.alias("_off")).filter(F.col("_off").isNotNull())
+    j = local.join(broadcast(off), ["_p", "_k"], "left")
+    lvl = (F.col("_run") + F.coalesce(F.col("_off"), F.lit(0))).cast("decimal(38,0)") / F.lit(unit)
     return j.select(F.col("_k").alias(key), F.col("_ts").alias(ts), F.col("_tb").alias(tiebreak), *keep,
-                    (F.col("_off") + F.col("_run")).cast(dt).alias("level"))
+                    lvl.cast(f"decimal(18,{scale})").alias("level"))
 
 
 def histogram(df: DataFrame, val: str, buckets, by=()) -> DataFrame:

@@ -31,3 +31,15 @@ def test_last_value_and_top_words(spark):
     assert [(r.type, r.word, r.n) for r in top_words(hits, 1).orderBy("type").collect()] == [("t", "a", 2), ("u", "c", 1)]
     roll = {(r.type, r.word): r.n_hits for r in hit_counts(hits, ("type", "word"), subtotals="rollup").collect()}
     assert roll[(None, None)] == 4 and roll[("t", None)] == 3
+
+
+def test_running_level_hot_key_over_many_partitions(spark):
+    base = dt.datetime(2024, 1, 1)
+    # one key holds almost every row, all within one hour
+    rows = [(i, base + dt.timedelta(seconds=i), 0 if i % 50 else 1 + i % 3, 0.25 * (i % 7) - 0.5)
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, k long, v double")
+    got = {r.event_id: float(r.level) for r in running_level(df, "k", "ts", "v", "event_id", partitions=16).collect()}
+    pdf = pd.DataFrame(rows, columns=["event_id", "ts", "k", "v"]).sort_values(["k", "ts", "event_id"])
+    pdf["lvl"] = pdf.groupby("k")["v"].cumsum().round(2)
+    assert got == dict(zip(pdf.event_id, pdf.lvl))
