@@ -46,6 +46,7 @@ def queries() -> dict:
         "quota_audit": Q.quota_audit_q,
         "custom_matcher": Q.custom_matcher,
         "stream_reload": Q.stream_reload,
+        "quota_audit_stream": Q.quota_audit_stream_q,
     }
 
 

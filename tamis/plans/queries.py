@@ -396,3 +396,15 @@ def stream_reload(spark, d):
     q.awaitTermination()
     return spark.read.parquet(sink).select(F.col("id").alias("doc_id"), "flagged", "action", "n_hits",
                                            "bank_version")
+
+
+def quota_audit_stream_q(spark, d):
+    """ST4 stream form: the events file drained through the stateful per-key bucket."""
+    from tamis.streaming.quota import quota_audit_stream
+    from tamis.streaming.moderate import run_available_now
+    from tamis.plans.fixtures import QUOTA_RATE, QUOTA_CAPACITY
+    schema = read(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    out = quota_audit_stream(stream, "user_id", "ts", QUOTA_RATE, QUOTA_CAPACITY, tiebreak="event_id")
+    res = spark.read.parquet(run_available_now(spark, out, "quota_stream"))
+    return res.select(F.col("tiebreak").alias("event_id"), F.col("key").alias("user_id"), "admitted")

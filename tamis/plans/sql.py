@@ -358,3 +358,5 @@ FROM documents d LEFT JOIN k ON k.id = d.doc_id"""
 
 
 SQL["stream_reload"] = _reload_sql()
+
+SQL["quota_audit_stream"] = SQL["quota_audit"]
