@@ -62,3 +62,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = checkpoint_dir(spark).rstrip("/")
     import uuid
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(spark: SparkSession, df, name: str, fmt: str = "parquet"):
+    """Write ``df`` once under the shared checkpoint folder and read it back.
+
+    For a result used twice (flat hits feeding both verdicts and reports): the
+    matching runs once, and an executor lost later re-reads files instead of
+    re-running the lineage. Never a machine-local folder unless the session has no
+    ``spark.checkpoint.dir`` (tests, local runs).
+    """
+    path = scratch_path(spark, name)
+    df.write.format(fmt).save(path)
+    return spark.read.format(fmt).load(path)

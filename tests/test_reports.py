@@ -43,3 +43,15 @@ def test_running_level_hot_key_over_many_partitions(spark):
     pdf = pd.DataFrame(rows, columns=["event_id", "ts", "k", "v"]).sort_values(["k", "ts", "event_id"])
     pdf["lvl"] = pdf.groupby("k")["v"].cumsum().round(2)
     assert got == dict(zip(pdf.event_id, pdf.lvl))
+
+
+def test_materialized_hits_feed_verdicts_and_reports(spark):
+    from tamis.session import materialize
+    from tamis.operators.keyword import match_keywords
+    from tamis.operators.policy import moderate_hits
+    df = spark.createDataFrame([(1, "bad bad"), (2, "ok"), (3, "bad")], "id long, text string")
+    hits = materialize(spark, match_keywords(df, [("bad", "t", "high", "block")]), "hits")
+    assert "FileScan" in hits._jdf.queryExecution().executedPlan().toString()
+    v = {r.id: r.n_hits for r in moderate_hits(df, hits).collect()}
+    assert v == {1: 2, 2: 0, 3: 1}
+    assert hit_counts(hits, ("word",)).first().n_texts == 2
