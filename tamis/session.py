@@ -40,19 +40,27 @@ def get_spark(cores: int | str | None = None, shuffle_partitions: int | None = N
     return spark
 
 
+_LOCAL_DIR: str | None = None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
     On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared file
-    system). Only when it is unset (local runs, tests) do we make one under /tmp.
+    system). Only when it is unset (local runs, tests) do we make one under /tmp;
+    Spark refuses to change that core setting at run time, so the fallback is kept
+    here and handed to the SparkContext.
     """
+    global _LOCAL_DIR
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="tamis-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", d)
+        if _LOCAL_DIR is None:
+            _LOCAL_DIR = tempfile.mkdtemp(prefix="tamis-ckpt-", dir="/tmp")
+        d = _LOCAL_DIR
     try:
-        spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # remote sessions have no SparkContext; the conf is enough
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(d)
+    except Exception:  # remote sessions have no SparkContext
         pass
     return d
 
