@@ -49,13 +49,14 @@ def test_flag_rate_watermark_drops_late_rows(spark, tmp_path):
     d = tmp_path / "ev"
     base = dt.datetime(2024, 1, 1)
     b0 = [(base + dt.timedelta(minutes=m), m % 2 == 0) for m in (0, 10, 70, 200)]
-    spark.createDataFrame(b0, "ts timestamp, bad boolean").write.parquet(str(d / "b0"))
+    # one file per micro-batch, so the watermark advances only after the whole first batch
+    spark.createDataFrame(b0, "ts timestamp, bad boolean").coalesce(1).write.parquet(str(d / "b0"))
     stream = spark.readStream.schema("ts timestamp, bad boolean").option("maxFilesPerTrigger", 1).parquet(str(d / "*"))
     agg = flag_rate(stream, "ts", F.col("bad"), window="1 hour", watermark="30 minutes")
     q = agg.writeStream.outputMode("update").format("memory").queryName("fr").start()
     q.processAllAvailable()
     late = [(base + dt.timedelta(minutes=5), True)]  # far behind the watermark now
-    spark.createDataFrame(late, "ts timestamp, bad boolean").write.parquet(str(d / "b1"))
+    spark.createDataFrame(late, "ts timestamp, bad boolean").coalesce(1).write.parquet(str(d / "b1"))
     q.processAllAvailable()
     q.stop()
     first = spark.sql("SELECT n_events FROM fr WHERE window_start = timestamp'2024-01-01 00:00:00'").collect()
