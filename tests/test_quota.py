@@ -74,8 +74,8 @@ def test_stream_form_equals_batch(spark, tmp_path):
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "ts", "user_id")
     # two files in time order: state must carry across micro-batches
     cut = ev.agg(F.expr("percentile_approx(ts, 0.5)")).first()[0]
-    ev.filter(F.col("ts") <= cut).write.parquet(str(tmp_path / "in" / "a"))
-    ev.filter(F.col("ts") > cut).write.parquet(str(tmp_path / "in" / "b"))
+    ev.filter(F.col("ts") <= cut).coalesce(1).write.parquet(str(tmp_path / "in" / "a"))
+    ev.filter(F.col("ts") > cut).coalesce(1).write.parquet(str(tmp_path / "in" / "b"))
     stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
               .parquet(str(tmp_path / "in" / "*")))
     out = quota_audit_stream(stream, "user_id", "ts", 1 / 432000, 2, tiebreak="event_id")
