@@ -56,14 +56,14 @@ class RegexMatcher(Matcher):
                                 action=r.get("action")) for r in rows], name=name, max_patterns=max_words)
 
     @classmethod
-    def from_rules(cls, spark, rules, name: str = "rules", max_rules: int = 50_000):
+    def from_rules(cls, spark, rules, name: str = "rules", max_rules: int = 50_000, plan: str = "auto"):
         """M3: a rule pack; a hit's word is the rule name."""
         if isinstance(rules, DataFrame):
             rows = [r.asDict() for r in rules.limit(max_rules + 1).collect()]
         else:
             rows = [dict(zip(("name", "pattern", "type", "severity", "action"), r)) if not isinstance(r, dict)
                     else r for r in rules]
-        return cls(spark, rows, name=name, max_patterns=max_rules)
+        return cls(spark, rows, name=name, max_patterns=max_rules, plan=plan)
 
     @staticmethod
     def found(text: Column, e: dict) -> Column:
@@ -128,13 +128,21 @@ def match_regex(spark, texts: DataFrame, bank, id_col: str = "id", text_col: str
 
 
 def match_rules(spark, texts: DataFrame, rules, id_col: str = "id", text_col: str = "text",
-                all: bool = False) -> DataFrame:
+                all: bool = False, plan: str = "auto") -> DataFrame:
     """M3 as flat HITS; ``all=True`` adds ``n_matches`` (every non-overlapping match)."""
-    m = RegexMatcher.from_rules(spark, rules)
+    m = RegexMatcher.from_rules(spark, rules, plan=plan)
     tx = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if not all:
         return m.flat_hits(tx, 0)
     t = F.col("text")
+    if m.packed:
+        cand = F.filter(m.pack, lambda p: (p["lit"].isNull() | F.contains(t, p["lit"])) & F.regexp(t, p["java"]))
+        arr = F.transform(cand, lambda p: F.struct(
+            hit_struct(0, m.name, p["name"], p["type"], p["severity"],
+                       F.length(F.call_function("regexp_extract", t, p["pre"], F.lit(1))),
+                       F.length(F.call_function("regexp_extract", t, p["java"], F.lit(0)))).alias("h"),
+            F.size(F.call_function("regexp_extract_all", t, p["java"], F.lit(0))).cast("int").alias("n_matches")))
+        return tx.select("id", F.inline(arr)).select("id", "h.*", "n_matches")
     arr = F.filter(F.array(*[
         F.when(m.found(t, e), F.struct(m._one(t, e, 0).alias("h"),
                                             F.size(F.regexp_extract_all(t, F.lit(e["java"]), F.lit(0)))

@@ -75,3 +75,10 @@ def test_packed_plan_equals_unrolled(spark):
     ha = sorted(tuple(r) for r in a.flat_hits(df, 0).collect())
     hb = sorted(tuple(r) for r in b.flat_hits(df, 0).collect())
     assert ha == hb and len(ha) > 100
+
+
+def test_packed_counts_equal_unrolled(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    a = match_rules(spark, df, fixed.DEFAULT_RULES, id_col="doc_id", all=True, plan="unrolled")
+    b = match_rules(spark, df, fixed.DEFAULT_RULES, id_col="doc_id", all=True, plan="packed")
+    assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
