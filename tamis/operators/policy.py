@@ -239,3 +239,23 @@ def byte_offsets(text: Column, hits: Column) -> Column:
     character of w bytes, which is not kept)."""
     return F.transform(hits, lambda h: h.withField("idx", F.octet_length(text.substr(F.lit(1), h["idx"])).cast("int"))
                        .withField("len", F.octet_length(text.substr(h["idx"] + 1, h["len"])).cast("int")))
+
+
+def redact_texts(results: DataFrame, text_col: str = "text", hits_col: str = "hits") -> DataFrame:
+    """P5 on a results DataFrame (``moderate(..., keep=("text",))``):
+    (id, text_masked, n_masked, n_islands)."""
+    m = redact(F.col(text_col), F.col(hits_col))
+    return results.select("id", m["text"].alias("text_masked"), m["n_masked"].alias("n_masked"),
+                          m["n_islands"].alias("n_islands"))
+
+
+def moderate_conversations(turns: DataFrame, matchers: list, id_col: str = "id", role_col: str = "role",
+                           text_col: str = "text", **kw) -> DataFrame:
+    """P7: assistant turns are moderated at the output point, all others (user, system)
+    at the input point; the verdict rows carry ``point`` for per-point counts."""
+    from tamis.sources.texts import as_contexts
+    ctx = as_contexts(turns.withColumn("_point", F.when(F.col(role_col) == "assistant", F.lit(fixed.POINT_OUTPUT))
+                                       .otherwise(F.lit(fixed.POINT_INPUT))),
+                      id=id_col, text=text_col, point="_point")
+    keep = tuple(kw.pop("keep", ())) + ("point",)
+    return moderate(ctx, matchers, keep=keep, **kw)

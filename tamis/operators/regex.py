@@ -121,15 +121,20 @@ class RegexMatcher(Matcher):
         return {e["name"]: e.get("action") for e in self.entries}
 
 
-def match_regex(spark, texts: DataFrame, bank, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """M2 as flat HITS."""
+def match_regex(spark, texts=None, bank=None, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """M2 as flat HITS. ``match_regex(texts, bank)`` also works (session from ``texts``)."""
+    if isinstance(spark, DataFrame):
+        spark, texts, bank = spark.sparkSession, spark, texts
     tx = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return RegexMatcher.from_bank(spark, bank).flat_hits(tx, 0)
 
 
-def match_rules(spark, texts: DataFrame, rules, id_col: str = "id", text_col: str = "text",
+def match_rules(spark, texts=None, rules=None, id_col: str = "id", text_col: str = "text",
                 all: bool = False, plan: str = "auto") -> DataFrame:
-    """M3 as flat HITS; ``all=True`` adds ``n_matches`` (every non-overlapping match)."""
+    """M3 as flat HITS; ``all=True`` adds ``n_matches`` (every non-overlapping match).
+    ``match_rules(texts, rules)`` also works (session from ``texts``)."""
+    if isinstance(spark, DataFrame):
+        spark, texts, rules = spark.sparkSession, spark, texts
     m = RegexMatcher.from_rules(spark, rules, plan=plan)
     tx = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if not all:

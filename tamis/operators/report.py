@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def hit_counts(hits: DataFrame, by=("type", "severity"), subtotals: str | None = None,
+def hit_counts(hits: DataFrame, by=("type", "severity"), subtotals: str | bool | None = None,
                id_col: str = "id") -> DataFrame:
     """R1: hits and distinct texts per group; ``subtotals`` = "rollup" or "cube" adds
     subtotal rows with ``gid`` (grouping id, first column = highest bit)."""
     by = list(by)
+    if subtotals is True:
+        subtotals = "rollup"
     aggs = [F.count(F.lit(1)).alias("n_hits"), F.countDistinct(id_col).alias("n_texts")]
     if subtotals == "rollup":
         return hits.rollup(*by).agg(F.grouping_id().cast("int").alias("gid"), *aggs)

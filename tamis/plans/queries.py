@@ -120,8 +120,10 @@ def conversation_contexts(spark, d) -> DataFrame:
 
 
 def conversation_points(spark, d):
-    ctx = conversation_contexts(spark, d)
-    r = moderate(ctx, [KeywordMatcher(DOC_BANK)], mode="chain", keep=("point",))
+    from tamis.operators.policy import moderate_conversations
+    turns = read(spark, d, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "role", "text")
+    r = moderate_conversations(turns, [KeywordMatcher(DOC_BANK)], id_col="turn_id", mode="chain")
     return (r.groupBy("point")
             .agg(F.count(F.lit(1)).alias("n_turns"),
                  F.count_if(F.col("flagged")).alias("n_flagged"),

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tamis import fixed
 
 
-def render_standard(flagged: Column, action: Column, hits: Column) -> Column:
+def render_standard(flagged, action: Column | None = None, hits: Column | None = None):
     """S5: {"flagged", "action", "hits": [{"word","type","severity","index","length"}]}.
 
     ``hits`` keeps its order (the policies give the reference's order); empty -> [].
+    Given a results DataFrame (``moderate()`` output) returns (id, response).
     """
+    if isinstance(flagged, DataFrame):
+        r = flagged
+        return r.select("id", render_standard(F.col("flagged"), F.col("action"), F.col("hits")).alias("response"))
     hs = F.transform(hits, lambda h: F.struct(h["word"].alias("word"), h["type"].alias("type"),
                                               h["severity"].alias("severity"), h["idx"].alias("index"),
                                               h["len"].alias("length")))
@@ -19,13 +23,16 @@ def render_standard(flagged: Column, action: Column, hits: Column) -> Column:
                               F.coalesce(hs, F.array()).alias("hits")))
 
 
-def render_dify(flagged: Column, preset: str = fixed.DIFY_PRESET, style: str = "code") -> Column:
+def render_dify(flagged, preset: str = fixed.DIFY_PRESET, style: str = "code"):
     """S6: {"flagged", "action", "preset_response"}.
 
     ``style="code"``: action is always "direct_output"; preset only when flagged (a
     NULL field is left out, like ``omitempty``). ``style="documented"``: flagged ->
     "overridden" with the documented preset, clean -> "direct_output" and "".
+    Given a results DataFrame returns (id, response).
     """
+    if isinstance(flagged, DataFrame):
+        return flagged.select("id", render_dify(F.col("flagged"), preset, style).alias("response"))
     if style == "documented":
         doc_preset = fixed.DIFY_DOC_PRESET if preset == fixed.DIFY_PRESET else preset
         return F.to_json(F.struct(

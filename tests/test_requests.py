@@ -59,3 +59,21 @@ def test_render_standard(spark):
                       "hits": [{"word": "bad", "type": "t", "severity": "high", "index": 2, "length": 3},
                                {"word": "bad", "type": "t", "severity": "high", "index": 6, "length": 3}]}
     assert out[1] == {"flagged": False, "action": "pass", "hits": []}
+
+
+def test_dataframe_level_api(spark):
+    from tamis.operators.keyword import KeywordMatcher
+    from tamis.operators.policy import moderate, redact_texts, moderate_conversations
+    from tamis.operators.regex import match_rules
+    from tamis.operators.bank import size
+    df = spark.createDataFrame([(1, "a bad x@y.io"), (2, "ok")], "id long, text string")
+    r = moderate(df, [KeywordMatcher([("bad", "t", "high", "block")])], keep=("text",))
+    assert [x.id for x in render_standard(r).collect()] == [1, 2]
+    assert json.loads(render_dify(r).orderBy("id").first().response)["flagged"] is True
+    assert redact_texts(r).orderBy("id").first().text_masked == "a *** x@y.io"
+    assert match_rules(df, fixed.DEFAULT_RULES).count() == 1
+    assert size(spark.createDataFrame([("a", "t", "low", "pass")], "word string, type string, severity string, action string")).first()[0] == 1
+    turns = spark.createDataFrame([(1, "user", "bad"), (2, "assistant", "bad"), (3, "system", "ok")],
+                                  "id long, role string, text string")
+    pts = {x.id: (x.point, x.flagged) for x in moderate_conversations(turns, [KeywordMatcher([("bad", "t", "high", "block")])]).collect()}
+    assert pts == {1: ("input", True), 2: ("output", True), 3: ("input", False)}
