@@ -77,3 +77,13 @@ def test_dataframe_level_api(spark):
                                   "id long, role string, text string")
     pts = {x.id: (x.point, x.flagged) for x in moderate_conversations(turns, [KeywordMatcher([("bad", "t", "high", "block")])]).collect()}
     assert pts == {1: ("input", True), 2: ("output", True), 3: ("input", False)}
+
+
+def test_keys_bind_case_insensitively_last_wins(spark):
+    got = parse(spark, parse_standard, ['{"TEXT": "hi", "Point": "output"}', '{"text": "a", "Text": "b"}',
+                                        '[1, 2]', '{"text": "x", "point": null}'])
+    assert got == [("hi", "output", None), ("b", "input", None), (None, None, fixed.MSG_TEXT_REQUIRED),
+                   ("x", "input", None)]
+    got = parse(spark, parse_dify, ['{"POINT": "app.moderation.input", "Params": {"QUERY": "q"}}',
+                                    '{"point": "app.moderation.input", "params": "oops"}'])
+    assert got == [("q", "input", None), (None, None, fixed.MSG_BAD_BODY)]
