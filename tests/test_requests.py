@@ -81,9 +81,9 @@ def test_dataframe_level_api(spark):
 
 def test_keys_bind_case_insensitively_last_wins(spark):
     got = parse(spark, parse_standard, ['{"TEXT": "hi", "Point": "output"}', '{"text": "a", "Text": "b"}',
-                                        '[1, 2]', '{"text": "x", "point": null}'])
+                                        '[1, 2]', '{"text": "x", "point": null}', '{"text": "a", "text": "b"}'])
     assert got == [("hi", "output", None), ("b", "input", None), (None, None, fixed.MSG_TEXT_REQUIRED),
-                   ("x", "input", None)]
+                   ("x", "input", None), ("b", "input", None)]
     got = parse(spark, parse_dify, ['{"POINT": "app.moderation.input", "Params": {"QUERY": "q"}}',
                                     '{"point": "app.moderation.input", "params": "oops"}'])
     assert got == [("q", "input", None), (None, None, fixed.MSG_BAD_BODY)]
