@@ -108,17 +108,6 @@ def redact_counts(spark, d):
                     m["n_islands"].alias("n_islands"), F.length(m["text"]).cast("int").alias("masked_len"))
 
 
-def conversation_contexts(spark, d) -> DataFrame:
-    """P7 + S7: user (and system) turns are moderated at the input point, assistant
-    turns at the output point."""
-    from tamis.sources.texts import as_contexts
-    c = read(spark, d, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text",
-        F.when(F.col("role") == "assistant", F.lit(fixed.POINT_OUTPUT)).otherwise(F.lit(fixed.POINT_INPUT))
-        .alias("role_point"))
-    return as_contexts(c, id="turn_id", text="text", point="role_point")
-
-
 def conversation_points(spark, d):
     from tamis.operators.policy import moderate_conversations
     turns = read(spark, d, "conversations").select(
