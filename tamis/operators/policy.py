@@ -31,6 +31,22 @@ def _size0(c: Column) -> Column:
     return F.coalesce(F.size(c), F.lit(0))
 
 
+def _resolve(matchers) -> list:
+    """Matchers as given; a bank (DataFrame or rows) means the default keyword matcher,
+    and a name is looked up in the registry ("matcher not found" otherwise)."""
+    from tamis.operators.keyword import KeywordMatcher
+    from tamis.operators.matchers import Matcher
+    from tamis.operators.registry import get_matcher
+    if isinstance(matchers, DataFrame):
+        return [KeywordMatcher(matchers)]
+    if isinstance(matchers, (str, Matcher)):
+        matchers = [matchers]
+    matchers = list(matchers)
+    if matchers and isinstance(matchers[0], (tuple, dict)):
+        return [KeywordMatcher(matchers)]
+    return [get_matcher(m) if isinstance(m, str) else m for m in matchers]
+
+
 def reference_order(hits: Column) -> Column:
     """Hits by end position, longest first at the same end, matcher order first."""
     keyed = F.transform(hits, lambda h: F.struct(h["matcher_ord"].alias("o"), (h["idx"] + h["len"]).alias("e"),
@@ -50,6 +66,7 @@ def moderate(texts: DataFrame, matchers: list, mode: str = fixed.DEFAULT_MODE,
     """
     mode = _mode(mode)
     fb = fixed.ACTION_BLOCK if fallback == fixed.ACTION_BLOCK else fixed.ACTION_PASS
+    matchers = _resolve(matchers)
     if not all(getattr(m, "row_based", False) for m in matchers):
         # some matcher needs a join: combine flat hits by aggregation instead
         tx = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),

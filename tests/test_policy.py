@@ -151,3 +151,14 @@ def test_flat_path_keeps_columns(spark):
     df = spark.createDataFrame([(1, "bad bad", "x"), (2, "ok", "y")], "id long, text string, tag string")
     rows = moderate(df, [km], keep=("text", "tag")).orderBy("id").collect()
     assert [(r.flagged, r.n_hits, r.text, r.tag) for r in rows] == [(True, 2, "bad bad", "x"), (False, 0, "ok", "y")]
+
+
+def test_moderate_takes_a_bank_or_names(spark):
+    bank = [("bad", "t", "high", "block")]
+    r = moderate(texts_df(spark, ["a bad", "ok"]), bank).orderBy("id").collect()
+    assert [x.flagged for x in r] == [True, False]
+    register_matcher("kw-bad", KeywordMatcher(bank))
+    r = moderate(texts_df(spark, ["a bad"]), ["kw-bad"]).first()
+    assert r.flagged
+    with pytest.raises(MatcherNotFound):
+        moderate(texts_df(spark, ["x"]), ["no-such-matcher"])
