@@ -399,3 +399,35 @@ def required_literal(p: str) -> str | None:
     end_run()
     best = max(runs, key=len, default="")
     return best or None
+
+
+def nested_quantifier(p: str) -> bool:
+    """True when a quantified group holds a quantifier, e.g. ``(a+)+``: linear in RE2,
+    but java.util.regex may backtrack exponentially on it (a task could stall)."""
+    stack, i, n, in_cls = [], 0, len(p), False
+    while i < n:
+        c = p[i]
+        if c == "\\":
+            i += 2
+            continue
+        if in_cls:
+            in_cls = c != "]"
+        elif c == "[":
+            in_cls = True
+            if p.startswith("[]", i) or p.startswith("[^]", i):
+                i += 2
+        elif c == "(":
+            stack.append(False)
+        elif c == ")" and stack:
+            inner = stack.pop()
+            nxt = p[i + 1] if i + 1 < n else ""
+            unbounded = nxt in "*+" or bool(re.match(r"\{\d+,\}", p[i + 1:]))
+            if inner and unbounded:
+                return True
+            if stack:
+                stack[-1] = stack[-1] or inner or nxt in "*+?{"
+        elif c in "*+" or (c == "{" and re.match(r"\{\d+(,\d*)?\}", p[i:])):
+            if stack:
+                stack[-1] = True
+        i += 1
+    return False

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tamis.functions.dialect import prepare, required_literal
+from tamis.functions.dialect import prepare, required_literal, nested_quantifier
 from tamis.operators.matchers import Matcher, bank_rows, hit_struct, empty_hits, _weight_of
 from tamis.functions.text import weight_micros
 
@@ -36,6 +36,12 @@ class RegexMatcher(Matcher):
             j = prepare(spark, e["pattern"])
             (self.entries if j is not None else self.skipped).append(
                 dict(e, java=j, lit=required_literal(e["pattern"]) if j is not None else None))
+        # lint: nested unbounded quantifiers can backtrack exponentially in Java (RE2 is linear)
+        self.risky = [e["pattern"] for e in self.entries if nested_quantifier(e["pattern"])]
+        if self.risky:
+            import warnings
+            warnings.warn(f"{len(self.risky)} pattern(s) with nested quantifiers may backtrack heavily on the JVM: "
+                          f"{self.risky[:5]}")
         # up to ``unroll_max`` patterns: one literal expression each (compiled once per
         # task); beyond: the pack is one folded literal array and each text runs only
         # the patterns whose required literal it contains

@@ -82,3 +82,10 @@ def test_packed_counts_equal_unrolled(spark):
     a = match_rules(spark, df, fixed.DEFAULT_RULES, id_col="doc_id", all=True, plan="unrolled")
     b = match_rules(spark, df, fixed.DEFAULT_RULES, id_col="doc_id", all=True, plan="packed")
     assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
+
+
+def test_nested_quantifier_lint():
+    from tamis.functions.dialect import nested_quantifier
+    assert nested_quantifier("(a+)+$") and nested_quantifier("(?:x*y)*") and nested_quantifier("((ab)+c)+")
+    assert not nested_quantifier("(ab)+") and not nested_quantifier("a+b+") and not nested_quantifier("(a+)?")
+    assert not any(nested_quantifier(r[1]) for r in fixed.DEFAULT_RULES)
