@@ -60,9 +60,11 @@ def moderate(texts: DataFrame, matchers: list, mode: str = fixed.DEFAULT_MODE,
              keep: tuple = ()) -> DataFrame:
     """P4: dispatch to chain / parallel / weighted; an unknown mode is chain.
 
-    Result: (id, flagged, action, score, hits[, keep...]); ``score`` is set in
-    weighted mode only, ``hits`` is empty in weighted mode. A row whose text is NULL
-    cannot be moderated: flagged=false, action=fallback.
+    ``matchers``: matcher objects, registered matcher names, or a bank (the default
+    keyword matcher). Result: (id, flagged, action, score, hits, n_hits[, keep...]);
+    ``score`` is set in weighted mode only, ``hits`` is empty in weighted mode and
+    NULL on the flat path (use ``policy_hits``). A row whose text is NULL cannot be
+    moderated: flagged=false, action=fallback.
     """
     mode = _mode(mode)
     fb = fixed.ACTION_BLOCK if fallback == fixed.ACTION_BLOCK else fixed.ACTION_PASS
