@@ -24,9 +24,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
-    kept = link_near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+    """One document of each group of near duplicates: the one with the smallest doc_id.
+
+    Of rows that repeat a kept doc_id one stays. Rows without a doc_id cannot be told apart by it and all stay.
+    """
+    named = docs.where("doc_id is not null")
+    kept = link_near_duplicates(named).where("kept").select("doc_id").distinct()
+    out = named.join(kept, "doc_id", "left_semi")
+    n, ids = named.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
+    if n != ids:
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

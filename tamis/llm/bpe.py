@@ -28,7 +28,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tamis.llm.encodings import read_ranks, vocabulary_path
 from tamis.llm.frames import ship
@@ -258,7 +258,7 @@ def encode_documents(docs: DataFrame, *, text_col: str = "text", vocabulary: str
     ship(docs.sparkSession)
     docs = docs.drop("n_tokens", "ids")
     path = vocabulary or vocabulary_path("byte_bpe_multi_50k.tiktoken")
-    schema = docs.schema.add("n_tokens", "long").add("ids", "binary")
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
     return docs.mapInArrow(_mapper(docs.columns.index(text_col), path, False), schema)
 
 

@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, types as T
 
 from tamis.llm.frames import ship
 from tamis.llm.words import ALNUM, Words, slices, word_hashes, words
@@ -233,9 +233,9 @@ def scan_licenses(docs: DataFrame, *, text_col: str = "text", phrases: dict[str,
     for n, t in templates.items():
         compile_template(n, t)  # bad markup fails here, not in a task
     docs = docs.drop(*_ADDED)
-    schema = (docs.schema.add("n_words", "long").add("n_base", "long").add("first_word", "long").add("last_word", "long")
-              .add("base_labels", "string").add("labels", "string").add("score", "double")
-              .add("matches", "array<struct<label:string,first:bigint,after:bigint>>"))
+    added = T._parse_datatype_string("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
+                                     "matches array<struct<label:string,first:bigint,after:bigint>>")
+    schema = T.StructType([*docs.schema.fields, *added.fields])
     return docs.mapInArrow(_mapper(docs.columns.index(text_col), to_arrow_schema(schema), dict(phrases), dict(templates)), schema)
 
 
