@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tamis.session import materialize, scratch_path
 from tamis.llm.ship import ship
 
-__all__ = ["table", "pick", "fresh", "materialize", "scratch_path", "ship", "total_bytes"]
+__all__ = ["table", "pick", "fresh", "materialize", "scratch_path", "ship", "total_bytes", "write_blocks"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,3 +33,16 @@ def total_bytes(df: DataFrame, text: str) -> tuple[int, int]:
     """(rows, UTF-8 bytes of one text column): one aggregate, two numbers to the driver."""
     n, b = df.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)))).first()
     return int(n), int(b or 0)
+
+
+def write_blocks(df: DataFrame, block_rows: int) -> DataFrame:
+    """``df`` with a column ``block`` (``block_rows`` consecutive rows), written to the shared folder.
+
+    The table is bucketed by block: grouping by block, or joining on it, needs no shuffle of the rows.
+    """
+    spark = df.sparkSession
+    df = df.withColumn("block", F.expr(f"monotonically_increasing_id() div {block_rows}"))
+    buckets = max(1, df.rdd.getNumPartitions())
+    name = fresh("blocks")
+    (df.write.bucketBy(buckets, "block").sortBy("block").format("parquet").option("path", scratch_path(spark, "blocks")).saveAsTable(name))
+    return spark.table(name)

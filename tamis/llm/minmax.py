@@ -7,18 +7,22 @@ similarity, so 64 permutations give a signature of 128 values. Four values of fo
 permutations make a band (bands of minima and bands of maxima); at a similarity of 0.75 two
 documents share none of the 32 bands with probability 5e-6.
 
-1. One map-only pass gives each document its set size, a 128-bit digest of the whole set,
-   the 32 band keys and a byte of each signature value. Documents with equal sets are one
-   class from here on (their links are certain), so copies cost nothing further.
+1. The texts are written once, bucketed by blocks of rows. One map-only pass gives each
+   document its set size, a 128-bit digest of the whole set, the 32 band keys and a byte of
+   each signature value. Documents with equal sets are one class from here on (their links
+   are certain), so copies cost nothing further.
 2. Star candidates: in every band bucket, each class against the bucket's first class. The
    signature bytes drop pairs far from the threshold (six standard deviations), the rest is
    confirmed on the full sets, recomputed from the texts of those documents only.
-3. Components of the confirmed links. In a bucket that still holds two or more components,
-   the classes of different components are compared block by block (blocks of 256 classes,
-   spread over tasks) on signature bytes; survivors are confirmed like the stars. Buckets
-   whose classes are all one component need no more pairs, so a group of thousands of near
-   copies costs about one confirmation per member, and no link between different texts that
-   could change a component is left out.
+3. Components of the confirmed links. Buckets that still hold two or more components are
+   cut into blocks of at most 256 classes, and every pair of blocks is one group. A group
+   looks at pairs of different components, each pair in the first band only that joins it,
+   and asks for the texts of the classes with a pair the signatures do not exclude. With the
+   texts it confirms such pairs on full sets, skips those it has already joined, and so
+   returns at most one link per class. No group emits its pairs.
+
+Texts reach the groups that need them through the block table, so texts nobody needs are
+not shuffled.
 
 Edge cases. Null, empty and blank texts have no set, are linked with nothing and are their
 own component. Rows that repeat a doc_id are one document of several texts: they share a
@@ -36,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tamis.llm.components import connected_components
-from tamis.llm.frames import materialize, ship
+from tamis.llm.frames import materialize, ship, write_blocks
 from tamis.llm.words import grams, mix, slices, word_hashes, words
 
 PERMUTATIONS = 64
@@ -90,7 +94,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _sketch(size: int):
-    fields = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()),
+    fields = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()),
                         ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def run(batches):
@@ -107,12 +111,12 @@ def _sketch(size: int):
                     for j, i in enumerate(full):
                         keys[i], sig[i] = k[j], small[j].tobytes()
                         digest[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
+                yield pa.RecordBatch.from_arrays([part.column("block"), part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
                                                   pa.array(keys, fields.field("keys").type), pa.array(sig, pa.binary())], schema=fields)
     return run
 
 
-_SKETCH = "doc_id long, n_shingles long, digest binary, keys array<long>, sig binary"
+_SKETCH = "block long, doc_id long, n_shingles long, digest binary, keys array<long>, sig binary"
 
 
 def _near(n_a, n_b, threshold: float):
@@ -155,40 +159,107 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold.
+_GROUP = ["key", "lo", "hi"]
 
-    Pairs go to groups of their first document and a salt, at most some 64 partners of it
-    each, so a document with many partners is spread; each group recomputes its sets.
-    """
+
+def _hand_out(key, need, texts):
+    """The texts of one block that groups ask for."""
+    where = {d: i for i, d in enumerate(texts.column("doc_id").to_pylist())}
+    at = pa.array([where[d] for d in need.column("doc_id").to_pylist()], pa.int64())
+    return need.drop_columns(["block"]).append_column("text", texts.column("text").take(at))
+
+
+def _with_texts(need: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``need`` (key, lo, hi, block, doc_id, component) with each document's text, one row per group and document."""
+    need = need.select(*_GROUP, "block", "doc_id", "component")
+    return need.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(
+        _hand_out, "key long, lo int, hi int, doc_id long, component long, text string")
+
+
+def _stars(pairs: DataFrame, lone: DataFrame, blocks: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold; at most some 64 partners of a document in one group."""
     n = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
-    salted = pairs.join(n, "a").select("a", "b", F.expr("pmod(xxhash64(b), cast(ceil(_n / 64) as long))").alias("salt"))
+    salted = pairs.join(n, "a").select("a", "b", F.expr("cast(pmod(xxhash64(b), cast(ceil(_n / 64) as long)) as int)").alias("lo"))
     salted = materialize(pairs.sparkSession, salted, "pairs")
-    need = salted.select(F.col("b").alias("doc_id"), "a", "salt").union(salted.select(F.col("a").alias("doc_id"), "a", "salt").distinct())
-    rows = need.join(texts, "doc_id")
-    return rows.groupBy("a", "salt").applyInArrow(_confirm(size, percent), "a long, b long, percent int").select("a", "b")
+    need = salted.select(F.col("a").alias("key"), "lo", F.col("b").alias("doc_id")).union(salted.select(F.col("a").alias("key"), "lo", F.col("a").alias("doc_id")).distinct())
+    need = need.withColumn("hi", F.col("lo")).withColumn("component", F.lit(None).cast("long")).join(lone.select("doc_id", "block"), "doc_id")
+    return _with_texts(need, blocks).groupBy(*_GROUP).applyInArrow(_confirm(size, percent), "a long, b long, percent int").select("a", "b")
 
 
-def _cross(threshold: float, floor: float):
-    """Pairs of different components in one block pair of a bucket, by signature bytes."""
-    fields = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+class _Pairs:
+    """Candidate pairs in one pair of blocks of a bucket."""
+
+    def __init__(self, key: int, ids, comp, n, sig, keys, left, right, threshold: float, floor: float):
+        self.band = np.argmax(keys == key, axis=1)
+        self.key, self.ids, self.comp, self.n, self.sig, self.keys = key, ids, comp, n, sig, keys
+        self.left, self.right, self.same = left, right, len(left) == len(right) and bool((left == right).all())
+        self.threshold, self.floor = threshold, floor
+
+    def of(self, i: int) -> np.ndarray:
+        """The partners of row i: another component, a size that may do, no earlier band in common, signatures near."""
+        r = self.right
+        if self.same:
+            r = r[r > i]
+        r = r[(self.comp[r] != self.comp[i]) & (np.minimum(self.n[r], self.n[i]) >= self.threshold * np.maximum(self.n[r], self.n[i]))]
+        r = r[(self.sig[r] == self.sig[i]).mean(axis=1) >= self.floor]
+        if len(r):
+            r = r[np.argmax(self.keys[r] == self.keys[i], axis=1) == self.band[i]]
+        return r
+
+
+def _ask(threshold: float, floor: float):
+    """The classes of a group that have a candidate pair."""
+    fields = pa.schema([("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("doc_id", pa.int64())])
 
     def run(key, t):
         lo, hi = key[1].as_py(), key[2].as_py()
-        block = t.column("block").to_numpy()
-        left = np.flatnonzero(block == lo)
-        right = np.flatnonzero(block == hi)
-        ids, comp, n = t.column("doc_id").to_numpy(), t.column("component").to_numpy(), t.column("n_shingles").to_numpy()
+        block, ids = t.column("part").to_numpy(), t.column("doc_id").to_numpy()
+        keys = np.stack(t.column("keys").to_pylist()).astype(np.int64)
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-        xs, ys = [], []
-        for i in left:
-            ok = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) >= threshold * np.maximum(n[right], n[i]))
-                       & ((ids[right] > ids[i]) | (lo != hi))]
-            ok = ok[(sig[ok] == sig[i]).mean(axis=1) >= floor]
-            xs.append(np.minimum(ids[ok], ids[i]))
-            ys.append(np.maximum(ids[ok], ids[i]))
-        cat = lambda v: pa.array(np.concatenate(v) if v else [], pa.int64())
-        return pa.Table.from_arrays([cat(xs), cat(ys)], schema=fields)
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        p = _Pairs(key[0].as_py(), ids, t.column("component").to_numpy(), t.column("n_shingles").to_numpy(), sig, keys, left, right, threshold, floor)
+        need = np.zeros(len(ids), dtype=bool)
+        for i in left.tolist():
+            r = p.of(i)
+            if len(r):
+                need[r] = need[i] = True
+        got = ids[need]
+        return pa.Table.from_arrays([pa.array(np.full(len(got), key[0].as_py()), pa.int64()), pa.array([lo] * len(got), pa.int32()),
+                                     pa.array([hi] * len(got), pa.int32()), pa.array(got, pa.int64())], schema=fields)
+    return run
+
+
+def _join_components(size: int, percent: int, threshold: float, floor: float):
+    """Links that join components inside one group, confirmed on full sets: at most one per class."""
+    fields = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(key, t):
+        sets = shingle_sets(t.column("text"), size)
+        ids, comp = t.column("doc_id").to_numpy(), t.column("component").to_numpy().copy()
+        n = np.array([len(s) for s in sets])
+        full = signatures(sets)
+        every = np.arange(len(ids))
+        p = _Pairs(key[0].as_py(), ids, comp, n, (full & 255).astype(np.uint8), band_keys(full), every, every, threshold, floor)
+        code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        end = np.cumsum(n)
+        mark = np.zeros(int(code.max()) + 1, dtype=np.int64)
+        out = []
+        for i in every.tolist():
+            r = p.of(i)
+            if not len(r):
+                continue
+            mine = code[end[i] - n[i]:end[i]]
+            mark[mine] = 1
+            for j in r.tolist():
+                if comp[j] == comp[i]:
+                    continue
+                both = int(mark[code[end[j] - n[j]:end[j]]].sum())
+                if 100 * both >= percent * (n[i] + n[j] - both):
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    comp[comp == comp[j]] = comp[i]
+            mark[mine] = 0
+        x, y = zip(*out) if out else ((), ())
+        return pa.Table.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], schema=fields)
     return run
 
 
@@ -200,21 +271,20 @@ def _components(texts: DataFrame, sure: DataFrame | None, size: int, percent: in
     spark = texts.sparkSession
     threshold = percent / 100
     floor = estimate_floor(threshold)
-    sketch = materialize(spark, texts.mapInArrow(_sketch(size), _SKETCH), "sketches")
+    blocks = write_blocks(texts, 2048).select("block", "doc_id", "text")
+    sketch = materialize(spark, blocks.mapInArrow(_sketch(size), _SKETCH), "sketches")
     real = sketch.where("doc_id is not null and n_shingles > 0")
     classes = real.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("class"))
     member = materialize(spark, real.select("doc_id", "digest", "n_shingles").join(classes, ["digest", "n_shingles"]), "members")
-    reps = sketch.join(member.where("doc_id = class").select("doc_id"), "doc_id", "left_semi")
-    reps = materialize(spark, reps, "representatives")
-    lone = reps.select("doc_id", "n_shingles", "sig")
-    key = reps.select(F.explode("keys").alias("key"), "doc_id")
+    lone = materialize(spark, sketch.join(member.where("doc_id = class").select("doc_id"), "doc_id", "left_semi"), "representatives")
+    key = lone.select(F.explode("keys").alias("key"), "doc_id")
     buckets = materialize(spark, key.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     in_bucket = materialize(spark, key.join(buckets, "key"), "bucketed")
 
     side = lambda x: lone.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     stars = in_bucket.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     stars = stars.join(side("b"), "b").join(side("a"), "a").where(_near(F.col("n_a"), F.col("n_b"), threshold))
-    links = materialize(spark, _confirmed(_agreement(stars, floor), texts, size, percent), "links")
+    links = materialize(spark, _stars(_agreement(stars, floor), lone, blocks, size, percent), "links")
     if sure is not None:
         as_class = member.select(F.col("doc_id").alias("a"), F.col("class").alias("x"))
         sure = sure.join(as_class, "a").join(member.select(F.col("doc_id").alias("b"), F.col("class").alias("y")), "b")
@@ -224,16 +294,20 @@ def _components(texts: DataFrame, sure: DataFrame | None, size: int, percent: in
     # buckets that still hold several components
     placed = (in_bucket.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
               .withColumn("component", F.coalesce("component", "doc_id")))
-    open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = placed.join(open_, "key").join(lone, "doc_id").withColumn("blocks", F.expr(f"cast(ceil(n / {_BLOCK}) as int)"))
-    rest = rest.withColumn("block", F.expr("cast(pmod(xxhash64(7, doc_id), blocks) as int)"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "component", "n_shingles", "sig")
-    more = rest.groupBy("key", "lo", "hi").applyInArrow(_cross(threshold, floor), "a long, b long").distinct()
-    more = materialize(spark, more, "cross")
-    if not more.isEmpty():
-        extra = materialize(spark, _confirmed(more, texts, size, percent), "links")
-        comps = materialize(spark, connected_components(links.unionByName(extra)), "components")
+    open_ = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
+    rest = materialize(spark, placed.join(open_, "key").select("key", "n", "doc_id", "component"), "open")
+    at = rest.withColumn("parts", F.expr(f"cast(ceil(n / {_BLOCK}) as int)"))
+    at = at.withColumn("part", F.expr("cast(pmod(xxhash64(7, doc_id), parts) as int)"))
+    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    at = at.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "doc_id", "component")
+    asked = at.join(lone.select("doc_id", "n_shingles", "sig", "keys"), "doc_id").groupBy(*_GROUP).applyInArrow(_ask(threshold, floor), "key long, lo int, hi int, doc_id long")
+    asked = materialize(spark, asked, "asked")
+    if not asked.isEmpty():
+        need = asked.join(lone.select("doc_id", "block"), "doc_id").join(rest.select("doc_id", "component").distinct(), "doc_id")
+        more = _with_texts(need, blocks).groupBy(*_GROUP).applyInArrow(_join_components(size, percent, threshold, floor), "a long, b long")
+        more = materialize(spark, more, "links")
+        if not more.isEmpty():
+            comps = materialize(spark, connected_components(links.unionByName(more)), "components")
     named = member.join(comps.withColumnRenamed("node", "class").withColumnRenamed("component", "_c"), "class", "left")
     return sketch.select("doc_id", "n_shingles"), named.select("doc_id", F.coalesce("_c", "class").alias("component"))
 

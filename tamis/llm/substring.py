@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tamis.llm.frames import fresh, scratch_path, ship
+from tamis.llm.frames import ship, write_blocks
 from tamis.llm.words import Words, grams, hash_spans, mix, word_hashes, words
 
 _NONE = np.iinfo(np.int64).max
@@ -288,16 +288,6 @@ def _mark(length: int, prefix: int, text_name: str, schema: pa.Schema):
     return run
 
 
-def _write_blocks(df: DataFrame, block_rows: int) -> DataFrame:
-    """``df`` with a column ``block``, written to the shared folder as a table bucketed by block."""
-    spark = df.sparkSession
-    df = df.withColumn("block", F.expr(f"monotonically_increasing_id() div {block_rows}"))
-    buckets = max(1, df.rdd.getNumPartitions())
-    name = fresh("blocks")
-    (df.write.bucketBy(buckets, "block").sortBy("block").format("parquet").option("path", scratch_path(spark, "blocks")).saveAsTable(name))
-    return spark.table(name)
-
-
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 13, prefix: int = 5,
                    hot: int = 200, block_rows: int = 2048,
                    group_rows: int = 8192) -> DataFrame:
@@ -309,7 +299,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     names = {c: f"c{i}" for i, c in enumerate(own)}  # inner names, so that none clashes
     rows = docs.select(docs["`" + id_col + "`"].cast("long").alias("doc_id"), docs["`" + text_col + "`"].cast("string").alias("text"),
                        *[docs["`" + c.replace("`", "``") + "`"].alias(k) for c, k in names.items() if c not in (id_col, text_col)])
-    blocks = _write_blocks(rows, block_rows)
+    blocks = write_blocks(rows, block_rows)
     text = blocks.select("block", "doc_id", "text")
     groups = max(8, -(-blocks.count() // group_rows))  # about the prefixes of group_rows documents in a group
     asked = text.groupBy("block").applyInArrow(_send_prefixes(length, prefix, groups), _MESSAGE_SQL)
