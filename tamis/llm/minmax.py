@@ -15,7 +15,7 @@ documents share none of the 32 bands with probability 5e-6.
    signature bytes drop pairs far from the threshold (six standard deviations), the rest is
    confirmed on the full sets, recomputed from the texts of those documents only.
 3. Components of the confirmed links. Buckets that still hold two or more components are
-   cut into blocks of at most 256 classes, and every pair of blocks is one group. A group
+   cut into blocks of about 512 classes, and every pair of blocks is one group. A group
    looks at pairs of different components, each pair in the first band only that joins it,
    and asks for the texts of the classes with a pair the signatures do not exclude. With the
    texts it confirms such pairs on full sets, skips those it has already joined, and so
@@ -46,7 +46,7 @@ from tamis.llm.words import grams, mix, slices, word_hashes, words
 PERMUTATIONS = 64
 ROWS = 4  # values in a band
 _BANDS = 2 * PERMUTATIONS // ROWS
-_BLOCK = 256
+_BLOCK = 512
 
 
 def shingle_sets(column, size: int = 5) -> list[np.ndarray]:
