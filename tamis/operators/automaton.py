@@ -1,0 +1,87 @@
+"""Row matching of larger word banks: one pass over each text for all words.
+
+An Arrow UDF finds every occurrence (overlapping and nested ones too) with an
+Aho-Corasick automaton, built once per task from the bank in the task binary, and
+returns the same hit structs as the literal plan. It is one narrow projection: no
+join, no shuffle, the same in batch and streams, and texts of any length and words of
+any length are matched whole. Without the ``ahocorasick`` module words are searched
+one after the other, with equal results.
+"""
+
+import sys as _sys
+from typing import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle as _cp
+from pyspark.sql import functions as F
+
+from tamis import schemas
+
+# This module's code runs on Python workers; it is shipped by value with the task.
+_cp.register_pickle_by_value(_sys.modules[__name__])
+
+
+def finder(words: list):
+    """A function text -> iterator of (index of the word, 0-based character position)."""
+    try:
+        import ahocorasick
+    except ImportError:
+        def each(text):
+            for k, w in enumerate(words):
+                i = text.find(w)
+                while i >= 0:
+                    yield k, i
+                    i = text.find(w, i + 1)
+        return each
+    a = ahocorasick.Automaton()
+    for k, w in enumerate(words):
+        a.add_word(w, k)
+    a.make_automaton()
+    lengths = [len(w) for w in words]
+    return lambda text: ((k, end + 1 - lengths[k]) for end, k in a.iter(text))
+
+
+def hits_udf(rows: list, matcher: str, ord_: int, first: bool):
+    """Column function text -> array<hit>: every hit, or each word's first one."""
+    words = [r["word"] for r in rows]
+    types, severities = [r.get("type") for r in rows], [r.get("severity") for r in rows]
+    kind = schemas.HITS_DDL
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        find = finder(words) if words else (lambda text: ())
+        w, t, s = pa.array(words, pa.string()), pa.array(types, pa.string()), pa.array(severities, pa.string())
+        n = pa.array([len(x) for x in words], pa.int32())
+        for texts in batches:
+            ks, at, offsets = [], [], [0]
+            for text in texts.to_pylist():
+                if text:
+                    found = find(text)
+                    if first:
+                        least = {}
+                        for k, i in found:
+                            if i < least.get(k, i + 1):
+                                least[k] = i
+                        found = least.items()
+                    for k, i in found:
+                        ks.append(k)
+                        at.append(i)
+                offsets.append(len(ks))
+            k = pa.array(ks, pa.int32())
+            hit = pa.StructArray.from_arrays(
+                [pa.array([ord_] * len(ks), pa.int32()), pa.array([matcher] * len(ks), pa.string()), w.take(k), t.take(k), s.take(k),
+                 pa.array(at, pa.int32()), n.take(k)],
+                names=["matcher_ord", "matcher", "word", "type", "severity", "idx", "len"])
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), hit)
+
+    return run
+
+
+def strongest_udf(ranks: dict):
+    """Column function array<word> -> the largest rank among them, null if none is known."""
+    @F.arrow_udf("int")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            yield pa.array([max((ranks[w] for w in ws or () if w in ranks), default=None) for ws in lists.to_pylist()], pa.int32())
+
+    return run

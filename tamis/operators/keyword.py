@@ -3,18 +3,16 @@
 M1 ``KeywordMatcher``: every occurrence of every bank word, overlapping and nested
 occurrences included, exact and case-sensitive, offsets in characters.
 
-Plan A (bank up to ``max_words``, size-checked on the driver): the bank is one
+Plan A (bank up to ``inline_max`` words): the bank is one
 folded ``array<struct>`` literal in the plan (shipped with the task binary, like a
 broadcast). Per text, ``filter(bank, contains(text, word))`` keeps the words that
 occur; for those, ``split(text, '(?=word)')`` cuts the text at every occurrence
 start (the lookahead also finds overlaps) and the piece lengths' prefix sums are
 the offsets. One projection over the scan: no join, no shuffle.
 
-Plan B (larger banks): ``match_keywords(..., plan="gram")`` cuts texts into chunks,
-explodes one row per position with the next ``W`` characters, equi-joins the first
-three characters with the bank's first three (hash join; broadcast only when the
-bank's size is checked) and verifies with ``startswith``. Words of one or two
-characters go through plan A.
+Plan B (banks over ``inline_max`` words): an Arrow UDF finds all words in one pass over
+the text (``automaton``). Both plans are row matchers with equal results: verdicts, hits,
+redaction, declared actions and streams do not depend on the bank's size.
 
 M4 ``LiteralMatcher``: the first occurrence of each word, at most one hit per word.
 """
@@ -24,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tamis import schemas
+from tamis.operators.automaton import hits_udf
 from tamis.functions.arrays import exclusive_prefix_sum, let
 from tamis.functions.sqlutil import literal_rows
 from tamis.operators.matchers import Matcher, bank_rows, hit_struct, _weight_of
@@ -62,44 +61,36 @@ def count_occurrences(text: Column, word: Column, pat: Column) -> Column:
 class KeywordMatcher(Matcher):
     """M1: every occurrence of every word.
 
-    ``plan="auto"`` keeps banks of up to ``inline_max`` words inline (a row matcher:
-    one projection, verdicts without a shuffle) and matches larger banks with the
-    gram join (a flat matcher: verdicts by aggregation). ``"inline"`` / ``"gram"``
-    force a plan.
+    ``plan="auto"`` keeps banks of up to ``inline_max`` words as a literal of the plan and
+    finds the words of larger ones with an automaton; ``"inline"`` / ``"automaton"`` force
+    a plan. A bank of more than ``max_words`` words is refused (``BankTooLarge``).
     """
 
     name = "keyword"
 
-    def __init__(self, bank, max_words: int = 5000, name: str | None = None, plan: str = "auto",
-                 inline_max: int = 64, chunk: int = 4096, broadcast_max_words: int = 200_000,
-                 text_chunk: int = 65536):
+    def __init__(self, bank, max_words: int = 200_000, name: str | None = None, plan: str = "auto",
+                 inline_max: int = 64, text_chunk: int = 65536):
+        if plan not in ("auto", "inline", "automaton"):
+            raise ValueError("plan must be 'auto', 'inline' or 'automaton'")
         if name:
             self.name = name
-        self.text_chunk = text_chunk
-        self.chunk, self.broadcast_max_words, self.max_words = chunk, broadcast_max_words, max_words
-        self.bank_df = None
-        if plan == "gram" or (plan == "auto" and _too_big(bank, inline_max)):
-            self.row_based = False
-            self.bank_df = _as_df(bank)
-            self.rows = []
-            self.bank_lit = None
-            return
         self.rows = bank_rows(bank, max_words)
-        self.bank_lit = literal_rows(
+        self.text_chunk = max([text_chunk, *(len(r["word"]) for r in self.rows)])
+        self.automaton = plan == "automaton" or (plan == "auto" and len(self.rows) > inline_max)
+        self._udfs: dict = {}
+        self.bank_lit = None if self.automaton else literal_rows(
             [dict(r, wlen=len(r["word"]), pat=lookahead_pattern(r["word"])) for r in self.rows], _FIELDS)
 
+    def _udf(self, text: Column, ord_: int, first: bool) -> Column:
+        if (ord_, first) not in self._udfs:
+            self._udfs[ord_, first] = hits_udf(self.rows, self.name, ord_, first)
+        return self._udfs[ord_, first](text)
+
     def flat_hits(self, texts: DataFrame, ord_: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
         tx = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        if self.row_based:
-            return self._chunked_inline(tx, ord_)
-        return (_gram_plan(tx, self.bank_df, self.chunk, self.broadcast_max_words, self.max_words)
-                .withColumn("matcher", F.lit(self.name)).withColumn("matcher_ord", F.lit(ord_).cast("int"))
-                .select(*schemas.HITS.fieldNames()))
+        return Matcher.flat_hits(self, tx, ord_) if self.automaton else self._chunked_inline(tx, ord_)
 
     def actions(self) -> dict:
-        if not self.row_based:
-            return {r["word"]: r["action"] for r in self.bank_df.select("word", "action")
-                    .limit(self.max_words + 1).collect()}
         return {r["word"]: r.get("action") for r in self.rows}
 
     def _chunked_inline(self, tx: DataFrame, ord_: int) -> DataFrame:
@@ -125,6 +116,8 @@ class KeywordMatcher(Matcher):
         return F.filter(self.bank_lit, lambda b: F.contains(t, b["word"]))
 
     def hits(self, text: Column, ord_: int) -> Column:
+        if self.automaton:
+            return self._udf(text, ord_, False)
         name = self.name
         return F.flatten(F.transform(
             self._found(text),
@@ -133,14 +126,18 @@ class KeywordMatcher(Matcher):
                                                        p, b["wlen"]))))
 
     def first_hits(self, text: Column, ord_: int) -> Column:
+        if self.automaton:
+            return self._udf(text, ord_, True)
         name = self.name
         return F.transform(self._found(text),
                            lambda b: hit_struct(ord_, name, b["word"], b["type"], b["severity"],
                                                 F.instr(text, b["word"]) - 1, b["wlen"]))
 
     def score_micros(self, text: Column, weights: dict | None = None) -> Column:
+        if self.automaton:
+            return Matcher.score_micros(self, text, weights)
         wm = weight_micros(weights)
-        live = F.filter(self.bank_lit, lambda b: (_weight_of(b["severity"], wm) > 0) & F.contains(text, b["word"]))
+        live = F.filter(self.bank_lit, lambda b: (_weight_of(b["severity"], wm) != 0) & F.contains(text, b["word"]))
         return F.aggregate(live, F.lit(0).cast("long"),
                            lambda acc, b: acc + _weight_of(b["severity"], wm)
                            * count_occurrences(text, b["word"], b["pat"]).cast("long"))
@@ -155,20 +152,14 @@ class LiteralMatcher(KeywordMatcher):
         return self.first_hits(text, ord_)
 
     def score_micros(self, text: Column, weights: dict | None = None) -> Column:
+        if self.automaton:
+            return Matcher.score_micros(self, text, weights)
         wm = weight_micros(weights)
         return F.aggregate(self._found(text), F.lit(0).cast("long"),
                            lambda acc, b: acc + _weight_of(b["severity"], wm))
 
     def flat_hits(self, texts: DataFrame, ord_: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
-        if self.row_based:
-            tx = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-            return Matcher.flat_hits(self, tx, ord_)
-        # large bank: every occurrence from the gram plan, then each word's first one
-        # (a partial aggregate per (id, word), so a hot text is combined map-side)
-        allh = KeywordMatcher.flat_hits(self, texts, ord_, id_col, text_col)
-        first = allh.groupBy("id", "word").agg(
-            F.min(F.struct("idx", "len", "matcher", "matcher_ord", "type", "severity")).alias("f"))
-        return first.select("id", "f.matcher", "f.matcher_ord", "word", "f.type", "f.severity", "f.idx", "f.len")
+        return Matcher.flat_hits(self, texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ord_)
 
 
 # --------------------------------------------------------------------------- flat API
@@ -183,60 +174,7 @@ def match_literal(texts: DataFrame, bank, id_col: str = "id", text_col: str = "t
 
 
 def match_keywords(texts: DataFrame, bank, plan: str = "auto", id_col: str = "id", text_col: str = "text",
-                   max_words: int = 5000, chunk: int = 4096, broadcast_max_words: int = 200_000,
-                   inline_max: int = 64) -> DataFrame:
-    """M1 as a flat HITS DataFrame. ``plan``: "inline" (A), "gram" (B) or "auto"."""
+                   max_words: int = 200_000, inline_max: int = 64) -> DataFrame:
+    """M1 as a flat HITS DataFrame. ``plan``: "inline" (A), "automaton" (B) or "auto"."""
     tx = _texts(texts, id_col, text_col)
-    return KeywordMatcher(bank, max_words=max_words, plan=plan, inline_max=inline_max, chunk=chunk,
-                          broadcast_max_words=broadcast_max_words).flat_hits(tx, 0)
-
-
-def _as_df(bank) -> DataFrame:
-    if isinstance(bank, DataFrame):
-        return bank
-    from pyspark.sql import SparkSession
-    return SparkSession.getActiveSession().createDataFrame([tuple(r) for r in bank], schemas.BANK)
-
-
-def _too_big(bank, inline_max: int) -> bool:
-    if isinstance(bank, DataFrame):
-        return bank.limit(inline_max + 1).count() > inline_max
-    return len(bank) > inline_max
-
-
-def _gram_plan(tx: DataFrame, bank: DataFrame, chunk: int, broadcast_max_words: int, max_words: int) -> DataFrame:
-    """Plan B: hash equi-join of text 3-grams with the bank's first three characters.
-
-    Per text, one regex pass cuts it into ``chunk``-character pieces and one pass per
-    piece lists, for every character position, the next ``W`` characters (W = the
-    longest word); a match consumes one code point, so positions stay in characters
-    even beside surrogate pairs. Only (id, offset, window) rows are exploded - never
-    the text - and the bank side is broadcast only behind a row-count check.
-    """
-    from pyspark.sql.functions import broadcast
-
-    b = bank.select("word", "type", "severity", F.length("word").cast("int").alias("wlen")) \
-        .filter(F.col("wlen") > 0)
-    short = b.filter(F.col("wlen") <= 2).select("word", "type", "severity")
-    # join key: a 64-bit hash of the first three characters (a long-keyed hash
-    # relation probes faster than a string one); startswith() below removes collisions
-    long_ = b.filter(F.col("wlen") >= 3).withColumn("g", F.xxhash64(F.substring("word", 1, 3)))
-    w = long_.agg(F.max("wlen")).first()[0] or 3  # one small aggregate over the bank
-    pieces = F.regexp_extract_all(F.col("text"), F.lit("(?s).{1,%d}" % chunk), F.lit(0))
-    rows = let(pieces, lambda cs: F.transform(cs, lambda c, k: F.struct(
-        (k * chunk).alias("off"), F.length(c).alias("n"),
-        F.concat(c, F.coalesce(F.substring(F.get(cs, k + 1), 1, w - 1), F.lit(""))).alias("ext"))))
-    ck = tx.filter(F.length("text") >= 3).select("id", F.inline(rows))
-    wins = F.slice(F.regexp_extract_all(F.col("ext"), F.lit("(?s)(?=(.{1,%d}))." % w), F.lit(1)), 1, F.col("n"))
-    pos = (ck.select("id", "off", F.posexplode(wins).alias("i", "win"))
-           .filter(F.length("win") >= 3)
-           .select("id", (F.col("off") + F.col("i")).cast("int").alias("idx"), "win",
-                   F.xxhash64(F.substring("win", 1, 3)).alias("g")))
-    n_long = long_.limit(broadcast_max_words + 1).count()
-    side = broadcast(long_) if n_long <= broadcast_max_words else long_
-    cand = pos.join(side, "g").filter(F.startswith(F.col("win"), F.col("word")))
-    out = cand.select("id", F.lit("keyword").alias("matcher"), F.lit(0).cast("int").alias("matcher_ord"),
-                      "word", "type", "severity", "idx", F.col("wlen").alias("len"))
-    if short.limit(1).count():
-        out = out.unionByName(KeywordMatcher(short, max_words=max_words).flat_hits(tx, 0))
-    return out.select(*schemas.HITS.fieldNames())
+    return KeywordMatcher(bank, max_words=max_words, plan=plan, inline_max=inline_max).flat_hits(tx, 0)

@@ -18,23 +18,24 @@ class BankTooLarge(Exception):
     pass
 
 
-def bank_rows(bank, max_words: int = 5000, max_chars: int = 1_000_000) -> list[dict]:
-    """Bank rows on the driver, behind a size check.
+def bank_rows(bank, max_words: int = 200_000, max_chars: int = 20_000_000) -> list[dict]:
+    """Bank rows on the driver, behind a size check; of a repeated word the last row counts.
 
     A bank is config-size; we fetch at most ``max_words + 1`` rows, so the driver
-    never pulls more than the bound even when handed a large table.
+    never pulls more than the bound, and more rows than that are an error.
+    ``bank``: a DataFrame, or a list of dicts, tuples or Rows.
     """
-    if isinstance(bank, list):
-        rows = [dict(zip(("word", "type", "severity", "action"), r)) if not isinstance(r, dict) else r
-                for r in bank]
-    else:
+    if isinstance(bank, DataFrame):
         rows = [r.asDict() for r in bank.limit(max_words + 1).collect()]
+    else:
+        rows = [r if isinstance(r, dict) else r.asDict() if hasattr(r, "asDict")
+                else dict(zip(("word", "type", "severity", "action"), r)) for r in bank]
     if len(rows) > max_words:
         raise BankTooLarge(f"bank has more than {max_words} words")
     if sum(len(r["word"] or "") for r in rows) > max_chars:
         raise BankTooLarge(f"bank words exceed {max_chars} characters")
-    rows = [r for r in rows if r.get("word")]
-    return sorted(rows, key=lambda r: r["word"])
+    last = {r["word"]: r for r in rows if r.get("word")}
+    return [last[w] for w in sorted(last)]
 
 
 def empty_hits() -> Column:

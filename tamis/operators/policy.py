@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tamis import fixed, schemas
 from tamis.functions.arrays import running_max, let
 from tamis.functions.text import weight_micros
+from tamis.operators.automaton import strongest_udf
 from tamis.operators.matchers import empty_hits, _weight_of
 from tamis.functions.sqlutil import literal_rows
 
@@ -62,8 +63,8 @@ def moderate(texts: DataFrame, matchers: list, mode: str = fixed.DEFAULT_MODE,
 
     ``matchers``: matcher objects, registered matcher names, or a bank (the default
     keyword matcher). Result: (id, flagged, action, score, hits, n_hits[, keep...]);
-    ``score`` is set in weighted mode only, ``hits`` is empty in weighted mode and
-    NULL on the flat path (use ``policy_hits``). A row whose text is NULL cannot be
+    ``score`` is set in weighted mode only, ``hits`` is empty in weighted mode. Matchers
+    that give flat hits (``dataframe_matcher``) need ids that name one text. A row whose text is NULL cannot be
     moderated: flagged=false, action=fallback.
     """
     mode = _mode(mode)
@@ -78,8 +79,10 @@ def moderate(texts: DataFrame, matchers: list, mode: str = fixed.DEFAULT_MODE,
             h = m.flat_hits(tx, k)
             hits = h if hits is None else hits.unionByName(h)
         r = moderate_hits(tx, hits, mode=mode, threshold=threshold, fallback=fallback, weights=weights, keep=keep)
-        return r.select("id", "flagged", "action", "score", F.lit(None).cast(schemas.HITS_DDL).alias("hits"),
-                        "n_hits", *keep)
+        fields = ("matcher_ord", "matcher", "word", "type", "severity", "idx", "len")
+        own = policy_hits(hits, mode).groupBy("id").agg(F.collect_list(F.struct(*fields)).alias("_hits"))
+        got = F.when(F.col("n_hits") > 0, reference_order(F.coalesce(F.col("_hits"), empty_hits()))).otherwise(empty_hits())
+        return r.join(own, "id", "left").select("id", "flagged", "action", "score", got.alias("hits"), "n_hits", *keep)
     t = F.col("_t")
     df = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"), *keep)
     score = F.lit(None).cast("double")
@@ -241,11 +244,14 @@ def declared_action(hits: Column, actions: dict) -> Column:
     """P6: the strongest bank action among a text's hits (block > mask > review > pass);
     NULL when there is no hit or no known action."""
     rank = fixed.ACTION_RANK
-    rows = [{"word": w, "r": rank.get(a or "", 0)} for w, a in sorted(actions.items())]
-    lit = literal_rows(rows, [("word", "string"), ("r", "int")])
     words = F.array_distinct(F.transform(hits, lambda h: h["word"]))
-    best = F.array_max(F.transform(words, lambda w: F.aggregate(
-        F.filter(lit, lambda b: b["word"] == w), F.lit(0), lambda a, b: F.greatest(a, b["r"]))))
+    if len(actions) > 64:
+        best = strongest_udf({w: rank.get(a or "", 0) for w, a in actions.items()})(words)
+    else:
+        rows = [{"word": w, "r": rank.get(a or "", 0)} for w, a in sorted(actions.items())]
+        lit = literal_rows(rows, [("word", "string"), ("r", "int")])
+        best = F.array_max(F.transform(words, lambda w: F.aggregate(
+            F.filter(lit, lambda b: b["word"] == w), F.lit(0), lambda a, b: F.greatest(a, b["r"]))))
     out = None
     for a, r in sorted(rank.items(), key=lambda kv: -kv[1]):
         out = F.when(best == r, F.lit(a)) if out is None else out.when(best == r, F.lit(a))

@@ -12,7 +12,7 @@ def bank(*words):
 
 def hits(spark, texts, words, plan="inline"):
     b = bank(*words)
-    if plan == "gram":
+    if plan == "automaton":
         b = spark.createDataFrame(b, "word string, type string, severity string, action string")
     rows = match_keywords(texts_df(spark, texts), b, plan=plan).collect()
     return sorted((r.id, r.word, r.idx, r.len) for r in rows)
@@ -46,11 +46,11 @@ def test_plans_agree_with_naive_finder(spark):
     rnd = random.Random(7)
     alphabet = "ab😀é \n"
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 300))) for _ in range(60)]
-    texts.append("ab" * 3000)  # longer than one gram-plan chunk
+    texts.append("ab" * 3000)  # longer than one piece
     words = ["a", "ab", "aba", "abab", "é😀", "b a", "😀😀é", "\nab"]
     exp = sorted((i, w, p, len(w)) for i, t in enumerate(texts) for (w, p) in naive_occurrences(t, words))
     assert hits(spark, texts, words, "inline") == exp
-    assert hits(spark, texts, words, "gram") == exp
+    assert hits(spark, texts, words, "automaton") == exp
 
 
 def test_literal_match_first_occurrence(spark):
@@ -61,7 +61,7 @@ def test_literal_match_first_occurrence(spark):
 def test_auto_plan_switches_on_bank_size(spark):
     small = KeywordMatcher(bank(*[f"w{i}" for i in range(10)]))
     big = KeywordMatcher(bank(*[f"w{i}" for i in range(100)]))
-    assert small.row_based and not big.row_based
+    assert small.row_based and big.row_based and big.automaton and not small.automaton
 
 
 def test_plan_is_one_narrow_projection(spark):

@@ -111,7 +111,7 @@ def test_row_path_verdicts_need_no_exchange(spark):
 
 def test_flat_path_shuffles_ids_not_texts(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    ms = [KeywordMatcher([("bad", "t", "high", "block")], plan="gram")]
+    ms = [KeywordMatcher([("bad", "t", "high", "block")], plan="automaton")]
     r = moderate(df, ms, mode="chain", id_col="doc_id")
     ex = r._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
@@ -147,7 +147,7 @@ def test_dataframe_matcher_in_chain(spark):
 
 
 def test_flat_path_keeps_columns(spark):
-    km = KeywordMatcher([("bad", "t", "high", "block")], plan="gram")
+    km = KeywordMatcher([("bad", "t", "high", "block")], plan="automaton")
     df = spark.createDataFrame([(1, "bad bad", "x"), (2, "ok", "y")], "id long, text string, tag string")
     rows = moderate(df, [km], keep=("text", "tag")).orderBy("id").collect()
     assert [(r.flagged, r.n_hits, r.text, r.tag) for r in rows] == [(True, 2, "bad bad", "x"), (False, 0, "ok", "y")]
