@@ -60,6 +60,7 @@ def re2_to_java(p: str) -> str:
     in_class = False
     class_start = False
     negated_class = False
+    names = set()
     stack = []
     ungreedy = False
     dotall = False
@@ -84,10 +85,11 @@ def re2_to_java(p: str) -> str:
                     out.append(j)
                     class_start = False
                     continue
-                elif d.isdigit() and d != "0":
-                    raise PatternError("backreference")
                 else:
-                    out.append(p[i:i + 2])
+                    j, i = _escape(p, i, "afnrtdDwW")
+                    out.append(j)
+                    class_start = False
+                    continue
                 i += 2
                 class_start = False
                 continue
@@ -138,23 +140,10 @@ def re2_to_java(p: str) -> str:
                 out.append("[^" + SPACE_CHARS + "]")
             elif d == "v":
                 out.append("\\x0B")
-            elif d == "Z":
-                raise PatternError("\\Z is not RE2")
-            elif d == "C":
-                raise PatternError("\\C is not supported")
             elif d in "pP":
                 j, i = _prop(p, i)
                 out.append(j)
                 continue
-            elif d == "x" and p.startswith("{", i + 2):
-                k = p.find("}", i + 2)
-                if k < 0:
-                    raise PatternError("bad \\x{...}")
-                out.append(p[i:k + 1])
-                i = k + 1
-                continue
-            elif d.isdigit() and d != "0":
-                raise PatternError("backreference")
             elif d == "Q":
                 j = p.find("\\E", i + 2)
                 lit = p[i + 2:] if j < 0 else p[i + 2:j]
@@ -162,7 +151,9 @@ def re2_to_java(p: str) -> str:
                 i = n if j < 0 else j + 2
                 continue
             else:
-                out.append(p[i:i + 2])
+                j, i = _escape(p, i, "afnrtdDwWAz")
+                out.append(j)
+                continue
             i += 2
             continue
         if c == "[":
@@ -183,10 +174,14 @@ def re2_to_java(p: str) -> str:
             i += 1
             continue
         if c == "(":
-            if p.startswith("(?P<", i):
+            named = re.match(r"\(\?P?<([0-9A-Za-z_]+)>", p[i:])
+            if named:  # names are not used, and Java does not take every RE2 name
+                if named.group(1) in names:
+                    raise PatternError("duplicate group name")
+                names.add(named.group(1))
                 stack.append((dotall, multiline, ungreedy))
-                out.append("(?<")
-                i += 4
+                out.append("(")
+                i += named.end()
                 continue
             if p.startswith("(?=", i) or p.startswith("(?!", i) or p.startswith("(?<", i) or p.startswith("(?>", i):
                 raise PatternError("lookaround / atomic groups are not RE2")
@@ -211,15 +206,19 @@ def re2_to_java(p: str) -> str:
             out.append("(")
             i += 1
             continue
-        if c in "*+?}" and i + 1 < n and p[i + 1] == "+":
-            raise PatternError("possessive quantifiers are not RE2")
         rep = re.match(r"\{\d+(,\d*)?\}", p[i:]) if c == "{" else None
         if c in "*+?" or rep:
             q = rep.group(0) if rep else c
             i += len(q)
+            if rep:
+                least, _, most = q[1:-1].partition(",")
+                if int(least) > 1000 or (most and (int(most) > 1000 or int(most) < int(least))):
+                    raise PatternError("bad repeat count")
             lazy = i < n and p[i] == "?"
             if lazy:
                 i += 1
+            if i < n and (p[i] in "*+?" or re.match(r"\{\d+(,\d*)?\}", p[i:])):
+                raise PatternError("a repetition of a repetition (possessive or nested) is not RE2")
             # RE2 (?U) swaps greedy and lazy
             out.append(q + ("?" if lazy != ungreedy else ""))
             continue
@@ -239,6 +238,26 @@ def re2_to_java(p: str) -> str:
     return "".join(out)
 
 
+def _escape(p: str, i: int, letters: str) -> tuple[str, int]:
+    """The escape at ``i`` and the place after it; only escapes that RE2 knows pass."""
+    d = p[i + 1]
+    if d in letters:
+        return p[i:i + 2], i + 2
+    if d in "01234567":
+        m = re.match(r"0[0-7]{0,2}|[1-7][0-7]{1,2}", p[i + 1:])
+        if not m:
+            raise PatternError("backreference")
+        return "\\x{%x}" % int(m.group(0), 8), i + 1 + m.end()
+    if d == "x":
+        m = re.match(r"x(?:([0-9A-Fa-f]{2})|\{([0-9A-Fa-f]+)\})", p[i + 1:])
+        if not m or int(m.group(1) or m.group(2), 16) > 0x10FFFF:
+            raise PatternError("bad \\x escape")
+        return "\\x{%s}" % (m.group(1) or m.group(2)), i + 1 + m.end()
+    if d.isascii() and not d.isalnum():
+        return p[i:i + 2], i + 2
+    raise PatternError(f"\\{d} is not RE2")
+
+
 def java_valid(spark, pattern: str) -> bool:
     """Compile on the driver's JVM (the executors run the same java.util.regex)."""
     try:
@@ -339,8 +358,9 @@ def required_literal(p: str) -> str | None:
                     i += 1
                 elif d == "x":
                     i += 2
-                elif d == "0":
-                    while i < n and p[i] in "01234567":
+                elif d in "01234567":  # three octal digits at most, the first one is read
+                    k = i + 2
+                    while i < min(n, k) and p[i] in "01234567":
                         i += 1
                 if i < n and p[i] in "*+?{":
                     continue

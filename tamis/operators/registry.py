@@ -33,7 +33,8 @@ class MatcherNotFound(KeyError):
 
 
 def register_matcher(name: str, matcher) -> None:
-    _REGISTRY[name] = matcher
+    """A matcher object, or a function ``fn(texts_df, bank) -> HITS`` (see ``DataFrameMatcher``)."""
+    _REGISTRY[name] = matcher if isinstance(matcher, Matcher) else DataFrameMatcher(name, matcher)
 
 
 def get_matcher(name: str):
@@ -76,7 +77,7 @@ class PythonRowMatcher(Matcher):
                 hs = []
                 if t is not None:
                     try:
-                        hs = list(fn_(t) or [])
+                        hs = [(w, ty, sv, int(i), int(n)) for (w, ty, sv, i, n) in fn_(t) or []]
                     except Exception:
                         hs = []  # a failing matcher is skipped for this text
                         failed += 1
@@ -87,7 +88,7 @@ class PythonRowMatcher(Matcher):
                             best[h[0]] = h
                     hs = list(best.values())
                 out.append([{"matcher_ord": ord_, "matcher": name, "word": w, "type": ty, "severity": sv,
-                             "idx": int(i), "len": int(n)} for (w, ty, sv, i, n) in hs])
+                             "idx": i, "len": n} for (w, ty, sv, i, n) in hs])
             if failed:
                 errors.add(failed)
             return pd.Series(out)

@@ -40,53 +40,35 @@ def last_value(df: DataFrame, key: str, ts: str, val: str, tiebreak: str | None
 
 
 def running_level(df: DataFrame, key: str, ts: str, delta: str, tiebreak: str, keep: tuple = (),
-                  scale: int = 2, partitions: int | None = None) -> DataFrame:
+                  bucket: str = "hour", width: float = 3600.0) -> DataFrame:
     """R2 gauge Inc/Dec: the running sum of ``delta`` per key in (ts, tiebreak) order.
 
-    An exact parallel prefix sum that no key can skew:
-
-    1. ``repartitionByRange(key, ts, tiebreak)`` cuts the sorted event order into
-       balanced ranges (sampled), so a hot key spans several partitions;
-    2. inside each sorted partition, ``mapInPandas`` adds up each key's deltas
-       (vectorised cumsum on integer units of 10^-scale, carried across Arrow batches);
-    3. the only key of a partition that continues from earlier partitions is its
-       first one, so the offsets table has at most one row per partition: a proven
-       bound, broadcast to add each continuing key's earlier total.
+    Times are cut into buckets (``bucket`` for timestamps and dates, ``width`` for numbers).
+    Totals per (key, bucket) are combined map-side and summed over earlier buckets; inside a
+    bucket a window runs over (key, bucket). So a hot key is as many groups as it has
+    buckets, and no sort holds more than one bucket of one key. NULL keys are one key, NULL
+    times come first, a NULL delta adds nothing. Integers and decimals are summed as they
+    are, floating-point deltas as decimals of nine places, so the sum has no order.
     """
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
-    from pyspark.sql.functions import broadcast
-
-    unit = 10 ** scale
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ev = df.select(F.col(key).alias("_k"), F.col(ts).alias("_ts"), F.col(tiebreak).alias("_tb"),
-                   (F.col(delta).cast(f"decimal(18,{scale})") * F.lit(unit)).cast("long").alias("_c"), *keep)
-    rp = ev.repartitionByRange(n, "_k", "_ts", "_tb").withColumn("_p", F.spark_partition_id())
-    out_schema = T.StructType(rp.schema.fields + [T.StructField("_run", T.LongType())])
-
-    def scan(batches):
-        last_key, carry = None, 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            c = pdf["_c"].fillna(0).astype("int64")
-            run = c.groupby(pdf["_k"], sort=False, dropna=False).cumsum().to_numpy(dtype=np.int64)
-            if last_key is not None:
-                first = (pdf["_k"] == last_key).to_numpy()
-                run = run + np.where(first, carry, 0)
-            last_key, carry = pdf["_k"].iloc[-1], int(run[-1])
-            yield pdf.assign(_run=pd.Series(run, index=pdf.index))
-
-    local = rp.sortWithinPartitions("_k", "_ts", "_tb").mapInPandas(scan, out_schema)
-    # totals per (partition, key) -> earlier totals of the same key -> keep continuing keys only
-    tot = rp.groupBy("_p", "_k").agg(F.sum("_c").alias("_t"))
-    earlier = F.sum("_t").over(Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    off = tot.select("_p", "_k", earlier.alias("_off")).filter(F.col("_off").isNotNull())
-    j = local.join(broadcast(off), ["_p", "_k"], "left")
-    lvl = (F.col("_run") + F.coalesce(F.col("_off"), F.lit(0))).cast("decimal(38,0)") / F.lit(unit)
-    return j.select(F.col("_k").alias(key), F.col("_ts").alias(ts), F.col("_tb").alias(tiebreak), *keep,
-                    lvl.cast(f"decimal(18,{scale})").alias("level"))
+    t = df.schema[ts].dataType
+    at = F.col(ts)
+    cut = F.date_trunc(bucket, at) if t.typeName() in ("timestamp", "timestamp_ntz", "date") else F.floor(at / F.lit(width))
+    kind = df.schema[delta].dataType.typeName()
+    d = F.col(delta).cast("decimal(38,9)") if kind in ("float", "double") else F.col(delta)
+    ev = df.select(F.col(key).alias("_k"), at.alias("_ts"), F.col(tiebreak).alias("_tb"), F.coalesce(d, F.lit(0).cast(d_type(d, df))).alias("_d"),
+                   cut.alias("_b"), *[F.col(c) for c in keep])
+    total = ev.groupBy("_k", "_b").agg(F.sum("_d").alias("_t"))
+    before = F.sum("_t").over(Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    before = total.select(F.col("_k").alias("_k2"), F.col("_b").alias("_b2"), before.alias("_off"))
+    j = ev.join(before, F.col("_k").eqNullSafe(F.col("_k2")) & F.col("_b").eqNullSafe(F.col("_b2")), "left")
+    own = F.sum("_d").over(Window.partitionBy("_k", "_b").orderBy("_ts", "_tb").rowsBetween(Window.unboundedPreceding, 0))
+    level = own + F.coalesce(F.col("_off"), F.lit(0))
+    return j.select(F.col("_k").alias(key), F.col("_ts").alias(ts), F.col("_tb").alias(tiebreak), *keep, level.alias("level"))
+
+
+def d_type(column: Column, df: DataFrame):
+    """The type a column expression has on ``df``."""
+    return df.select(column.alias("x")).schema["x"].dataType
 
 
 def histogram(df: DataFrame, val: str, buckets, by=()) -> DataFrame:
@@ -97,7 +79,7 @@ def histogram(df: DataFrame, val: str, buckets, by=()) -> DataFrame:
         name = ("le_" + (str(int(b)) if float(b).is_integer() else str(b))).replace(".", "_")
         cols.append(F.count_if(F.col(val) <= F.lit(float(b))).alias(name))
     cols += [F.count(F.col(val)).alias("le_inf"),
-             F.sum(F.col(val).cast("decimal(18,2)")).cast("double").alias("sum"),
+             F.sum(F.col(val).cast("decimal(38,9)")).cast("double").alias("sum"),
              F.count(F.lit(1)).alias("count")]
     return df.groupBy(*by).agg(*cols)
 

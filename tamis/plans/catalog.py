@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tamis.plans import queries as Q
+from tamis.plans.large_bank import QUERIES as LARGE
 
 
 def queries() -> dict:
@@ -47,6 +48,7 @@ def queries() -> dict:
         "custom_matcher": Q.custom_matcher,
         "stream_reload": Q.stream_reload,
         "quota_audit_stream": Q.quota_audit_stream_q,
+        **LARGE,
     }
 
 

@@ -42,10 +42,17 @@ REGEX_BANK_EXTRA = [
     ("x*", "empty", "low", "pass"),
     ("é.u", "lang_fr", "low", "review"),
     (r"\.$", "tail", "low", "pass"),
+    (r"\141n", "octal", "low", "pass"),
+    ("(?P<a_name>ou)t?", "named", "low", "pass"),
 ]
 REGEX_BANK_INVALID = [
     ("(", "broken", "high", "block"),
     ("(?=x)y", "lookahead", "high", "block"),
+    (r"\h", "java", "high", "block"),
+    (r"\R", "java", "high", "block"),
+    (r"t{1001}", "count", "high", "block"),
+    (r"t{2}{3}", "nested", "high", "block"),
+    (r"(?P<n>a)\k<n>", "backref", "high", "block"),
 ]
 REGEX_BANK_VALID = DOC_BANK + REGEX_BANK_EXTRA
 REGEX_BANK = REGEX_BANK_VALID + REGEX_BANK_INVALID

@@ -35,8 +35,21 @@ def docs(spark, d) -> DataFrame:
     return spread(read(spark, d, "documents").select("doc_id", "text"))
 
 
+def email_matcher(spark):
+    return RegexMatcher.from_rules(spark, EMAIL_RULE, name="rules")
+
+
 def doc_matchers(spark):
-    return [KeywordMatcher(DOC_BANK), RegexMatcher.from_rules(spark, EMAIL_RULE, name="rules")]
+    return [KeywordMatcher(DOC_BANK), email_matcher(spark)]
+
+
+def hit_columns(hits) -> DataFrame:
+    return hits.select(F.col("id").alias("doc_id"), "word", "type", "severity", "idx", "len")
+
+
+def verdict_columns(r) -> DataFrame:
+    return r.select(F.col("id").alias("doc_id"), "flagged", "action", F.size("hits").cast("long").alias("n_hits"),
+                    F.get(F.col("hits"), 0)["matcher"].alias("decided_by"))
 
 
 # ----------------------------------------------------------------------- matchers
@@ -73,10 +86,7 @@ def rule_hits_pages(spark, d):
 # ----------------------------------------------------------------------- policies
 
 def chain_verdict(spark, d):
-    r = moderate(docs(spark, d), doc_matchers(spark), mode="chain", id_col="doc_id")
-    return r.select(F.col("id").alias("doc_id"), "flagged", "action",
-                    F.size("hits").cast("long").alias("n_hits"),
-                    F.get(F.col("hits"), 0)["matcher"].alias("decided_by"))
+    return verdict_columns(moderate(docs(spark, d), doc_matchers(spark), mode="chain", id_col="doc_id"))
 
 
 def parallel_verdict(spark, d):
@@ -105,7 +115,7 @@ def redact_counts(spark, d):
     r = moderate(docs(spark, d), [KeywordMatcher(DOC_BANK)], mode="chain", id_col="doc_id", keep=("text",))
     m = redact(F.col("text"), F.col("hits"))
     return r.select(F.col("id").alias("doc_id"), m["n_masked"].alias("n_masked"),
-                    m["n_islands"].alias("n_islands"), F.length(m["text"]).cast("int").alias("masked_len"))
+                    m["n_islands"].alias("n_islands"), F.length(m["text"]).cast("int").alias("masked_len"), F.md5(m["text"]).alias("masked_md5"))
 
 
 def conversation_points(spark, d):
@@ -274,10 +284,13 @@ def render_dify_documented(spark, d):
 
 
 def render_standard_q(spark, d):
+    return render_bodies(standard_requests(spark, d), [KeywordMatcher(DOC_BANK)])
+
+
+def render_bodies(requests, matchers) -> DataFrame:
     from tamis.sources.requests import parse_standard
     from tamis.sources.render import render_standard
-    p = parse_standard(standard_requests(spark, d))
-    r = moderate(p, [KeywordMatcher(DOC_BANK)], mode="chain", keep=("error",))
+    r = moderate(parse_standard(requests), matchers, mode="chain", keep=("error",))
     body = F.when(F.col("error").isNotNull(), F.to_json(F.struct(F.col("error").alias("error")))) \
         .otherwise(render_standard(F.col("flagged"), F.col("action"), F.col("hits")))
     return r.select("id", body.alias("response"))
@@ -314,8 +327,8 @@ def gauge_last(spark, d):
 def gauge_level(spark, d):
     from tamis.operators.report import running_level
     ev = read(spark, d, "events")
-    return running_level(ev, "user_id", "ts", "value", tiebreak="event_id").select(
-        "event_id", "user_id", F.col("level").cast("double").alias("level"))
+    return running_level(ev, "user_id", "ts", "value", tiebreak="event_id", keep=("event_type",)).select(
+        "event_id", "user_id", "event_type", F.col("level").cast("double").alias("level"))
 
 
 def value_histogram(spark, d):
@@ -345,16 +358,16 @@ def flag_rate_sliding(spark, d):
 # ----------------------------------------------------------------------- streams and user matchers
 
 def stream_moderate(spark, d):
+    return stream_verdicts(spark, d, doc_matchers(spark), "stream_moderate")
+
+
+def stream_verdicts(spark, d, matchers, name: str) -> DataFrame:
     from tamis.streaming.moderate import moderate_stream, run_available_now
     schema = read(spark, d, "documents").schema
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
               .option("maxFilesPerTrigger", 1).parquet(d))
-    verdicts = moderate_stream(stream.select("doc_id", "text"), doc_matchers(spark), mode="chain",
-                               id_col="doc_id")
-    out = verdicts.select(F.col("id").alias("doc_id"), "flagged", "action",
-                          F.size("hits").cast("long").alias("n_hits"),
-                          F.get(F.col("hits"), 0)["matcher"].alias("decided_by"))
-    return spark.read.parquet(run_available_now(spark, out, "stream_moderate"))
+    out = verdict_columns(moderate_stream(stream.select("doc_id", "text"), matchers, mode="chain", id_col="doc_id"))
+    return spark.read.parquet(run_available_now(spark, out, name))
 
 
 def quota_audit_q(spark, d):
@@ -395,7 +408,7 @@ def quota_audit_stream_q(spark, d):
     from tamis.streaming.moderate import run_available_now
     from tamis.plans.fixtures import QUOTA_RATE, QUOTA_CAPACITY
     schema = read(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(d)
     out = quota_audit_stream(stream, "user_id", "ts", QUOTA_RATE, QUOTA_CAPACITY, tiebreak="event_id")
     res = spark.read.parquet(run_available_now(spark, out, "quota_stream"))
     return res.select(F.col("tiebreak").alias("event_id"), F.col("key").alias("user_id"), "admitted")

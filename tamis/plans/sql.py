@@ -5,6 +5,7 @@ from __future__ import annotations
 from tamis import fixed
 from tamis.functions.text import _fullwidth_tables
 from tamis.plans import queries as Q
+from tamis.plans.large_bank import BANK_SQL, sql as _large_bank_sql
 from tamis.plans.fixtures import DOC_BANK, REGEX_BANK_VALID, bank_values_sql
 from tamis.plans.oracle import (_q, kw_hits_cte, email_cte, weight_case, regex_first_sql, rules_values_sql,
                                 W_MED)
@@ -80,10 +81,15 @@ pm AS (SELECT id, s, e, max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN
 isl AS (SELECT id, s, e, sum(CASE WHEN pmax IS NULL OR s > pmax THEN 1 ELSE 0 END)
                           OVER (PARTITION BY id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM pm),
 iv AS (SELECT id, k, min(s) AS s, max(e) AS e FROM isl GROUP BY id, k),
-agg AS (SELECT id, sum(e - s) AS n_masked, count(*) AS n_islands FROM iv GROUP BY id)
+agg AS (SELECT id, sum(e - s) AS n_masked, count(*) AS n_islands FROM iv GROUP BY id),
+lg AS (SELECT id, k, s, e, lag(e, 1, 0) OVER (PARTITION BY id ORDER BY k) AS pe FROM iv),
+mt AS (SELECT lg.id, string_agg(substr(t.text, CAST(pe + 1 AS BIGINT), CAST(s - pe AS BIGINT)) || repeat('*', CAST(e - s AS BIGINT)), '' ORDER BY k)
+                     || substr(any_value(t.text), CAST(max(e) + 1 AS BIGINT)) AS m
+       FROM lg JOIN documents t ON t.doc_id = lg.id GROUP BY lg.id)
 SELECT d.doc_id, CAST(coalesce(agg.n_masked, 0) AS INTEGER) AS n_masked,
-       CAST(coalesce(agg.n_islands, 0) AS INTEGER) AS n_islands, CAST(length(d.text) AS INTEGER) AS masked_len
-FROM documents d LEFT JOIN agg ON agg.id = d.doc_id"""
+       CAST(coalesce(agg.n_islands, 0) AS INTEGER) AS n_islands, CAST(length(d.text) AS INTEGER) AS masked_len,
+       md5(coalesce(mt.m, d.text)) AS masked_md5
+FROM documents d LEFT JOIN agg ON agg.id = d.doc_id LEFT JOIN mt ON mt.id = d.doc_id"""
 
 _CONV = f"""WITH {BANK},
 ctx AS (SELECT conv_id * 1000 + turn AS id, text,
@@ -144,7 +150,7 @@ SQL["bank_size"] = f"""SELECT CAST({len(DOC_BANK)} AS BIGINT) AS n_words, CAST(c
 # expected parse of tamis/data/doc_bank.csv: comments, blank line, padded fields,
 # a blank word, a repeated word (last wins), two malformed rows, a quoted comma
 _CSV_BANK = [r if r[0] != "eau" else ("eau", "lang_fr", "low", "review") for r in DOC_BANK] + \
-    [("q,uo", "t", "low", "pass")]
+    [("q,uo", "t", "low", "pass"), ('the "x" y', "t", "low", "pass"), ("two\nlines", "t", "low", "pass")]
 SQL["word_bank_csv"] = f"""WITH {bank_values_sql(_CSV_BANK)},
 per AS (SELECT b.word, count(DISTINCT d.doc_id) AS n_docs FROM documents d JOIN bank b ON contains(d.text, b.word)
         GROUP BY b.word)
@@ -275,7 +281,7 @@ SELECT user_id, first(value ORDER BY ts DESC, event_id DESC) AS last_value, coun
 FROM events GROUP BY user_id"""
 
 SQL["gauge_level"] = """
-SELECT event_id, user_id, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER (
+SELECT event_id, user_id, event_type, CAST(sum(CAST(value AS DECIMAL(38,9))) OVER (
          PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS level
 FROM events"""
 
@@ -287,7 +293,7 @@ def _hist_sql() -> str:
         name = ("le_" + (str(int(b)) if float(b).is_integer() else str(b))).replace(".", "_")
         cols.append(f"CAST(count_if(value <= {float(b)}) AS BIGINT) AS {name}")
     return ("SELECT event_type, " + ", ".join(cols) +
-            ", count(value) AS le_inf, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS sum, count(*) AS count"
+            ", count(value) AS le_inf, CAST(sum(CAST(value AS DECIMAL(38,9))) AS DOUBLE) AS sum, count(*) AS count"
             " FROM events GROUP BY event_type")
 
 
@@ -360,3 +366,16 @@ FROM documents d LEFT JOIN k ON k.id = d.doc_id"""
 SQL["stream_reload"] = _reload_sql()
 
 SQL["quota_audit_stream"] = SQL["quota_audit"]
+
+SQL["severity_weights"] = """
+SELECT s AS severity, count(*) AS n, CAST(sum(CASE s WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.5 WHEN 'low' THEN 0.2 ELSE 0.0 END * 10) AS BIGINT) AS tenths
+FROM (SELECT ['low', 'medium', 'high', 'critical'][CAST(event_id % 4 AS INTEGER) + 1] AS s FROM events) GROUP BY s"""
+
+SQL["bank_words"] = "WITH " + BANK_SQL + "\nSELECT word, type, severity, action FROM bank"
+
+SQL["null_text_fallback"] = f"WITH {BANK}, t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE text END AS text FROM documents)" + """
+SELECT doc_id, CASE WHEN text IS NULL THEN false ELSE EXISTS (SELECT 1 FROM bank b WHERE contains(t.text, b.word)) END AS flagged,
+       CASE WHEN text IS NULL THEN 'block' WHEN EXISTS (SELECT 1 FROM bank b WHERE contains(t.text, b.word)) THEN 'block' ELSE 'pass' END AS action
+FROM t"""
+
+SQL |= _large_bank_sql(SQL, BANK)

@@ -54,6 +54,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     global _LOCAL_DIR
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        try:
+            sc = spark.sparkContext
+            d, master = sc.getCheckpointDir(), sc.master
+        except Exception:  # remote sessions have no SparkContext
+            d, master = None, "remote"
+        if d:
+            return d
+        if not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if _LOCAL_DIR is None:
             _LOCAL_DIR = tempfile.mkdtemp(prefix="tamis-ckpt-", dir="/tmp")
         d = _LOCAL_DIR

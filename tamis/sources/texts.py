@@ -13,7 +13,7 @@ def as_contexts(df: DataFrame, id: str = "id", text: str = "text", point: str |
 
     Only the named columns are selected, so a parquet scan reads just those.
     """
-    cols = [F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"),
+    cols = [F.col(id).alias("id"), F.col(text).cast("string").alias("text"),
             (F.coalesce(F.col(point), F.lit(fixed.POINT_INPUT)) if point else F.lit(fixed.POINT_INPUT)).alias("point"),
             (F.col(app_id).cast("string") if app_id else F.lit(None).cast("string")).alias("app_id")]
     return df.select(*cols, *[F.col(k) for k in keep])

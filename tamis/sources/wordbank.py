@@ -14,6 +14,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tamis import fixed, schemas
+from tamis.session import materialize
 
 # Unicode White_Space at either end (Java \s plus separators plus NEL).
 _TRIM = r"^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$"
@@ -39,13 +40,14 @@ def load_word_bank(spark: SparkSession, path: str, mode: str = "drop", with_bad_
                .option("comment", "#").option("mode", "PERMISSIVE")
                .option("columnNameOfCorruptRecord", "_bad")
                .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
-               .option("multiLine", "false")
+               .option("multiLine", "true").option("quote", '"').option("escape", '"')
                .csv(path))
         # line order: file, then the split's start offset, then the row's place inside
         # its split (monotonically_increasing_id right after the read, before any
         # shuffle) - exact even when a big bank file is cut into several splits
         raw = raw.withColumn("_line", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
-                                               F.monotonically_increasing_id())).cache()
+                                               F.monotonically_increasing_id()))
+        raw = materialize(spark, raw, "bank")  # read twice; a column of bad rows alone cannot be queried from a CSV scan
         n_bad = raw.filter(F.col("_bad").isNotNull()).count()
     except Exception as e:  # missing file and the like
         raise WordBankError(f"[{fixed.ERR_WORD_BANK_LOAD}] failed to open word bank file: {e}") from e
@@ -94,8 +96,7 @@ def load_rules(spark: SparkSession, path: str) -> DataFrame:
     ext = os.path.splitext(path)[1].lower()
     if ext in (".yaml", ".yml"):
         import yaml
-        with open(path, encoding="utf-8") as fh:
-            doc = yaml.safe_load(fh) or {}
+        doc = yaml.safe_load(spark.read.text(path, wholetext=True).first()[0]) or {}
         rows = []
         for r in doc.get("patterns", []) or []:
             rows.append((str(r.get("name", "")), str(r.get("pattern", "")), r.get("type"),

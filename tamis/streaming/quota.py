@@ -91,7 +91,7 @@ def quota_audit(events: DataFrame, key: str, ts: str, rate: float, capacity: int
             if pdf.empty:
                 continue
             t_ns = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy() * 1000
-            keys = pdf["key"].tolist()
+            keys = [None if x else k for k, x in zip(pdf["key"].tolist(), pdf["key"].isna())]  # NULL is one key
             ex = pdf["_exempt"].to_numpy()
             adm, toks = [], []
             for k, t, e in zip(keys, t_ns, ex):
@@ -111,12 +111,15 @@ def quota_audit(events: DataFrame, key: str, ts: str, rate: float, capacity: int
 
 
 def quota_audit_stream(events_stream: DataFrame, key: str, ts: str, rate: float, capacity: int,
-                       tiebreak: str | None = None) -> DataFrame:
-    """Streaming form; state per key = (tokens, last_ns, admitted_before)."""
+                       tiebreak: str | None = None, exempt: F.Column | None = None) -> DataFrame:
+    """Streaming form; state per key = (tokens, last_ns, admitted_before). ``exempt`` as in the batch
+    form. A micro-batch's events of one key are sorted in memory: bound them with the source's
+    ``maxFilesPerTrigger``. One key's bucket is sequential; give keys that outgrow a task sub-keys."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     tb = tiebreak or ts
-    base = events_stream.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(tb).alias("tiebreak"))
+    base = events_stream.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(tb).alias("tiebreak"),
+                                (exempt if exempt is not None else F.lit(False)).alias("_exempt"))
     fields = {f.name: f.dataType for f in base.schema.fields}
     schema = _out_schema(fields["key"], fields["ts"], fields["tiebreak"])
     state_schema = T.StructType([T.StructField("tokens", T.DoubleType()), T.StructField("last_ns", T.LongType()),
@@ -130,7 +133,11 @@ def quota_audit_stream(events_stream: DataFrame, key: str, ts: str, rate: float,
             tok, last, has = gstate.get
             state = (tok, last) if has else None
         adm, toks = [], []
-        for t in pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy() * 1000:
+        for t, free in zip(pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy() * 1000, pdf["_exempt"]):
+            if free:
+                adm.append(True)
+                toks.append(float("nan"))
+                continue
             ok, tok, state = bucket.step(state, int(t))
             adm.append(ok)
             toks.append(tok)

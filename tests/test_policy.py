@@ -162,3 +162,50 @@ def test_moderate_takes_a_bank_or_names(spark):
     assert r.flagged
     with pytest.raises(MatcherNotFound):
         moderate(texts_df(spark, ["x"]), ["no-such-matcher"])
+
+
+def big_bank(n=300):
+    return [(f"filler{i:04d}", "t", "low", "pass") for i in range(n)] + [("bad", "t", "high", "block"), ("ad w", "u", "low", "mask")]
+
+
+def test_verdicts_do_not_depend_on_the_banks_size(spark):
+    small = [r for r in big_bank() if not r[0].startswith("filler")]
+    df = spark.createDataFrame([("a", "a bad word here bad"), ("a", "fine"), ("b", None), ("c", "x" * 9000 + "bad")], "id string, text string")
+    for mode in ("chain", "parallel", "weighted"):
+        got = [sorted(moderate(df, [KeywordMatcher(b)], mode=mode, weights={"high": 1.0, "low": -0.8}, keep=("text",)).collect(), key=str) for b in (small, big_bank())]
+        assert got[0] == got[1]
+
+
+def test_words_of_one_and_two_characters_and_very_long_ones(spark):
+    words = [chr(0x4E00 + i) + chr(0x4E10 + i) for i in range(200)] + ["敏", "z" * 9000]
+    bank = [{"word": w, "type": "t", "severity": "low", "action": "review"} for w in words]
+    text = "敏" + words[7] + "z" * 9001
+    r = moderate(texts_df(spark, [text]), [KeywordMatcher(bank)]).first()
+    assert sorted((h.word[:2], h.idx, h.len) for h in r.hits) == sorted([("敏", 0, 1), (words[7], 1, 2), ("zz", 3, 9000), ("zz", 4, 9000)])
+    inline = KeywordMatcher(bank, plan="inline", text_chunk=16)
+    assert inline.flat_hits(texts_df(spark, [text]), 0).count() == 4
+
+
+def test_large_banks_keep_every_action_and_the_last_row_of_a_word(spark):
+    m = KeywordMatcher(big_bank(6000) + [("bad", "t", "low", "mask")])
+    assert len(m.actions()) == 6002 and m.actions()["bad"] == "mask"
+    r = moderate(texts_df(spark, ["bad word", "filler0001", "x"]), [m]).orderBy("id")
+    from tamis.operators.policy import declared_action
+    assert [x[0] for x in r.select(declared_action(F.col("hits"), m.actions())).collect()] == ["mask", "pass", None]
+
+
+def test_functions_register_as_matchers_and_short_tuples_are_skipped(spark):
+    from tamis.operators.keyword import match_literal
+    from tamis.operators.registry import row_matcher
+    register_matcher("fn", lambda texts, bank: match_literal(texts, [("bad", "t", "high", "block")]))
+    r = moderate(texts_df(spark, ["bad", "ok"]), ["fn"]).orderBy("id").collect()
+    assert [(x.flagged, [h.word for h in x.hits]) for x in r] == [(True, ["bad"]), (False, [])]
+    m = row_matcher("short", lambda t: [("w", "t")])
+    assert [x.flagged for x in moderate(texts_df(spark, ["a"]), [m]).collect()] == [False]
+
+
+def test_conversations_with_string_ids(spark):
+    from tamis.operators.policy import moderate_conversations
+    df = spark.createDataFrame([("x1", "user", "bad"), ("x2", "assistant", "ok")], "id string, role string, text string")
+    got = {r.id: (r.point, r.flagged) for r in moderate_conversations(df, [KeywordMatcher([("bad", "t", "high", "block")])]).collect()}
+    assert got == {"x1": ("input", True), "x2": ("output", False)}

@@ -83,3 +83,27 @@ def test_stream_form_equals_batch(spark, tmp_path):
     exp = {r.tiebreak: r.admitted
            for r in quota_audit(ev, "user_id", "ts", 1 / 432000, 2, tiebreak="event_id").collect()}
     assert got == exp
+
+
+def test_null_keys_are_one_key_and_exempt_rows_take_none(spark):
+    import datetime as dt
+    base = dt.datetime(2024, 1, 1)
+    rows = [(None, base + dt.timedelta(seconds=i), i) for i in range(5)]
+    df = spark.createDataFrame(rows, "k long, ts timestamp, e long")
+    got = {r.tiebreak: r.admitted for r in quota_audit(df, "k", "ts", 0.0, 1, tiebreak="e").collect()}
+    assert got == {0: True, 1: False, 2: False, 3: False, 4: False}
+    free = {r.tiebreak: r.admitted for r in quota_audit(df, "k", "ts", 0.0, 1, tiebreak="e", exempt=F.col("e") < 3).collect()}
+    assert free == {0: True, 1: True, 2: True, 3: True, 4: False}
+
+
+def test_exempt_rows_in_the_stream(spark, tmp_path):
+    import datetime as dt
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i % 2, base + dt.timedelta(seconds=i), i) for i in range(12)]
+    df = spark.createDataFrame(rows, "k long, ts timestamp, e long")
+    df.write.parquet(str(tmp_path / "in"))
+    from tamis.streaming.moderate import run_available_now
+    from tamis.streaming.quota import quota_audit_stream
+    out = quota_audit_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "k", "ts", 0.0, 1, tiebreak="e", exempt=F.col("e") < 4)
+    got = {r.tiebreak for r in spark.read.parquet(run_available_now(spark, out, "exempt")).where("admitted").collect()}
+    assert got == {0, 1, 2, 3, 4, 5}

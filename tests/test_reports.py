@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 import pandas as pd
 
 from tamis.operators.report import histogram, running_level, top_words, hit_counts, last_value
@@ -39,7 +41,7 @@ def test_running_level_hot_key_over_many_partitions(spark):
     rows = [(i, base + dt.timedelta(seconds=i), 0 if i % 50 else 1 + i % 3, 0.25 * (i % 7) - 0.5)
             for i in range(3000)]
     df = spark.createDataFrame(rows, "event_id long, ts timestamp, k long, v double")
-    got = {r.event_id: float(r.level) for r in running_level(df, "k", "ts", "v", "event_id", partitions=16).collect()}
+    got = {r.event_id: float(r.level) for r in running_level(df, "k", "ts", "v", "event_id", bucket="minute").collect()}
     pdf = pd.DataFrame(rows, columns=["event_id", "ts", "k", "v"]).sort_values(["k", "ts", "event_id"])
     pdf["lvl"] = pdf.groupby("k")["v"].cumsum().round(2)
     assert got == dict(zip(pdf.event_id, pdf.lvl))
@@ -55,3 +57,18 @@ def test_materialized_hits_feed_verdicts_and_reports(spark):
     v = {r.id: r.n_hits for r in moderate_hits(df, hits).collect()}
     assert v == {1: 2, 2: 0, 3: 1}
     assert hit_counts(hits, ("word",)).first().n_texts == 2
+
+
+def test_running_level_keep_null_keys_and_thousandths(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(minutes=7 * (i % 40)) if i % 13 else None, None if i % 3 == 0 else i % 2, 0.004 * (i % 5), "n%d" % i) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, k long, v double, note string").repartition(8)
+    got = {r.event_id: (r.note, float(r.level)) for r in running_level(df, "k", "ts", "v", "event_id", keep=("note",)).collect()}
+    run, want = {}, {}
+    for i, ts, k, v, note in sorted(rows, key=lambda r: (r[1] or dt.datetime.min, r[0])):
+        run[k] = run.get(k, 0) + round(v * 1000)
+        want[i] = (note, run[k] / 1000)
+    assert got == want
+    ints = running_level(df.withColumn("n", F.lit(2)), "k", "event_id", "n", "event_id", width=50).orderBy(F.col("level").desc()).first()
+    assert ints.level == 2 * max(sum(r[2] == k for r in rows) for k in (None, 0, 1))
+    assert histogram(spark.createDataFrame([(0.004,)] * 3, "v double"), "v", [1]).first()["sum"] == 0.012

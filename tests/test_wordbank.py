@@ -88,3 +88,11 @@ def test_only_bad_rows(spark, tmp_path):
     p.write_text("a,b\nc,d,e,f,g\n", encoding="utf-8")
     bank, n_bad = load_word_bank(spark, str(p), with_bad_count=True)
     assert bank.count() == 0 and n_bad == 2
+
+
+def test_quoted_fields_as_csv_has_them(spark, tmp_path):
+    p = tmp_path / "bank.csv"
+    p.write_text('# c\n"he ""x"" y",a,low,pass\n"two\nlines",b,high,block\nplain,c,low,pass\n"two\nlines",d,low,pass\n', encoding="utf-8")
+    bank, bad = load_word_bank(spark, str(p), with_bad_count=True)
+    assert bad == 0
+    assert {(r.word, r.type) for r in bank.collect()} == {('he "x" y', "a"), ("two\nlines", "d"), ("plain", "c")}
