@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tamis.llm.encodings import encoding, vocabulary_path
-from tamis.llm.frames import ship
+from tamis.llm.frames import materialize, ship
 
 _SPAN = 1024
 
@@ -49,6 +49,7 @@ def length_histogram(lengths: DataFrame, col: str = "n_tokens") -> DataFrame:
     n = F.col("n_tokens")
     h = (lengths.groupBy(F.col(col).cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
          .where(n.isNotNull()).withColumn("_span", F.expr(f"n_tokens div {_SPAN}")))
+    h = materialize(lengths.sparkSession, h, "lengths")  # read twice below; the documents are encoded once
     spans = h.groupBy("_span").agg(F.sum("n_docs").alias("d"), F.sum(n * F.col("n_docs")).alias("t"))
     later = Window.orderBy(F.col("_span").desc()).rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select("_span", F.coalesce(F.sum("d").over(later), F.lit(0)).alias("_d"), F.coalesce(F.sum("t").over(later), F.lit(0)).alias("_t"),
