@@ -289,7 +289,7 @@ def _mark(length: int, prefix: int, text_name: str, schema: pa.Schema):
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 13, prefix: int = 5,
-                   hot: int = 200, block_rows: int = 2048,
+                   hot: int = 200, block_rows: int = 1024,
                    group_rows: int = 4096) -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text (the words that stay, joined by one space)."""
     spark = docs.sparkSession
