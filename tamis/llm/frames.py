@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tamis.session import materialize, scratch_path
 from tamis.llm.ship import ship
 
-__all__ = ["table", "pick", "fresh", "materialize", "scratch_path", "ship", "total_bytes", "write_blocks"]
+__all__ = ["table", "pick", "fresh", "materialize", "scratch_path", "ship", "total_bytes", "look_up", "write_blocks"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,23 @@ def total_bytes(df: DataFrame, text: str) -> tuple[int, int]:
     return int(n), int(b or 0)
 
 
+def look_up(rows: DataFrame, found: DataFrame, key: str, values: list[str], spread: str, total: int) -> DataFrame:
+    """``rows`` with the ``values`` of ``found`` (one row per key, with ``n``, how many of the rows have it); null where none.
+
+    Keys of more than a thousandth of ``total`` rows, of which there are under a thousand, are
+    broadcast; the others are shuffled. Rows that are served already, or have no key, are dealt
+    by a salt of ``spread``, so no task takes all rows of one key. ``found`` is read twice.
+    """
+    heavy, each = max(1, total // 1000), F.struct(*values)
+    few = found.where(F.col("n") > heavy).select(key, each.alias("_few"))
+    many = found.where(F.col("n") <= heavy).select(key, each.alias("_many"), F.lit(0).cast("long").alias("_salt"))
+    served = F.col("_few").isNotNull() | F.col(key).isNull()
+    salt = F.when(served, 1 + F.pmod(F.xxhash64(spread), F.lit(4096))).otherwise(0)
+    got = rows.join(F.broadcast(few), key, "left").withColumn("_salt", salt).join(many, [key, "_salt"], "left")
+    got = got.withColumn("_few", F.coalesce("_few", "_many"))
+    return got.select(*rows.columns, *[F.col("_few")[v].alias(v) for v in values])
+
+
 def write_blocks(df: DataFrame, block_rows: int) -> DataFrame:
     """``df`` with a column ``block`` (``block_rows`` consecutive rows), written to the shared folder.
 
