@@ -302,12 +302,15 @@ def _components(texts: DataFrame, sure: DataFrame | None, size: int, percent: in
     # buckets that still hold several components
     placed = (in_bucket.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
               .withColumn("component", F.coalesce("component", "doc_id")))
-    sizes = (placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-             .groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("c"), F.max_by("component", F.struct("c", "component")).alias("main"),
-                                 F.count(F.lit(1)).alias("several")).where("several > 1"))
+    open_ = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n"))
+    open_ = materialize(spark, open_.where("least <> most").select("key", "n"), "open")
+    rest = look_up(placed.select("key", "doc_id", "component"), open_, "key", ["n"], "doc_id", _BANDS * n_rows)
+    rest = materialize(spark, rest.where("n is not null"), "rest")
+    sizes = (rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+             .groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("c"), F.max_by("component", F.struct("c", "component")).alias("main")))
     sizes = sizes.withColumn("rest", F.expr(f"cast(ceil((n - c) / {_BLOCK}) as int)")).withColumn("parts", F.expr(f"rest + cast(ceil(c / {_BLOCK}) as int)"))
-    rest = look_up(placed.select("key", "doc_id", "component"), materialize(spark, sizes, "sizes"), "key", ["main", "rest", "parts"], "doc_id", _BANDS * n_rows)
-    rest = materialize(spark, rest.where("main is not null"), "open")
+    sizes = materialize(spark, sizes, "sizes")
+    rest = look_up(rest.drop("n"), sizes, "key", ["main", "rest", "parts"], "doc_id", rest.count())
     # blocks 0 to rest - 1 hold the smaller components, the others the largest, whose classes need not meet one another
     at = rest.withColumn("main", F.expr("component = main"))
     at = at.withColumn("part", F.expr("cast(if(main, rest + pmod(xxhash64(7, doc_id), parts - rest), pmod(xxhash64(7, doc_id), rest)) as int)"))
