@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tamis.llm.components import connected_components
-from tamis.llm.frames import look_up, materialize, ship, write_blocks
+from tamis.llm.frames import materialize, ship, write_blocks
 from tamis.llm.words import grams, mix, slices, word_hashes, words
 
 PERMUTATIONS = 64
@@ -180,11 +180,9 @@ def _with_texts(need: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def _stars(pairs: DataFrame, lone: DataFrame, blocks: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold; at most some 64 partners of a document in one group."""
-    spark = pairs.sparkSession
-    pairs = materialize(spark, pairs, "pairs")
-    n = materialize(spark, pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("groups", F.expr("ceil(n / 64)")), "centres")
-    salted = look_up(pairs, n, "a", ["groups"], "b", pairs.count())
-    salted = salted.select("a", "b", F.expr("cast(pmod(xxhash64(b), groups) as int)").alias("lo"))
+    n = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
+    salted = pairs.join(n, "a").select("a", "b", F.expr("cast(pmod(xxhash64(b), cast(ceil(_n / 64) as long)) as int)").alias("lo"))
+    salted = materialize(pairs.sparkSession, salted, "pairs")
     need = salted.select(F.col("a").alias("key"), "lo", F.col("b").alias("doc_id")).union(salted.select(F.col("a").alias("key"), "lo", F.col("a").alias("doc_id")).distinct())
     need = need.withColumn("hi", F.col("lo")).withColumn("component", F.lit(None).cast("long")).join(lone.select("doc_id", "block"), "doc_id")
     return _with_texts(need, blocks).groupBy(*_GROUP).applyInArrow(_confirm(size, percent), "a long, b long, percent int").select("a", "b")
@@ -278,20 +276,16 @@ def _components(texts: DataFrame, sure: DataFrame | None, size: int, percent: in
     blocks = write_blocks(texts, 2048).select("block", "doc_id", "text")
     sketch = materialize(spark, blocks.mapInArrow(_sketch(size), _SKETCH), "sketches")
     real = sketch.where("doc_id is not null and n_shingles > 0")
-    n_rows = sketch.count()
-    classes = materialize(spark, real.groupBy("digest").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("n")), "classes")
-    member = materialize(spark, look_up(real.select("doc_id", "digest"), classes, "digest", ["class"], "doc_id", n_rows), "members")
+    classes = real.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("class"))
+    member = materialize(spark, real.select("doc_id", "digest", "n_shingles").join(classes, ["digest", "n_shingles"]), "members")
     lone = materialize(spark, sketch.join(member.where("doc_id = class").select("doc_id"), "doc_id", "left_semi"), "representatives")
     key = lone.select(F.explode("keys").alias("key"), "doc_id")
     buckets = materialize(spark, key.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    in_bucket = look_up(key, buckets, "key", ["a"], "doc_id", _BANDS * n_rows).where("a is not null")
-    in_bucket = materialize(spark, in_bucket, "bucketed")
+    in_bucket = materialize(spark, key.join(buckets, "key"), "bucketed")
 
     side = lambda x: lone.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    stars = materialize(spark, in_bucket.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "stars")
-    centres = materialize(spark, stars.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(side("a"), "a"), "centres")
-    stars = look_up(stars.join(side("b"), "b"), centres, "a", ["n_a", "sig_a"], "b", stars.count())
-    stars = stars.where(_near(F.col("n_a"), F.col("n_b"), threshold))
+    stars = in_bucket.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    stars = stars.join(side("b"), "b").join(side("a"), "a").where(_near(F.col("n_a"), F.col("n_b"), threshold))
     links = materialize(spark, _stars(_agreement(stars, floor), lone, blocks, size, percent), "links")
     if sure is not None:
         as_class = member.select(F.col("doc_id").alias("a"), F.col("class").alias("x"))
@@ -302,17 +296,13 @@ def _components(texts: DataFrame, sure: DataFrame | None, size: int, percent: in
     # buckets that still hold several components
     placed = (in_bucket.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
               .withColumn("component", F.coalesce("component", "doc_id")))
-    open_ = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n"))
-    open_ = materialize(spark, open_.where("least <> most").select("key", "n"), "open")
-    rest = look_up(placed.select("key", "doc_id", "component"), open_, "key", ["n"], "doc_id", _BANDS * n_rows)
-    rest = materialize(spark, rest.where("n is not null"), "rest")
+    open_ = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
+    rest = materialize(spark, placed.join(open_, "key").select("key", "doc_id", "component"), "open")
     sizes = (rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
              .groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("c"), F.max_by("component", F.struct("c", "component")).alias("main")))
-    sizes = sizes.withColumn("rest", F.expr(f"cast(ceil((n - c) / {_BLOCK}) as int)")).withColumn("parts", F.expr(f"rest + cast(ceil(c / {_BLOCK}) as int)"))
-    sizes = materialize(spark, sizes, "sizes")
-    rest = look_up(rest.drop("n"), sizes, "key", ["main", "rest", "parts"], "doc_id", rest.count())
+    sizes = sizes.selectExpr("key", "main", f"cast(ceil((n - c) / {_BLOCK}) as int) as rest", f"cast(ceil((n - c) / {_BLOCK}) + ceil(c / {_BLOCK}) as int) as parts")
     # blocks 0 to rest - 1 hold the smaller components, the others the largest, whose classes need not meet one another
-    at = rest.withColumn("main", F.expr("component = main"))
+    at = rest.join(sizes, "key").withColumn("main", F.expr("component = main"))
     at = at.withColumn("part", F.expr("cast(if(main, rest + pmod(xxhash64(7, doc_id), parts - rest), pmod(xxhash64(7, doc_id), rest)) as int)"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.expr("if(main, rest, parts) - 1"))))
     at = at.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "doc_id", "component")
@@ -324,9 +314,8 @@ def _components(texts: DataFrame, sure: DataFrame | None, size: int, percent: in
         more = materialize(spark, more, "links")
         if not more.isEmpty():
             comps = materialize(spark, connected_components(links.unionByName(more)), "components")
-    named = classes.select("class", "n").join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    named = look_up(member.select("doc_id", "class"), materialize(spark, named, "named"), "class", ["component"], "doc_id", n_rows)
-    return sketch.select("doc_id", "n_shingles"), named.select("doc_id", "component")
+    named = member.join(comps.withColumnRenamed("node", "class").withColumnRenamed("component", "_c"), "class", "left")
+    return sketch.select("doc_id", "n_shingles"), named.select("doc_id", F.coalesce("_c", "class").alias("component"))
 
 
 def link_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -347,8 +336,6 @@ def link_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     rows = sketch.join(comp, "doc_id", "left")
     if owner is not None:
         rows = rows.withColumnRenamed("doc_id", "row").join(owner, "row").withColumnRenamed("owner", "doc_id")
-    rows = materialize(spark, rows, "rows")
-    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    return (look_up(rows, materialize(spark, least, "least"), "component", ["component_id"], "doc_id" if owner is None else "row", n)
-            .withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return (rows.join(least, "component", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
             .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept")))

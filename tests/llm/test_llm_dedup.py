@@ -142,16 +142,6 @@ def test_repeats_null_and_repeated_ids_and_extra_columns(spark):
     assert substring.substring_dedup(df.limit(0)).count() == 0
 
 
-def test_look_up_hot_light_missing_and_null_keys(spark):
-    from tamis.llm.frames import look_up
-    keys = [7] * 50 + [None] * 20 + list(range(100, 140))
-    rows = spark.createDataFrame(list(enumerate(keys)), "i long, k long")
-    found = spark.createDataFrame([(k, k * 2, keys.count(k)) for k in set(keys) - {None, 105}], "k long, v long, n long")
-    for total in (len(keys), 20_000):  # heavy above 1 and above 20 rows
-        got = {r.i: r.v for r in look_up(rows, found, "k", ["v"], "i", total).collect()}
-        assert got == {i: None if k in (None, 105) else 2 * k for i, k in enumerate(keys)}
-
-
 def test_one_great_component_and_a_few_other_classes(spark, monkeypatch):
     monkeypatch.setattr(minmax, "_BLOCK", 8)
     rng = random.Random(8)
