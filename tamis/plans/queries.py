@@ -25,12 +25,26 @@ DATA_DIR = os.path.join(os.path.dirname(os.path.dirname(__file__)), "data")
 DOC_BANK_CSV = os.path.join(DATA_DIR, "doc_bank.csv")
 # fixed probe of wide characters appended to every text for normalize_text
 NORMALIZE_PROBE = "Ａｂｃ１！～　x​y"
+# files of a table that a verdict stream takes in one micro-batch
+FILES_PER_BATCH = 1
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def read_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """The table as a stream, be it a single file or a folder of parts.
+
+    The dot is written as a glob: a stream takes a plain path for a folder only. All that is there
+    is one micro-batch unless ``files_per_batch`` is given.
+    """
+    stream = spark.readStream.schema(read(spark, sf_dir, name).schema)
+    if files_per_batch:
+        stream = stream.option("maxFilesPerTrigger", files_per_batch)
+    return stream.parquet(f"{sf_dir.rstrip('/')}/{name}[.]parquet")
+
+
 def docs(spark, d) -> DataFrame:
     return spread(read(spark, d, "documents").select("doc_id", "text"))
 
@@ -363,9 +377,7 @@ def stream_moderate(spark, d):
 
 def stream_verdicts(spark, d, matchers, name: str) -> DataFrame:
     from tamis.streaming.moderate import moderate_stream, run_available_now
-    schema = read(spark, d, "documents").schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(d))
+    stream = read_stream(spark, d, "documents", files_per_batch=FILES_PER_BATCH)
     out = verdict_columns(moderate_stream(stream.select("doc_id", "text"), matchers, mode="chain", id_col="doc_id"))
     return spark.read.parquet(run_available_now(spark, out, name))
 
@@ -391,9 +403,7 @@ def stream_reload(spark, d):
     each verdict row carries the version of the bank it used."""
     from tamis.session import scratch_path
     from tamis.streaming.moderate import moderate_stream_reload
-    schema = read(spark, d, "documents").schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(d).select("doc_id", "text"))
+    stream = read_stream(spark, d, "documents", files_per_batch=FILES_PER_BATCH).select("doc_id", "text")
     sink, ck = scratch_path(spark, "stream_reload"), scratch_path(spark, "stream_reload-ck")
     q = moderate_stream_reload(stream, lambda: load_word_bank(spark, DOC_BANK_CSV),
                                lambda rows: [KeywordMatcher(rows)], sink, ck, mode="chain", id_col="doc_id")
@@ -403,12 +413,11 @@ def stream_reload(spark, d):
 
 
 def quota_audit_stream_q(spark, d):
-    """ST4 stream form: the events file drained through the stateful per-key bucket."""
+    """ST4 stream form: the events drained through the stateful per-key bucket, as one micro-batch:
+    the parts of a table are in no order of time, and a bucket must see a key's events in that order."""
     from tamis.streaming.quota import quota_audit_stream
     from tamis.streaming.moderate import run_available_now
     from tamis.plans.fixtures import QUOTA_RATE, QUOTA_CAPACITY
-    schema = read(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(d)
-    out = quota_audit_stream(stream, "user_id", "ts", QUOTA_RATE, QUOTA_CAPACITY, tiebreak="event_id")
+    out = quota_audit_stream(read_stream(spark, d, "events"), "user_id", "ts", QUOTA_RATE, QUOTA_CAPACITY, tiebreak="event_id")
     res = spark.read.parquet(run_available_now(spark, out, "quota_stream"))
     return res.select(F.col("tiebreak").alias("event_id"), F.col("key").alias("user_id"), "admitted")
