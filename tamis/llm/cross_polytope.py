@@ -21,8 +21,9 @@ and 1.0 on 10,256 rows (192 is the default; a test holds the query to 0.9 on its
 
 Edge cases. Null or zero vectors and those with a null or non-finite component take no part,
 neither as query nor as candidate. Vectors of different lengths are filled with zeros. Equal
-vectors tie; ties go to the smaller vec_id. An id that occurs again counts once, with the
-least of its vectors; null ids take no part. With fewer than k candidates all are returned.
+vectors tie; ties go to the smaller vec_id. Rows that repeat a vec_id are candidates of their own
+(rows are numbered then, and a query leaves out its own row only); a query_id of several rows has
+the k best of all of them. Null ids take no part. With fewer than k candidates all are returned.
 An empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -158,20 +159,29 @@ def nearest_neighbours(df: DataFrame, is_query, *, id_col: str = "vec_id", vec_c
     """query_id, rank, vec_id, score of the k nearest found of every row for which ``is_query(id)`` holds."""
     spark = df.sparkSession
     ship(spark)
-    rows, n, dim = vector_rows(df, id_col, vec_col, nonzero=True)
+    rows, n, repeated, dim = vector_rows(df, id_col, vec_col, nonzero=True)
     found_sql = "query_id long, vec_id long, score double"
     if not n:
         return best(spark.createDataFrame([], found_sql), k)
+    named = None
+    if repeated:  # number the rows in the order of their ids, so that ties go to the smaller vec_id
+        numbered = rows.orderBy("vec_id").select(F.monotonically_increasing_id().alias("row"), "vec_id", "vec")
+        numbered = materialize(spark, numbered, "numbered")
+        named, rows = numbered.select("row", "vec_id"), numbered.select(F.col("row").alias("vec_id"), "vec")
     hashed = rows.mapInArrow(_hash_rows(dim, tables, seed), "vec_id long, vec binary, bucket array<int>, cell array<int>")
     hashed = hashed.select("vec_id", "vec", F.inline(F.arrays_zip("bucket", "cell")))
     sizes = materialize(spark, hashed.groupBy("bucket").agg(F.expr(_parts("count(1)", bucket_rows)).alias("parts")), "sizes")
     sizes = F.broadcast(sizes)  # at most tables x 2 x padded dimension rows
     put = hashed.join(sizes, "bucket").select("bucket", F.expr("cast(pmod(xxhash64(3, vec_id), parts) as int)").alias("part"), "vec_id", "vec", "cell")
-    queries = rows.where(is_query(F.col("vec_id")))
+    if named is None:
+        queries = rows.where(is_query(F.col("vec_id")))
+    else:
+        queries = numbered.where(is_query(F.col("vec_id"))).select(F.col("row").alias("vec_id"), "vec")
     ask = queries.mapInArrow(_probes(dim, tables, probes, seed), "query_id long, vec binary, bucket int, cells binary").join(sizes, "bucket")
     ask = ask.select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query_id", "vec", "cells")
     meet = lambda a, b: a.groupBy("bucket", "part").cogroup(b.groupBy("bucket", "part")).applyInArrow(_meet(dim, k), found_sql)
-    found = materialize(spark, best(meet(put, ask), k), "neighbours")
+    found = meet(put, ask).dropDuplicates(["query_id", "vec_id"])  # a row is found in several tables
+    found = materialize(spark, best(found, k), "neighbours")
 
     enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min(k, n - 1))
     short = materialize(spark, queries.withColumnRenamed("vec_id", "query_id").join(enough, "query_id", "left_anti"), "short")
@@ -182,6 +192,10 @@ def nearest_neighbours(df: DataFrame, is_query, *, id_col: str = "vec_id", vec_c
         every = short.select(F.lit(0).alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "query_id", "vec", F.lit(None).cast("binary").alias("cells"))
         every = every.mapInArrow(_as_blobs(dim, "query_id"), "bucket int, part int, query_id long, vec binary, cells binary")
         found = found.join(short.select("query_id"), "query_id", "left_anti").unionByName(best(meet(whole, every), k))
+    if named is not None:
+        found = found.join(named.select(F.col("row").alias("query_id"), F.col("vec_id").alias("_query")), "query_id")
+        found = found.select("_query", F.col("vec_id").alias("row"), "score").join(named, "row")
+        found = best(found.select(F.col("_query").alias("query_id"), "vec_id", "score"), k)
     return found
 
 

@@ -25,8 +25,8 @@ queries with all rows; it is spread evenly and never leaves a task larger than a
 
 Edge cases. Null vectors and those with a null or non-finite component take no part; zero
 vectors do. Vectors of different lengths are filled with zeros. Ties go to the smaller
-vec_id; copies are rows of their own. An id that occurs again counts once, with the least of
-its vectors; null ids take no part. With fewer than k candidates all are returned. Components
+vec_id; copies are rows of their own, also under one vec_id; rows of the query's own vec_id are no
+candidates, and a query_id of several rows has the k best of all of them. Null ids take no part. With fewer than k candidates all are returned. Components
 beyond 2^31 after scaling are held at that bound. An empty table gives an empty result.
 Extra columns are ignored.
 """
@@ -193,7 +193,7 @@ def top_inner_products(df: DataFrame, is_query, *, id_col: str = "vec_id", vec_c
     """query_id, rank, vec_id, score: the k largest integer inner products of every row with ``is_query(id)``."""
     spark = df.sparkSession
     ship(spark)
-    rows, n, dim = vector_rows(df, id_col, vec_col, nonzero=False)
+    rows, n, _, dim = vector_rows(df, id_col, vec_col, nonzero=False)
     dim = max(dim, 1)
     if not n:
         return best(spark.createDataFrame([], _FOUND_SQL), k)
@@ -203,13 +203,14 @@ def top_inner_products(df: DataFrame, is_query, *, id_col: str = "vec_id", vec_c
     wanted = min(cells, max(1, -(-n // subtree_rows)))
     sample = rows.orderBy(F.xxhash64(F.lit(9), "vec_id"), "vec_id").limit(wanted).toArrow()  # routing objects, at most ``cells``
     pivots = quantise(matrix(sample.column("vec"), dim), scale)
-    put = materialize(spark, rows.mapInArrow(_assign(dim, scale, top, pivots), "vec_id long, x binary, cell int, dist double"), "cells")
+    put = rows.mapInArrow(_assign(dim, scale, top, pivots), "vec_id long, x binary, cell int, dist double")
+    put = materialize(spark, put.withColumn("row", F.monotonically_increasing_id()), "cells")
     about = put.groupBy("cell").agg(F.max("dist").alias("r"), F.count(F.lit(1)).alias("n")).collect()  # at most ``cells`` rows
     radius = {r.cell: r.r for r in about}
     parts = F.create_map(*[F.lit(v) for r in about for v in (r.cell, -(-r.n // subtree_rows))])
     queries = put.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "x")
     n_blocks = max(1, -(-queries.count() // query_rows))
-    trees = put.select("cell", F.pmod(F.xxhash64(F.lit(4), "vec_id"), parts[F.col("cell")]).cast("int").alias("part"),
+    trees = put.select("cell", F.pmod(F.xxhash64(F.lit(4), "vec_id", "row"), parts[F.col("cell")]).cast("int").alias("part"),
                        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "vec_id", "x")
 
     def visit(asked: DataFrame, first: bool) -> DataFrame:

@@ -15,17 +15,12 @@ def usable(vec: Column, nonzero: bool) -> Column:
     return ok & F.exists(vec, lambda x: x != 0) if nonzero else ok
 
 
-def vector_rows(df: DataFrame, id_col: str, vec_col: str, nonzero: bool) -> tuple[DataFrame, int, int]:
-    """(vec_id, vec array<double>) of the rows that take part, written once; their number; the longest length.
-
-    An id that occurs again counts once, with the least of its vectors.
-    """
+def vector_rows(df: DataFrame, id_col: str, vec_col: str, nonzero: bool) -> tuple[DataFrame, int, bool, int]:
+    """(vec_id, vec array<double>) of the rows that take part, written once; their number; whether a vec_id occurs again; the longest length."""
     rows = df.select(df["`" + id_col + "`"].cast("long").alias("vec_id"), df["`" + vec_col + "`"].cast("array<double>").alias("vec"))
     rows = materialize(df.sparkSession, rows.where(F.col("vec_id").isNotNull() & F.coalesce(usable(F.col("vec"), nonzero), F.lit(False))), "vectors")
     n, ids, dim = rows.agg(F.count(F.lit(1)), F.countDistinct("vec_id"), F.max(F.size("vec"))).first()
-    if n != ids:
-        rows = materialize(df.sparkSession, rows.groupBy("vec_id").agg(F.min("vec").alias("vec")), "vectors")
-    return rows, int(ids), int(dim or 0)
+    return rows, int(n), n != ids, int(dim or 0)
 
 
 def matrix(column, dim: int) -> np.ndarray:
@@ -52,5 +47,5 @@ def unblob(column, dim: int) -> np.ndarray:
 def best(found: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest scores of each query, ties to the smaller vec_id."""
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
