@@ -14,10 +14,11 @@ The search. First each query searches the cell it falls in, which gives the scor
 beat; then the cells whose bound (distance to the routing object less the covering radius)
 can beat it. In a subtree, pages are opened best bound first until none can beat the k-th
 score so far. The triangle inequality on stored distances leaves out page distances and
-entries without computing them. What is computed is the integer inner product itself, exact
-in double precision below 2^53 (larger numbers: 64-bit integers). A subtree passes on only
-what reaches the score to beat. Bounds are loosened by a relative 1e-7, far above rounding,
-and ties are kept, so results are exact.
+entries without computing them. What is computed is the integer inner product itself: M bounds
+every product and partial sum, so double precision is exact for M below 2^53, 64-bit integers up
+to 2^62, and Python's integers are used beyond. A subtree passes on only what reaches the score
+to beat. Bounds are loosened by a relative 1e-7, far above rounding, and ties are kept, so results
+are exact. From M = 2^51 on, distances are no longer exact enough for that, and nothing is left out.
 
 Queries come in blocks of ``query_rows``; rows meet each block in their subtree. In many
 dimensions with weak structure bounds exclude little, and the work is that of comparing all
@@ -26,9 +27,9 @@ queries with all rows; it is spread evenly and never leaves a task larger than a
 Edge cases. Null vectors and those with a null or non-finite component take no part; zero
 vectors do. Vectors of different lengths are filled with zeros. Ties go to the smaller
 vec_id; copies are rows of their own, also under one vec_id; rows of the query's own vec_id are no
-candidates, and a query_id of several rows has the k best of all of them. Null ids take no part. With fewer than k candidates all are returned. Components
-beyond 2^31 after scaling are held at that bound. An empty table gives an empty result.
-Extra columns are ignored.
+candidates, and a query_id of several rows has the k best of all of them. Null ids take no part. With fewer than k candidates all are returned. A score beyond
+64 bits, or a component that scaling makes infinite, is an error that names the vectors. An empty
+table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,10 +44,21 @@ from tamis.llm.frames import materialize, ship
 from tamis.llm.vectors import best, blobs, matrix, unblob, vector_rows
 
 _EPS = 1e-7
+_PRUNED = 2.0 ** 51  # largest squared norm from which on distances leave nothing out
 
 
 def quantise(x: np.ndarray, scale: float) -> np.ndarray:
-    return np.clip(np.floor(scale * x), -(2.0 ** 31), 2.0 ** 31)
+    with np.errstate(over="ignore"):
+        return np.floor(scale * x)
+
+
+def _reach(norm: float, top: float, score: float) -> float:
+    """The distance within which rows reach the score, for a query of that squared norm."""
+    return np.inf if top >= _PRUNED else float(np.sqrt(max(norm + top - 2.0 * score, 0.0))) * (1 + _EPS) + 1e-6
+
+
+def _integers(x: np.ndarray) -> np.ndarray:
+    return np.array([int(v) for v in x.ravel().tolist()], dtype=object).reshape(x.shape)
 
 
 def _lift(x: np.ndarray, top: float) -> np.ndarray:
@@ -63,8 +75,11 @@ class Subtree:
     """Pages of entries with covering radii and parent distances."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, top: float, page_rows: int):
-        self.exact = len(x) == 0 or float(np.abs(x).max()) ** 2 * max(1, x.shape[1]) < 2.0 ** 53
         self.top = top
+        self.as_numbers = (lambda a: a) if top < 2.0 ** 53 else (lambda a: a.astype(np.int64)) if top < 2.0 ** 62 else _integers
+        if top >= _PRUNED:  # one page after the other
+            self.pages = [(0, ids[a:a + page_rows], self.as_numbers(x[a:a + page_rows]), None, np.inf) for a in range(0, len(ids), page_rows)]
+            return
         h = _lift(x, top)
         n = len(ids)
         pages = max(1, -(-n // page_rows))
@@ -91,9 +106,10 @@ class Subtree:
 
     def search(self, qid: int, q: np.ndarray, k: int, floor: float | None):
         """(ids, scores) of the k best that reach ``floor``, the score to beat."""
+        if self.top >= _PRUNED:
+            return self._search_all(qid, self.as_numbers(q), k, floor)
         norm = float((q * q).sum())
-        base = norm + self.top
-        reach = lambda s: np.sqrt(max(base - 2.0 * s, 0.0)) * (1 + _EPS) + 1e-6
+        reach = lambda s: _reach(norm, self.top, s)
         far = np.inf if floor is None else reach(floor)
         root = float(np.sqrt(((q - self.rx) ** 2).sum() + self.rh ** 2))
         slack = (1 + _EPS)
@@ -104,7 +120,6 @@ class Subtree:
         queue = list(zip((d - self.radius[may] * slack - 1e-6 * (1 + d)).tolist(), may.tolist(), d.tolist()))
         heapq.heapify(queue)
         ids, scores, least = np.zeros(0, np.int64), np.zeros(0), floor
-        qi = q if self.exact else q.astype(np.int64)
         while queue:
             bound, p, dp = heapq.heappop(queue)
             if bound > far:
@@ -114,7 +129,7 @@ class Subtree:
                 some = np.abs(dp - pd) <= far + 1e-6 * (1 + dp)
                 if not some.all():
                     pid, px = pid[some], px[some]
-            s = px @ qi if self.exact else (px.astype(np.int64) @ qi)
+            s = px @ q
             ok = pid != qid
             if least is not None:
                 ok &= s >= least
@@ -129,6 +144,22 @@ class Subtree:
                 far = reach(float(least))
         return ids, scores
 
+    def _search_all(self, qid: int, q: np.ndarray, k: int, floor: int | None):
+        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for _, pid, px, _, _ in self.pages:
+            some = pid != qid
+            pid, s = pid[some], (px @ q)[some]
+            for i, v in zip(pid.tolist(), s.tolist()):
+                if not -2 ** 63 <= v < 2 ** 63:
+                    raise OverflowError(f"the inner product of vec_id {qid} and vec_id {i} is beyond 64 bits")
+            s = s.astype(np.int64)
+            if floor is not None:
+                pid, s = pid[s >= floor], s[s >= floor]
+            ids, scores = np.concatenate([ids, pid]), np.concatenate([scores, s])
+            order = np.lexsort((ids, ~scores))[:k]
+            ids, scores = ids[order], scores[order]
+        return ids, scores
+
 
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 _FOUND_SQL = "query_id long, vec_id long, score long"
@@ -136,14 +167,19 @@ _FOUND_SQL = "query_id long, vec_id long, score long"
 
 def _assign(dim: int, scale: float, top: float, pivots: np.ndarray):
     """Each row's integers, cell and distance to the cell's routing object."""
-    ph = _lift(pivots, top)
+    ph = _lift(pivots, top) if top < _PRUNED else None
 
     def run(batches):
         for b in batches:
             x = quantise(matrix(b.column("vec"), dim), scale)
-            h = _lift(x, top)
+            bad = np.flatnonzero(~np.isfinite(x).all(axis=1))
+            if len(bad):
+                raise OverflowError(f"vec_id {b.column('vec_id')[int(bad[0])].as_py()} has a component that is infinite after scaling")
             near, least = np.zeros(len(x), dtype=np.int32), np.full(len(x), np.inf)
-            for j in range(len(pivots)):
+            h = _lift(x, top) if top < _PRUNED else None
+            if top >= _PRUNED:  # any cell will do
+                near[:] = b.column("vec_id").to_numpy() % len(pivots)
+            for j in range(len(pivots) if top < _PRUNED else 0):
                 d = _distances(x, h, pivots[j], ph[j])
                 hit = d < least
                 near[hit], least[hit] = j, d[hit]
@@ -153,7 +189,7 @@ def _assign(dim: int, scale: float, top: float, pivots: np.ndarray):
 
 def _targets(dim: int, top: float, pivots: np.ndarray, radius: dict[int, float], first: bool):
     """The cells a query goes to: its own (first), or all others that may beat its k-th score."""
-    ph = _lift(pivots, top)
+    ph = _lift(pivots, top) if top < _PRUNED else None
     cells = np.array(sorted(radius), dtype=np.int32)
     r = np.array([radius[c] for c in cells.tolist()])
 
@@ -163,12 +199,15 @@ def _targets(dim: int, top: float, pivots: np.ndarray, radius: dict[int, float],
             floors = b.column("floor").to_pylist()
             rows = []
             for i in range(len(q)):
+                if top >= _PRUNED:
+                    rows.append(cells[:1].tolist() if first else cells[1:].tolist())
+                    continue
                 d = np.sqrt(((pivots[cells] - q[i]) ** 2).sum(axis=1) + ph[cells] ** 2)
                 own = int(cells[int(np.argmin(d))])
                 if first:
                     rows.append([own])
                     continue
-                far = np.inf if floors[i] is None else np.sqrt(max(float((q[i] ** 2).sum()) + top - 2.0 * floors[i], 0.0)) * (1 + _EPS) + 1e-6
+                far = np.inf if floors[i] is None else _reach(float((q[i] ** 2).sum()), top, floors[i])
                 rows.append(cells[(d - r * (1 + _EPS) - 1e-6 * (1 + d) <= far) & (cells != own)].tolist())
             yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("x"), b.column("floor"), pa.array(rows, pa.list_(pa.int32()))],
                                              names=["query_id", "x", "floor", "cells"])
@@ -197,8 +236,8 @@ def top_inner_products(df: DataFrame, is_query, *, id_col: str = "vec_id", vec_c
     dim = max(dim, 1)
     if not n:
         return best(spark.createDataFrame([], _FOUND_SQL), k)
-    bounded = lambda x: F.greatest(F.lit(-(2.0 ** 31)), F.least(F.lit(2.0 ** 31), F.floor(x * scale).cast("double")))
-    norm = F.aggregate("vec", F.lit(0.0), lambda a, x: a + bounded(x) * bounded(x))
+    whole = lambda x: F.floor(x * scale).cast("double")  # noqa: E731  (a long; at its bounds the norm is far beyond 2^62)
+    norm = F.aggregate("vec", F.lit(0.0), lambda a, x: a + whole(x) * whole(x))
     top = float(rows.agg(F.max(norm)).first()[0])
     wanted = min(cells, max(1, -(-n // subtree_rows)))
     sample = rows.orderBy(F.xxhash64(F.lit(9), "vec_id"), "vec_id").limit(wanted).toArrow()  # routing objects, at most ``cells``
