@@ -26,15 +26,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id.
 
-    Of rows that repeat a kept doc_id one stays. Rows without a doc_id cannot be told apart by it and all stay.
+    Where a doc_id is null or occurs again, rows are numbered and linked by their texts only. The row
+    kept has the smallest doc_id of its group (null after all others), then the smallest hash of its
+    text, then the smallest number; different texts under one doc_id both stay.
     """
-    named = docs.where("doc_id is not null")
-    kept = link_near_duplicates(named).where("kept").select("doc_id").distinct()
-    out = named.join(kept, "doc_id", "left_semi")
-    n, ids = named.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
-    if n != ids:
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    n, ids = docs.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
+    if n == ids:
+        kept = link_near_duplicates(docs).where("kept").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    rows = materialize(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    linked = link_near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
+    least = rows.join(linked, "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
+    return rows.join(least, "_row", "left_semi").select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
