@@ -40,7 +40,7 @@ def last_value(df: DataFrame, key: str, ts: str, val: str, tiebreak: str | None
 
 
 def running_level(df: DataFrame, key: str, ts: str, delta: str, tiebreak: str, keep: tuple = (),
-                  bucket: str = "hour", width: float = 3600.0) -> DataFrame:
+                  bucket: str = "hour", width: float = 3600.0, scale: int | None = None) -> DataFrame:
     """R2 gauge Inc/Dec: the running sum of ``delta`` per key in (ts, tiebreak) order.
 
     Times are cut into buckets (``bucket`` for timestamps and dates, ``width`` for numbers).
@@ -48,38 +48,61 @@ def running_level(df: DataFrame, key: str, ts: str, delta: str, tiebreak: str, k
     bucket a window runs over (key, bucket). So a hot key is as many groups as it has
     buckets, and no sort holds more than one bucket of one key. NULL keys are one key, NULL
     times come first, a NULL delta adds nothing. Integers and decimals are summed as they
-    are, floating-point deltas as decimals of nine places, so the sum has no order.
+    are. Floating-point deltas are summed whole (see ``_exact_and_rest``) to a double; with
+    ``scale`` they are rounded to decimals of that many places first, so the sum has no order.
     """
     t = df.schema[ts].dataType
     at = F.col(ts)
     cut = F.date_trunc(bucket, at) if t.typeName() in ("timestamp", "timestamp_ntz", "date") else F.floor(at / F.lit(width))
     kind = df.schema[delta].dataType.typeName()
-    d = F.col(delta).cast("decimal(38,9)") if kind in ("float", "double") else F.col(delta)
-    ev = df.select(F.col(key).alias("_k"), at.alias("_ts"), F.col(tiebreak).alias("_tb"), F.coalesce(d, F.lit(0).cast(d_type(d, df))).alias("_d"),
+    d = F.col(delta)
+    if kind in ("float", "double"):
+        parts = _exact_and_rest(d) if scale is None else [d.cast(f"decimal(38,{scale})")]
+    else:
+        parts = [d]
+    sums = [f"_d{i}" for i in range(len(parts))]
+    ev = df.select(F.col(key).alias("_k"), at.alias("_ts"), F.col(tiebreak).alias("_tb"), *[F.coalesce(p, F.lit(0).cast(d_type(p, df))).alias(x) for p, x in zip(parts, sums)],
                    cut.alias("_b"), *[F.col(c) for c in keep])
-    total = ev.groupBy("_k", "_b").agg(F.sum("_d").alias("_t"))
-    before = F.sum("_t").over(Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    before = total.select(F.col("_k").alias("_k2"), F.col("_b").alias("_b2"), before.alias("_off"))
+    total = ev.groupBy("_k", "_b").agg(*[F.sum(x).alias(x) for x in sums])
+    earlier = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = total.select(F.col("_k").alias("_k2"), F.col("_b").alias("_b2"), *[F.sum(x).over(earlier).alias("_off" + x) for x in sums])
     j = ev.join(before, F.col("_k").eqNullSafe(F.col("_k2")) & F.col("_b").eqNullSafe(F.col("_b2")), "left")
-    own = F.sum("_d").over(Window.partitionBy("_k", "_b").orderBy("_ts", "_tb").rowsBetween(Window.unboundedPreceding, 0))
-    level = own + F.coalesce(F.col("_off"), F.lit(0))
+    inside = Window.partitionBy("_k", "_b").orderBy("_ts", "_tb").rowsBetween(Window.unboundedPreceding, 0)
+    levels = [F.sum(x).over(inside) + F.coalesce(F.col("_off" + x), F.lit(0)) for x in sums]
+    level = levels[0] if len(levels) == 1 else levels[0].cast("double") + levels[1]
     return j.select(F.col("_k").alias(key), F.col("_ts").alias(ts), F.col("_tb").alias(tiebreak), *keep, level.alias("level"))
 
 
+def _exact_and_rest(value: Column) -> list[Column]:
+    """A double as a decimal of nine places, whose sum has no order, and the double that is left over.
+
+    From 1e20 on (and for NaN) all of it is left over, so the decimals' sum has room.
+    """
+    x = value.cast("double")
+    exact = F.when(F.abs(x) < F.lit(1e20), x.cast("decimal(38,9)")).otherwise(F.lit(0).cast("decimal(38,9)"))
+    return [exact, F.when(F.abs(x) < F.lit(1e20), x - exact.cast("double")).otherwise(x)]
+
+
 def d_type(column: Column, df: DataFrame):
     """The type a column expression has on ``df``."""
     return df.select(column.alias("x")).schema["x"].dataType
 
 
-def histogram(df: DataFrame, val: str, buckets, by=()) -> DataFrame:
+def histogram(df: DataFrame, val: str, buckets, by=(), scale: int | None = None) -> DataFrame:
     """R3: cumulative counts per upper bound (``le_<b>``), ``le_inf``, sum and count,
-    in one aggregate."""
+    in one aggregate. Values are summed whole (see ``_exact_and_rest``); with ``scale`` they
+    are rounded to decimals of that many places first, so the sum has no order."""
+    if scale is None:
+        exact, rest = _exact_and_rest(F.col(val))
+        total = F.sum(exact).cast("double") + F.sum(rest)
+    else:
+        total = F.sum(F.col(val).cast(f"decimal(38,{scale})")).cast("double")
     cols = []
     for b in sorted(buckets):
         name = ("le_" + (str(int(b)) if float(b).is_integer() else str(b))).replace(".", "_")
         cols.append(F.count_if(F.col(val) <= F.lit(float(b))).alias(name))
     cols += [F.count(F.col(val)).alias("le_inf"),
-             F.sum(F.col(val).cast("decimal(38,9)")).cast("double").alias("sum"),
+             total.alias("sum"),
              F.count(F.lit(1)).alias("count")]
     return df.groupBy(*by).agg(*cols)
 

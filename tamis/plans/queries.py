@@ -341,14 +341,14 @@ def gauge_last(spark, d):
 def gauge_level(spark, d):
     from tamis.operators.report import running_level
     ev = read(spark, d, "events")
-    return running_level(ev, "user_id", "ts", "value", tiebreak="event_id", keep=("event_type",)).select(
+    return running_level(ev, "user_id", "ts", "value", tiebreak="event_id", keep=("event_type",), scale=9).select(
         "event_id", "user_id", "event_type", F.col("level").cast("double").alias("level"))
 
 
 def value_histogram(spark, d):
     from tamis.operators.report import histogram
     from tamis.plans.fixtures import VALUE_BUCKETS
-    return histogram(read(spark, d, "events"), "value", VALUE_BUCKETS, by=("event_type",))
+    return histogram(read(spark, d, "events"), "value", VALUE_BUCKETS, by=("event_type",), scale=9)
 
 
 def _epoch(c: str):
