@@ -1,11 +1,12 @@
-"""Substring dedup by prefix-partitioned suffix trees over words (operator 5).
+"""Substring dedup by prefix-partitioned classes of anchored word windows (operator 5).
 
 A window is ``length`` (13) consecutive words of one document. A word is removed when some
 window that covers it also starts in a document with a smaller doc_id.
 
-Method. Suffixes are split by variable-length prefixes into groups that fit in memory; each
-group's suffixes are sorted into a tree whose nodes at depth ``length`` are the repeated
-windows, and every leaf below such a node but those of its smallest doc_id is removed.
+Method. Suffixes are split by prefixes into groups of about 4,096 documents' prefixes, counted in
+rows and not in bytes. In a group, rank doubling gives the classes of equal windows, the nodes a
+suffix tree has at depth ``length``; no tree is built. Of each class all but the windows of the
+smallest doc_id are removed.
 
 1. Blocks. The table is cut into blocks of at most ``block_rows`` documents and written once,
    bucketed by block, so later passes over it need no shuffle of texts.
@@ -18,8 +19,8 @@ windows, and every leaf below such a node but those of its smallest doc_id is re
    A hot prefix is extended to the whole window: a block sends each distinct window once,
    with its smallest doc_id, however many documents repeat it. So no group depends on how
    often a passage is copied, only on how many blocks and different texts hold it.
-4. Trees. A group ranks its suffixes by their first 1, 2, 4, 8 and 13 words (each rank from
-   two shorter ones). Suffixes of equal last rank hang below one node. The group answers with
+4. Classes. A group ranks its suffixes by their first 1, 2, 4, 8 and 13 words (each rank from
+   two shorter ones). Suffixes of equal last rank are one class. The group answers with
    the suffixes to remove, or with the smallest doc_id of each hot window.
 5. Each block marks the covered words and joins the rest.
 
