@@ -8,13 +8,16 @@ from tamis.llm.bpe import bpe_round_trip
 from tamis.llm.cross_polytope import cross_polytope_search
 from tamis.llm.frames import table
 from tamis.llm.lengths import token_counts
+from tamis.llm.lexical import lexical_search
 from tamis.llm.licenses import license_scan
 from tamis.llm.minmax import link_near_duplicates
 from tamis.llm.mtree import mtree_search
 from tamis.llm.packing import packing
 from tamis.llm.sharding import sharding
 from tamis.llm.substring import substring_dedup
+from tamis.llm.tokenstore import token_store
 from tamis.llm.toxicity import toxicity
+from tamis.llm.vafile import va_clusters
 
 
 def _over(name: str, operator):
@@ -27,6 +30,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_cross_polytope": _over("embeddings", cross_polytope_search),
@@ -38,6 +45,9 @@ QUERIES = {
     "op8_minmax_dedup": _over("documents", link_near_duplicates),
     "op9_external_shuffle": _over("documents", sharding),
     "op10_license_templates": _over("documents", license_scan),
+    "op11_token_store": _over("documents", token_store),
+    "op12_va_file": _over("embeddings", va_clusters),
+    "op13_aho_corasick": op13_aho_corasick,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -83,6 +93,44 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id
 }
 
 
+
+def _va_round(i: int) -> str:
+    """The assignment to the centroids c{i} and the centroids c{i + 1} it gives."""
+    return f"""
+a{i} AS (SELECT r, c, d FROM (SELECT v.r, c, CAST(list_inner_product(q, q) - 2 * list_inner_product(q, m) + list_inner_product(m, m) AS BIGINT) AS d
+         FROM v CROSS JOIN c{i}) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1),
+p{i} AS (SELECT c, unnest(q) AS x, unnest(range(64)) AS j FROM v JOIN a{i} USING (r)),
+n{i} AS (SELECT c, list(f ORDER BY j) AS m FROM (SELECT c, j, floor(sum(x) / count(*)) AS f FROM p{i} GROUP BY c, j) GROUP BY c),
+c{i + 1} AS (SELECT c{i}.c, coalesce(n{i}.m, c{i}.m) AS m FROM c{i} LEFT JOIN n{i} ON n{i}.c = c{i}.c),"""
+
+
+SQL["op12_va_file"] = f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q FROM embeddings
+           WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)) NULLS LAST, q) - 1 AS c, q AS m FROM v QUALIFY c < 16),
+{"".join(_va_round(i) for i in range(4))}
+t AS (SELECT c, CAST(sum(d) AS BIGINT) AS s FROM a3 GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, s AS cluster_inertia, (SELECT CAST(sum(s) AS BIGINT) FROM t) AS inertia,
+       sha256(array_to_string([CAST(CAST(x AS BIGINT) AS VARCHAR) FOR x IN m], ',')) AS centroid_sha256
+FROM a3 JOIN v USING (r) JOIN t USING (c) JOIN c3 USING (c)
+"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SQL["op13_aho_corasick"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT count(*) AS n, sum(len(w)) AS l FROM d WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY r, t),
+wt AS (SELECT t, CAST(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf CROSS JOIN s GROUP BY t, n),
+m AS (SELECT r, doc_id, CAST(50 + (50 * len(w) * n) // l AS BIGINT) AS m FROM d CROSS JOIN s WHERE len(w) > 0),
+part AS (SELECT tf.r, tf.t, CAST(w * ((1000000000 * tf) // (1000 * tf + 20 * m)) AS BIGINT) AS p FROM tf JOIN wt USING (t) JOIN m USING (r)),
+sc AS (SELECT item_id, r, CAST(sum(p) AS BIGINT) AS score FROM i JOIN part USING (t) GROUP BY item_id, r HAVING sum(p) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM sc JOIN m USING (r) QUALIFY rank <= 50
+"""
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
