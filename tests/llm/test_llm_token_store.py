@@ -105,3 +105,27 @@ def test_null_and_repeated_ids_and_empty_table(spark):
     assert tokenstore.token_store(df.limit(0)).count() == 0
     nothing = tokenstore.token_store(df.select("doc_id", F.lit(None).cast("string").alias("text"))).collect()
     assert all(r.n_tokens == 1 for r in nothing) and len(nothing) == 6
+
+
+def test_a_hot_id_fills_many_ranges_in_order():
+    bounds = np.array([3, 7, 7, 7, 20])
+    rng = np.random.default_rng(0)
+    ids = [int(i) for i in rng.integers(0, 25, 500)] + [7] * 4000 + [None] * 500
+    g = rng.integers(-(1 << 63), 1 << 63, len(ids), dtype=np.int64)
+    place = tokenstore._range_of(pa.array(ids, pa.int64()), g, bounds, 2)
+    rows = sorted(zip([i is None for i in ids], [i or 0 for i in ids], g.tolist(), place.tolist()))
+    assert [r[3] for r in rows] == sorted(r[3] for r in rows)
+    assert max(r[3] for r in rows) == len(bounds) + 2 and np.bincount(place)[1:5].max() < 1400
+
+
+def test_many_ranges_with_a_hot_id(spark):
+    df = spark.range(0, 3000, 1, 16).select(F.when(F.col("id") % 3 == 0, F.lit(50)).when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id")).alias("doc_id"),
+                                            F.concat(F.lit("text number "), "id").alias("text"))
+    path = scratch_path(spark, "store")
+    tokenstore.write_token_store(df, path)
+    held = spark.read.parquet(f"{path}/segments").groupBy("part").agg(F.sum(F.size("doc_ids")).alias("n")).collect()
+    assert len(held) > 12 and max(r.n for r in held) < 700
+    got = tokenstore.read_token_store(spark, path).orderBy("start").collect()
+    named = [r.doc_id for r in got if r.doc_id is not None]
+    assert len(got) == 3000 and named == sorted(named) and all(r.doc_id is None for r in got[len(named):])
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
