@@ -10,9 +10,10 @@ occur; for those, ``split(text, '(?=word)')`` cuts the text at every occurrence
 start (the lookahead also finds overlaps) and the piece lengths' prefix sums are
 the offsets. One projection over the scan: no join, no shuffle.
 
-Plan B (banks over ``inline_max`` words): an Arrow UDF finds all words in one pass over
-the text (``automaton``). Both plans are row matchers with equal results: verdicts, hits,
-redaction, declared actions and streams do not depend on the bank's size.
+Larger banks go through a gram index (``grams``): a vectorised filter leaves the positions where a word may
+begin, and Spark finds the words there. Plan "gram" looks them up in a literal table inside the row, so
+verdicts, hits, redaction, declared actions and streams work as with plan A. Plan "join" (more than
+``table_max`` words) is an equi-join with the index, and gives a HITS table.
 
 M4 ``LiteralMatcher``: the first occurrence of each word, at most one hit per word.
 """
@@ -22,10 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tamis import schemas
-from tamis.operators.automaton import hits_udf
+from tamis.operators.grams import GramTable, join_words
 from tamis.functions.arrays import exclusive_prefix_sum, let
 from tamis.functions.sqlutil import literal_rows
-from tamis.operators.matchers import Matcher, bank_rows, hit_struct, _weight_of
+from tamis.operators.matchers import Matcher, bank_rows, empty_hits, first_per_word, hit_struct, _weight_of
 from tamis.functions.text import weight_micros
 
 _FIELDS = [("word", "string"), ("type", "string"), ("severity", "string"), ("action", "string"),
@@ -61,34 +62,43 @@ def count_occurrences(text: Column, word: Column, pat: Column) -> Column:
 class KeywordMatcher(Matcher):
     """M1: every occurrence of every word.
 
-    ``plan="auto"`` keeps banks of up to ``inline_max`` words as a literal of the plan and
-    finds the words of larger ones with an automaton; ``"inline"`` / ``"automaton"`` force
-    a plan. A bank of more than ``max_words`` words is refused (``BankTooLarge``).
+    ``plan="auto"`` keeps banks of up to ``inline_max`` words as a literal of the plan ("inline"), looks up the words
+    of banks of up to ``table_max`` in a literal gram table ("gram") and joins larger ones ("join"). A
+    bank of more than ``max_words`` words is refused (``BankTooLarge``).
     """
 
     name = "keyword"
 
     def __init__(self, bank, max_words: int = 200_000, name: str | None = None, plan: str = "auto",
-                 inline_max: int = 64, text_chunk: int = 65536):
-        if plan not in ("auto", "inline", "automaton"):
-            raise ValueError("plan must be 'auto', 'inline' or 'automaton'")
+                 inline_max: int = 64, table_max: int = 20_000, text_chunk: int = 65536):
+        if plan not in ("auto", "inline", "gram", "join"):
+            raise ValueError("plan must be 'auto', 'inline', 'gram' or 'join'")
         if name:
             self.name = name
         self.rows = bank_rows(bank, max_words)
         self.text_chunk = max([text_chunk, *(len(r["word"]) for r in self.rows)])
-        self.automaton = plan == "automaton" or (plan == "auto" and len(self.rows) > inline_max)
-        self._udfs: dict = {}
-        self.bank_lit = None if self.automaton else literal_rows(
-            [dict(r, wlen=len(r["word"]), pat=lookahead_pattern(r["word"])) for r in self.rows], _FIELDS)
-
-    def _udf(self, text: Column, ord_: int, first: bool) -> Column:
-        if (ord_, first) not in self._udfs:
-            self._udfs[ord_, first] = hits_udf(self.rows, self.name, ord_, first)
-        return self._udfs[ord_, first](text)
+        if plan == "auto":
+            plan = "inline" if len(self.rows) <= inline_max else "gram" if len(self.rows) <= table_max else "join"
+        self.plan = plan if self.rows else "inline"
+        self.row_based = self.plan != "join"
+        self.table = GramTable(self.rows) if self.plan == "gram" else None
+        self.bank_lit = literal_rows([dict(r, wlen=len(r["word"]), pat=lookahead_pattern(r["word"])) for r in self.rows], _FIELDS) if self.plan == "inline" else None
+
+    def _by_gram(self, text: Column, ord_: int) -> Column:
+        if self.table is None:
+            raise TypeError(f"a bank of {len(self.rows)} words gives a HITS table, not a column: use flat_hits or moderate")
+        found = self.table.occurrences(text, lambda w, at: hit_struct(ord_, self.name, w["word"], w["type"], w["severity"], at, w["n"]))
+        return F.coalesce(found, empty_hits())
+
+    def _joined(self, tx: DataFrame, ord_: int) -> DataFrame:
+        found = join_words(tx, self.rows).withColumns({"matcher": F.lit(self.name), "matcher_ord": F.lit(ord_).cast("int")})
+        return found.select(*schemas.HITS.fieldNames())
 
     def flat_hits(self, texts: DataFrame, ord_: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
         tx = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        return Matcher.flat_hits(self, tx, ord_) if self.automaton else self._chunked_inline(tx, ord_)
+        if self.plan == "join":
+            return self._joined(tx, ord_)
+        return Matcher.flat_hits(self, tx, ord_) if self.plan == "gram" else self._chunked_inline(tx, ord_)
 
     def actions(self) -> dict:
         return {r["word"]: r.get("action") for r in self.rows}
@@ -116,8 +126,8 @@ class KeywordMatcher(Matcher):
         return F.filter(self.bank_lit, lambda b: F.contains(t, b["word"]))
 
     def hits(self, text: Column, ord_: int) -> Column:
-        if self.automaton:
-            return self._udf(text, ord_, False)
+        if self.plan != "inline":
+            return self._by_gram(text, ord_)
         name = self.name
         return F.flatten(F.transform(
             self._found(text),
@@ -126,15 +136,15 @@ class KeywordMatcher(Matcher):
                                                        p, b["wlen"]))))
 
     def first_hits(self, text: Column, ord_: int) -> Column:
-        if self.automaton:
-            return self._udf(text, ord_, True)
+        if self.plan != "inline":
+            return Matcher.first_hits(self, text, ord_)
         name = self.name
         return F.transform(self._found(text),
                            lambda b: hit_struct(ord_, name, b["word"], b["type"], b["severity"],
                                                 F.instr(text, b["word"]) - 1, b["wlen"]))
 
     def score_micros(self, text: Column, weights: dict | None = None) -> Column:
-        if self.automaton:
+        if self.plan != "inline":
             return Matcher.score_micros(self, text, weights)
         wm = weight_micros(weights)
         live = F.filter(self.bank_lit, lambda b: (_weight_of(b["severity"], wm) != 0) & F.contains(text, b["word"]))
@@ -151,15 +161,24 @@ class LiteralMatcher(KeywordMatcher):
     def hits(self, text: Column, ord_: int) -> Column:
         return self.first_hits(text, ord_)
 
+    def first_hits(self, text: Column, ord_: int) -> Column:
+        return super().first_hits(text, ord_) if self.plan == "inline" else first_per_word(self._by_gram(text, ord_))
+
+    def _joined(self, tx: DataFrame, ord_: int) -> DataFrame:
+        names = schemas.HITS.fieldNames()
+        least = super()._joined(tx, ord_).groupBy("id", "word").agg(F.min(F.struct("idx", *[n for n in names if n not in ("id", "word", "idx")])).alias("h"))
+        return least.select(*[F.col(n if n in ("id", "word") else f"h.{n}").alias(n) for n in names])
+
     def score_micros(self, text: Column, weights: dict | None = None) -> Column:
-        if self.automaton:
+        if self.plan != "inline":
             return Matcher.score_micros(self, text, weights)
         wm = weight_micros(weights)
         return F.aggregate(self._found(text), F.lit(0).cast("long"),
                            lambda acc, b: acc + _weight_of(b["severity"], wm))
 
     def flat_hits(self, texts: DataFrame, ord_: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
-        return Matcher.flat_hits(self, texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ord_)
+        tx = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        return self._joined(tx, ord_) if self.plan == "join" else Matcher.flat_hits(self, tx, ord_)
 
 
 # --------------------------------------------------------------------------- flat API
@@ -175,6 +194,6 @@ def match_literal(texts: DataFrame, bank, id_col: str = "id", text_col: str = "t
 
 def match_keywords(texts: DataFrame, bank, plan: str = "auto", id_col: str = "id", text_col: str = "text",
                    max_words: int = 200_000, inline_max: int = 64) -> DataFrame:
-    """M1 as a flat HITS DataFrame. ``plan``: "inline" (A), "automaton" (B) or "auto"."""
+    """M1 as a flat HITS DataFrame. ``plan``: "inline", "gram", "join" or "auto"."""
     tx = _texts(texts, id_col, text_col)
     return KeywordMatcher(bank, max_words=max_words, plan=plan, inline_max=inline_max).flat_hits(tx, 0)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tamis import schemas
+from tamis.functions.arrays import let
 from tamis.functions.text import weight_micros
 
 
@@ -48,6 +49,12 @@ def hit_struct(ord_: int, matcher: str, word, type_, severity, idx, length) -> C
                     idx.cast("int").alias("idx"), length.cast("int").alias("len"))
 
 
+def first_per_word(hits: Column) -> Column:
+    """The hit of each word with the lowest position (then the shortest)."""
+    keyed = F.array_sort(F.transform(hits, lambda h: F.struct(h["word"].alias("k"), h["idx"].alias("i"), h["len"].alias("l"), h.alias("h"))))
+    return let(keyed, lambda srt: F.transform(F.filter(srt, lambda x, i: (i == 0) | (F.get(srt, i - 1)["k"] != x["k"])), lambda x: x["h"]))
+
+
 class Matcher:
     """Base class: subclasses give ``hits``; the rest has defaults."""
 
@@ -59,11 +66,7 @@ class Matcher:
 
     def first_hits(self, text: Column, ord_: int) -> Column:
         """At most one hit per word: the lowest position (then shortest)."""
-        srt = F.array_sort(F.transform(self.hits(text, ord_),
-                                       lambda h: F.struct(h["word"].alias("k"), h["idx"].alias("i"),
-                                                          h["len"].alias("l"), h.alias("h"))))
-        firsts = F.filter(srt, lambda x, i: (i == 0) | (F.get(srt, i - 1)["k"] != x["k"]))
-        return F.transform(firsts, lambda x: x["h"])
+        return first_per_word(self.hits(text, ord_))
 
     def score_micros(self, text: Column, weights: dict | None = None) -> Column:
         wm = weight_micros(weights)

@@ -5,9 +5,10 @@ inside the same projection that matched them. A verdict then costs one scan and
 one projection: no shuffle, no join back to the texts, clean texts stay in place,
 and a text with a huge number of hits is still one row in one task.
 
-Flat path (``moderate_hits``): hits that arrive as a table (gram-join plan, user
-matchers) are combined with aggregations, which combine map-side, so a hot text id
-never lands whole in one task; only ids and counts are shuffled, never texts.
+Table path: hits that arrive as a table (banks beyond a literal, user matchers) come back to their
+text by a row number, so texts may share an id; a chain runs each matcher only on the rows still
+without hits. ``moderate_hits`` decides from a HITS table alone: only ids and counts are
+shuffled there, with partial aggregates.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tamis import fixed, schemas
 from tamis.functions.arrays import running_max, let
 from tamis.functions.text import weight_micros
-from tamis.operators.automaton import strongest_udf
+from tamis.operators.grams import HashTable
 from tamis.operators.matchers import empty_hits, _weight_of
 from tamis.functions.sqlutil import literal_rows
+from tamis.session import materialize
 
 MODES = ("chain", "parallel", "weighted")
 
@@ -63,26 +65,15 @@ def moderate(texts: DataFrame, matchers: list, mode: str = fixed.DEFAULT_MODE,
 
     ``matchers``: matcher objects, registered matcher names, or a bank (the default
     keyword matcher). Result: (id, flagged, action, score, hits, n_hits[, keep...]);
-    ``score`` is set in weighted mode only, ``hits`` is empty in weighted mode. Matchers
-    that give flat hits (``dataframe_matcher``) need ids that name one text. A row whose text is NULL cannot be
+    ``score`` is set in weighted mode only, ``hits`` is empty in weighted mode. Ids need not be
+    unique. A row whose text is NULL cannot be
     moderated: flagged=false, action=fallback.
     """
     mode = _mode(mode)
     fb = fixed.ACTION_BLOCK if fallback == fixed.ACTION_BLOCK else fixed.ACTION_PASS
     matchers = _resolve(matchers)
     if not all(getattr(m, "row_based", False) for m in matchers):
-        # some matcher needs a join: combine flat hits by aggregation instead
-        tx = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
-                          *[F.col(k) for k in keep if k != "text"])
-        hits = None
-        for k, m in enumerate(matchers):
-            h = m.flat_hits(tx, k)
-            hits = h if hits is None else hits.unionByName(h)
-        r = moderate_hits(tx, hits, mode=mode, threshold=threshold, fallback=fallback, weights=weights, keep=keep)
-        fields = ("matcher_ord", "matcher", "word", "type", "severity", "idx", "len")
-        own = policy_hits(hits, mode).groupBy("id").agg(F.collect_list(F.struct(*fields)).alias("_hits"))
-        got = F.when(F.col("n_hits") > 0, reference_order(F.coalesce(F.col("_hits"), empty_hits()))).otherwise(empty_hits())
-        return r.join(own, "id", "left").select("id", "flagged", "action", "score", got.alias("hits"), "n_hits", *keep)
+        return _moderate_tables(texts, matchers, mode, threshold, fb, weights, id_col, text_col, keep)
     t = F.col("_t")
     df = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"), *keep)
     score = F.lit(None).cast("double")
@@ -152,6 +143,64 @@ def policy_hits(hits: DataFrame, mode: str = fixed.DEFAULT_MODE) -> DataFrame:
     return best.select("id", "b.matcher", "b.matcher_ord", "word", "b.type", "b.severity", "b.idx", "b.len")
 
 
+def _moderate_tables(texts: DataFrame, matchers: list, mode: str, threshold: float, fallback: str, weights: dict | None,
+                     id_col: str, text_col: str, keep: tuple) -> DataFrame:
+    """``moderate`` where some matcher gives its hits as a table.
+
+    Rows are numbered and written once, so that hits come back to their row whatever the ids are. In a chain,
+    matcher k sees only the rows that the matchers before it found nothing in (an anti join on the row
+    number). Each matcher's hits are written before they are used twice.
+    """
+    spark = texts.sparkSession
+    if texts.isStreaming:
+        raise ValueError("a matcher gives a HITS table: moderate the stream batch by batch (moderate_stream_reload)")
+    cols = [F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(k).alias(f"_keep{i}") for i, k in enumerate(keep)]]
+    rows = materialize(spark, texts.select(F.monotonically_increasing_id().alias("_row"), *cols), "texts")
+    left = rows.where(F.col("_text").isNotNull()).select("_row", "_text")
+    hits = None
+    for k, m in enumerate(matchers):
+        found = materialize(spark, m.flat_hits(left, k, id_col="_row", text_col="_text"), "hits")
+        hits = found if hits is None else hits.unionByName(found)
+        if mode == "chain":
+            left = left.join(found.select(F.col("id").alias("_row")).distinct(), "_row", "left_anti")
+    if hits is None:
+        hits = spark.createDataFrame([], schemas.HITS)
+    chosen = hits if mode == "chain" else policy_hits(hits, mode)
+    ids = rows.select(F.col("_row").alias("id"), F.col("_text").isNull().alias("_null"), "_id", *[f"_keep{i}" for i in range(len(keep))])
+    r = _decided(ids, _weighed(hits, weights) if mode == "weighted" else _counted(chosen, whole=True), mode, threshold, fallback)
+    return r.select(F.col("_id").alias("id"), "flagged", "action", "score", reference_order(F.coalesce(F.col("_hits"), empty_hits())).alias("hits"), "n_hits",
+                    *[F.col(f"_keep{i}").alias(k) for i, k in enumerate(keep)])
+
+
+def _weighed(hits: DataFrame, weights: dict | None) -> DataFrame:
+    return hits.groupBy("id").agg(F.sum(_weight_of(F.col("severity"), weight_micros(weights))).alias("_s"), F.lit(0).cast("long").alias("_n"),
+                                  empty_hits().alias("_hits"))
+
+
+def _counted(chosen: DataFrame, whole: bool = False) -> DataFrame:
+    """Per text the number of its hits and, if asked, the hits."""
+    fields = ("matcher_ord", "matcher", "word", "type", "severity", "idx", "len")
+    own = F.collect_list(F.struct(*fields)) if whole else empty_hits()
+    return chosen.groupBy("id").agg(F.lit(None).cast("long").alias("_s"), F.count(F.lit(1)).alias("_n"), own.alias("_hits"))
+
+
+def _decided(ids: DataFrame, per_id: DataFrame, mode: str, threshold: float, fallback: str) -> DataFrame:
+    """``ids`` (id, _null, ...) with flagged, action, score, n_hits and _hits from the numbers of each id."""
+    j = ids.join(per_id, "id", "left")
+    n = F.coalesce(F.col("_n"), F.lit(0).cast("long"))
+    if mode == "weighted":
+        s = F.coalesce(F.col("_s"), F.lit(0).cast("long"))
+        flagged, score = s > F.lit(int(round(float(threshold) * 1_000_000))), s / F.lit(1_000_000.0)
+    else:
+        flagged, score = n > 0, F.lit(None).cast("double")
+    nul = F.col("_null")
+    return j.withColumns({
+        "flagged": F.when(nul, False).otherwise(flagged),
+        "action": F.when(nul, F.lit(fallback)).when(flagged, F.lit(fixed.ACTION_BLOCK)).otherwise(F.lit(fixed.ACTION_PASS)),
+        "score": F.when(nul, F.lit(None).cast("double")).otherwise(score),
+        "n_hits": F.when(nul, F.lit(0).cast("long")).otherwise(n)})
+
+
 def moderate_hits(texts: DataFrame, hits: DataFrame, mode: str = fixed.DEFAULT_MODE,
                   threshold: float = fixed.DEFAULT_THRESHOLD, fallback: str = fixed.DEFAULT_FALLBACK,
                   weights: dict | None = None, id_col: str = "id", text_col: str = "text",
@@ -159,32 +208,13 @@ def moderate_hits(texts: DataFrame, hits: DataFrame, mode: str = fixed.DEFAULT_M
     """Verdicts from a flat HITS table: (id, flagged, action, score, n_hits[, keep]).
 
     Only ids (and ``keep`` columns) cross the shuffle: the text itself is reduced to
-    an is-null flag before the join.
+    an is-null flag before the join. Ids must name one text here, as the hits know no other.
     """
     mode = _mode(mode)
     fb = fixed.ACTION_BLOCK if fallback == fixed.ACTION_BLOCK else fixed.ACTION_PASS
     ids = texts.select(F.col(id_col).alias("id"), F.col(text_col).isNull().alias("_null"), *keep)
-    if mode == "weighted":
-        wm = weight_micros(weights)
-        agg = hits.groupBy("id").agg(F.sum(_weight_of(F.col("severity"), wm)).alias("_s"), F.count(F.lit(1)).alias("_n"))
-        j = ids.join(agg, "id", "left")
-        s = F.coalesce(F.col("_s"), F.lit(0).cast("long"))
-        flagged = s > F.lit(int(round(float(threshold) * 1_000_000)))
-        score = s / F.lit(1_000_000.0)
-        n = F.lit(0).cast("long")
-    else:
-        agg = policy_hits(hits, mode).groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
-        j = ids.join(agg, "id", "left")
-        n = F.coalesce(F.col("_n"), F.lit(0).cast("long"))
-        flagged = n > 0
-        score = F.lit(None).cast("double")
-    nul = F.col("_null")
-    return j.select("id",
-                    F.when(nul, False).otherwise(flagged).alias("flagged"),
-                    F.when(nul, F.lit(fb)).when(flagged, F.lit(fixed.ACTION_BLOCK))
-                    .otherwise(F.lit(fixed.ACTION_PASS)).alias("action"),
-                    F.when(nul, F.lit(None).cast("double")).otherwise(score).alias("score"),
-                    F.when(nul, F.lit(0).cast("long")).otherwise(n).alias("n_hits"), *keep)
+    per_id = _weighed(hits, weights) if mode == "weighted" else _counted(policy_hits(hits, mode))
+    return _decided(ids, per_id, mode, threshold, fb).select("id", "flagged", "action", "score", "n_hits", *keep)
 
 
 # --------------------------------------------------------------------------- P5 / P6
@@ -246,7 +276,8 @@ def declared_action(hits: Column, actions: dict) -> Column:
     rank = fixed.ACTION_RANK
     words = F.array_distinct(F.transform(hits, lambda h: h["word"]))
     if len(actions) > 64:
-        best = strongest_udf({w: rank.get(a or "", 0) for w, a in actions.items()})(words)
+        table = HashTable([{"word": w, "r": rank.get(a or "", 0)} for w, a in sorted(actions.items())], [("word", "string"), ("r", "int")])
+        best = F.array_max(F.flatten(F.transform(words, lambda w: F.transform(table.found(w), lambda b: b["r"]))))
     else:
         rows = [{"word": w, "r": rank.get(a or "", 0)} for w, a in sorted(actions.items())]
         lit = literal_rows(rows, [("word", "string"), ("r", "int")])

@@ -12,21 +12,16 @@ from pyspark.sql import functions as F
 from tamis.operators.keyword import match_keywords
 from tamis.plans.queries import read, docs
 
-_BANK_CACHE: dict = {}
-
 
 def derived_bank(spark, d, n: int = 1000, letters: int = 4) -> list[tuple]:
-    key = (d, n, letters)
-    if key not in _BANK_CACHE:
-        words = (read(spark, d, "benchmark")
-                 .select(F.explode(F.split(F.lower("text"), "[^\\p{L}]+")).alias("w"))
-                 .filter(F.length("w") >= letters)
-                 .groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-                 .orderBy(F.col("n").desc(), F.col("w")).limit(n).collect())
-        sev = ("low", "medium", "high")
-        act = ("review", "mask", "block", "pass")
-        _BANK_CACHE[key] = [(r["w"], "derived", sev[i % 3], act[i % 4]) for i, r in enumerate(words)]
-    return _BANK_CACHE[key]
+    words = (read(spark, d, "benchmark")
+             .select(F.explode(F.split(F.lower("text"), "[^\\p{L}]+")).alias("w"))
+             .filter(F.length("w") >= letters)
+             .groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+             .orderBy(F.col("n").desc(), F.col("w")).limit(n).collect())
+    sev = ("low", "medium", "high")
+    act = ("review", "mask", "block", "pass")
+    return [(r["w"], "derived", sev[i % 3], act[i % 4]) for i, r in enumerate(words)]
 
 
 def keyword_hits_1000(spark, d):

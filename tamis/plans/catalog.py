@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tamis.plans import queries as Q
 from tamis.plans.large_bank import QUERIES as LARGE
+from tamis.plans.tables import QUERIES as TABLES
 
 
 def queries() -> dict:
@@ -49,6 +50,7 @@ def queries() -> dict:
         "stream_reload": Q.stream_reload,
         "quota_audit_stream": Q.quota_audit_stream_q,
         **LARGE,
+        **TABLES,
     }
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tamis.operators.keyword import KeywordMatcher, match_keywords, match_literal
 from tamis.operators.policy import declared_action, moderate, redact
 from tamis.plans.bench_queries import derived_bank
-from tamis.plans.queries import FILES_PER_BATCH, docs, email_matcher, hit_columns, read, read_stream, render_bodies, standard_requests, stream_verdicts, verdict_columns
+from tamis.plans.queries import docs, email_matcher, hit_columns, read, read_stream, render_bodies, standard_requests, stream_verdicts, verdict_columns
 
 SIX = 6
 
@@ -73,7 +73,7 @@ def stream_moderate_1000(spark, d):
 def stream_reload_1000(spark, d):
     from tamis.session import scratch_path
     from tamis.streaming.moderate import moderate_stream_reload
-    stream = read_stream(spark, d, "documents", files_per_batch=FILES_PER_BATCH).select("doc_id", "text")
+    stream = read_stream(spark, d, "documents").select("doc_id", "text")
     sink, ck = scratch_path(spark, "stream_reload_1000"), scratch_path(spark, "stream_reload_1000-ck")
     moderate_stream_reload(stream, lambda: _bank(spark, d), lambda rows: [KeywordMatcher(rows)], sink, ck, mode="chain", id_col="doc_id").awaitTermination()
     return spark.read.parquet(sink).select(F.col("id").alias("doc_id"), "flagged", "action", "n_hits")

@@ -25,8 +25,6 @@ DATA_DIR = os.path.join(os.path.dirname(os.path.dirname(__file__)), "data")
 DOC_BANK_CSV = os.path.join(DATA_DIR, "doc_bank.csv")
 # fixed probe of wide characters appended to every text for normalize_text
 NORMALIZE_PROBE = "Ａｂｃ１！～　x​y"
-# files of a table that a verdict stream takes in one micro-batch
-FILES_PER_BATCH = 1
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -375,9 +373,9 @@ def stream_moderate(spark, d):
     return stream_verdicts(spark, d, doc_matchers(spark), "stream_moderate")
 
 
-def stream_verdicts(spark, d, matchers, name: str) -> DataFrame:
+def stream_verdicts(spark, d, matchers, name: str, files_per_batch: int | None = None) -> DataFrame:
     from tamis.streaming.moderate import moderate_stream, run_available_now
-    stream = read_stream(spark, d, "documents", files_per_batch=FILES_PER_BATCH)
+    stream = read_stream(spark, d, "documents", files_per_batch=files_per_batch)
     out = verdict_columns(moderate_stream(stream.select("doc_id", "text"), matchers, mode="chain", id_col="doc_id"))
     return spark.read.parquet(run_available_now(spark, out, name))
 
@@ -403,7 +401,7 @@ def stream_reload(spark, d):
     each verdict row carries the version of the bank it used."""
     from tamis.session import scratch_path
     from tamis.streaming.moderate import moderate_stream_reload
-    stream = read_stream(spark, d, "documents", files_per_batch=FILES_PER_BATCH).select("doc_id", "text")
+    stream = read_stream(spark, d, "documents").select("doc_id", "text")
     sink, ck = scratch_path(spark, "stream_reload"), scratch_path(spark, "stream_reload-ck")
     q = moderate_stream_reload(stream, lambda: load_word_bank(spark, DOC_BANK_CSV),
                                lambda rows: [KeywordMatcher(rows)], sink, ck, mode="chain", id_col="doc_id")

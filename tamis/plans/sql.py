@@ -6,6 +6,7 @@ from tamis import fixed
 from tamis.functions.text import _fullwidth_tables
 from tamis.plans import queries as Q
 from tamis.plans.large_bank import BANK_SQL, sql as _large_bank_sql
+from tamis.plans.tables import sql as _tables_sql
 from tamis.plans.fixtures import DOC_BANK, REGEX_BANK_VALID, bank_values_sql
 from tamis.plans.oracle import (_q, kw_hits_cte, email_cte, weight_case, regex_first_sql, rules_values_sql,
                                 W_MED)
@@ -379,3 +380,4 @@ SELECT doc_id, CASE WHEN text IS NULL THEN false ELSE EXISTS (SELECT 1 FROM bank
 FROM t"""
 
 SQL |= _large_bank_sql(SQL, BANK)
+SQL |= _tables_sql(SQL)

@@ -12,7 +12,7 @@ def bank(*words):
 
 def hits(spark, texts, words, plan="inline"):
     b = bank(*words)
-    if plan == "automaton":
+    if plan != "inline":
         b = spark.createDataFrame(b, "word string, type string, severity string, action string")
     rows = match_keywords(texts_df(spark, texts), b, plan=plan).collect()
     return sorted((r.id, r.word, r.idx, r.len) for r in rows)
@@ -50,7 +50,8 @@ def test_plans_agree_with_naive_finder(spark):
     words = ["a", "ab", "aba", "abab", "é😀", "b a", "😀😀é", "\nab"]
     exp = sorted((i, w, p, len(w)) for i, t in enumerate(texts) for (w, p) in naive_occurrences(t, words))
     assert hits(spark, texts, words, "inline") == exp
-    assert hits(spark, texts, words, "automaton") == exp
+    assert hits(spark, texts, words, "gram") == exp
+    assert hits(spark, texts, words, "join") == exp
 
 
 def test_literal_match_first_occurrence(spark):
@@ -61,7 +62,7 @@ def test_literal_match_first_occurrence(spark):
 def test_auto_plan_switches_on_bank_size(spark):
     small = KeywordMatcher(bank(*[f"w{i}" for i in range(10)]))
     big = KeywordMatcher(bank(*[f"w{i}" for i in range(100)]))
-    assert small.row_based and big.row_based and big.automaton and not small.automaton
+    assert small.row_based and big.row_based and (small.plan, big.plan) == ("inline", "gram")
 
 
 def test_plan_is_one_narrow_projection(spark):
@@ -86,3 +87,56 @@ def test_literal_match_with_large_bank_keeps_first_occurrence(spark):
     b = spark.createDataFrame(bank(*words), "word string, type string, severity string, action string")
     rows = match_literal(texts_df(spark, ["bad w001 bad w001", "none"]), b).collect()
     assert sorted((r.id, r.word, r.idx) for r in rows) == [(0, "bad", 0), (0, "w001", 4)]
+
+
+def occurrences(spark, texts, words, plan, **how):
+    found = KeywordMatcher(bank(*words), plan=plan, **how).flat_hits(texts_df(spark, texts), 0).collect()
+    return sorted((r.id, r.word, r.idx, r.len) for r in found)
+
+
+def expected(texts, words):
+    return sorted((i, w, p, len(w)) for i, t in enumerate(texts) for (w, p) in naive_occurrences(t or "", words))
+
+
+def test_gram_plans_on_borders_nul_bytes_and_shared_grams(spark):
+    words = ["a", "a\0", "a\0\0", "ab", "abc", "abcd", "abcde", "abcdef", "abcdefg", "abcdefgh", "abcdefghi", "abcdefghijkl", "é", "éé", "日本語", "😀" * 5, "x" * 3000]
+    texts = [None, "", "a", "ab", "abcdefghijklm", "a\0\0\0", "éééé é", "日本語日本語", "😀" * 7, "abcdefg", "hijkl", "x" * 3500, "zabcdefghi" * 50, "abcdefgh"]
+    for plan in ("gram", "join"):
+        assert occurrences(spark, texts, words, plan) == expected(texts, words)
+
+
+def test_gram_plan_on_random_texts(spark):
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("abé😀\0 ") for _ in range(rnd.randint(0, 400))) for _ in range(80)]
+    words = sorted({"".join(rnd.choice("abé😀\0") for _ in range(rnd.randint(1, 9))) for _ in range(300)})
+    exp = expected(texts, words)
+    assert occurrences(spark, texts, words, "gram") == exp and occurrences(spark, texts, words, "join") == exp
+
+
+def test_two_hundred_thousand_words(spark):
+    words = [f"w{i:06d}x" for i in range(150_000)] + [f"v{i}" for i in range(50_000)]
+    km = KeywordMatcher(bank(*words))
+    assert km.plan == "join" and not km.row_based
+    texts = [" ".join(f"w{i:06d}x" for i in range(k, 200_000, 997)) + " v7 v49999" for k in range(20)] + ["w00000x v", "w000001x" * 1000]
+    held = set(words)
+    got = [(r.id, r.word, r.idx) for r in km.flat_hits(texts_df(spark, texts), 0).collect()]
+    assert len(got) == len(set(got)) and all(w in held and texts[i][p:p + len(w)] == w for i, w, p in got)
+    long = sorted(g for g in got if g[1][0] == "w")
+    assert long == sorted((i, t[p:p + 8], p) for i, t in enumerate(texts) for p in range(len(t)) if t[p] == "w" and t[p:p + 8] in held)
+    short = sorted(g for g in got if g[1][0] == "v")
+    assert short == sorted((i, t[p:p + n], p) for i, t in enumerate(texts) for p in range(len(t)) if t[p] == "v" for n in range(2, 7) if t[p:p + n] in held and len(t[p:p + n]) == n)
+
+
+def test_gram_table_needs_no_exchange_and_the_join_shuffles_no_positions(spark):
+    df = texts_df(spark, ["a b"])
+    plan = lambda p: match_keywords(df, bank("ab", "word"), plan=p)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan("gram") and "Join" not in plan("gram")
+    assert plan("join").count("Exchange") == plan("join").count("BroadcastExchange") > 0
+
+
+def test_literal_of_each_plan_agrees(spark):
+    texts = ["aaa b aaa", "b", "", "xbxb"]
+    for plan in ("inline", "gram", "join"):
+        from tamis.operators.keyword import LiteralMatcher
+        rows = LiteralMatcher(bank("a", "aa", "b"), plan=plan).flat_hits(texts_df(spark, texts), 3).collect()
+        assert sorted((r.id, r.word, r.idx, r.matcher_ord) for r in rows) == [(0, "a", 0, 3), (0, "aa", 0, 3), (0, "b", 4, 3), (1, "b", 0, 3), (3, "b", 1, 3)]

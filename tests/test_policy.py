@@ -111,7 +111,7 @@ def test_row_path_verdicts_need_no_exchange(spark):
 
 def test_flat_path_shuffles_ids_not_texts(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    ms = [KeywordMatcher([("bad", "t", "high", "block")], plan="automaton")]
+    ms = [KeywordMatcher([("bad", "t", "high", "block")], plan="join")]
     r = moderate(df, ms, mode="chain", id_col="doc_id")
     ex = r._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
@@ -147,7 +147,7 @@ def test_dataframe_matcher_in_chain(spark):
 
 
 def test_flat_path_keeps_columns(spark):
-    km = KeywordMatcher([("bad", "t", "high", "block")], plan="automaton")
+    km = KeywordMatcher([("bad", "t", "high", "block")], plan="join")
     df = spark.createDataFrame([(1, "bad bad", "x"), (2, "ok", "y")], "id long, text string, tag string")
     rows = moderate(df, [km], keep=("text", "tag")).orderBy("id").collect()
     assert [(r.flagged, r.n_hits, r.text, r.tag) for r in rows] == [(True, 2, "bad bad", "x"), (False, 0, "ok", "y")]
@@ -209,3 +209,38 @@ def test_conversations_with_string_ids(spark):
     df = spark.createDataFrame([("x1", "user", "bad"), ("x2", "assistant", "ok")], "id string, role string, text string")
     got = {r.id: (r.point, r.flagged) for r in moderate_conversations(df, [KeywordMatcher([("bad", "t", "high", "block")])]).collect()}
     assert got == {"x1": ("input", True), "x2": ("output", False)}
+
+
+@pytest.mark.parametrize("mode", ["chain", "parallel", "weighted"])
+def test_table_path_equals_row_path_when_texts_share_ids(spark, mode):
+    rows = [(1, "bad word"), (1, "clean"), (1, "bad word"), (2, None), (2, "mail a@bc.de bad"), (None, "word word"), (None, ""), (3, "x a@bc.de")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "id long, text string, tag int").repartition(3)
+    from tamis import fixed
+    from tamis.operators.regex import RegexMatcher
+    bank = [("bad", "t", "high", "block"), ("word", "t", "low", "review"), ("or", "t", "medium", "mask")]
+    rules = RegexMatcher.from_rules(spark, [r for r in fixed.DEFAULT_RULES if r[0] == "email_pattern"])
+    got = [sorted((tuple(r) for r in moderate(df, [KeywordMatcher(bank, plan=p), rules], mode=mode, keep=("text", "tag")).collect()), key=repr) for p in ("inline", "gram", "join")]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+
+
+def test_a_chain_of_tables_runs_a_matcher_on_rows_without_hits_only(spark):
+    from tamis.operators.registry import dataframe_matcher
+    from tamis.operators.keyword import match_keywords
+    seen = []
+
+    def second(texts, bank):
+        seen.append(sorted(r.text for r in texts.collect()))
+        return match_keywords(texts, bank)
+
+    first = KeywordMatcher([("bad", "t", "high", "block")], plan="join")
+    m = dataframe_matcher("second", second, bank=[("word", "t", "low", "review")], register=False)
+    df = spark.createDataFrame([(1, "bad word"), (1, "a word"), (2, "none"), (2, None)], "id long, text string")
+    r = sorted((x.id, x.n_hits) for x in moderate(df, [first, m], mode="chain").collect())
+    assert seen == [["a word", "none"]] and r == [(1, 1), (1, 1), (2, 0), (2, 0)]
+
+
+def test_tables_of_hits_are_refused_in_a_stream(spark, tmp_path):
+    spark.createDataFrame([(1, "bad")], "id long, text string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, text string").parquet(str(tmp_path / "in"))
+    with pytest.raises(ValueError, match="batch by batch"):
+        moderate(stream, [KeywordMatcher([("bad", "t", "high", "block")], plan="join")])

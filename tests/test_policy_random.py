@@ -39,7 +39,7 @@ def test_policies_match_model(spark):
     rnd = random.Random(3)
     texts = ["".join(rnd.choice("ab1 é😀") for _ in range(rnd.randint(0, 40))) for _ in range(150)]
     ms = [KeywordMatcher(BANK), RegexMatcher.from_rules(spark, RULE)]
-    ms_flat = [KeywordMatcher(BANK, plan="automaton"), RegexMatcher.from_rules(spark, RULE)]
+    ms_flat = [KeywordMatcher(BANK, plan="join"), RegexMatcher.from_rules(spark, RULE)]
     for mode in ("chain", "parallel", "weighted"):
         exp = [model(t, mode) for t in texts]
         for matchers in (ms, ms_flat):
