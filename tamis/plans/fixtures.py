@@ -63,3 +63,6 @@ VALUE_BUCKETS = [1.0, 5.0, 10.0, 50.0, 100.0, 250.0]
 # Token bucket used by the quota audit query: one token per 5 days, two at most.
 QUOTA_RATE = 1.0 / 432000.0
 QUOTA_CAPACITY = 2
+# Its stream: days an event may be late, and parts of the input (one micro-batch each).
+QUOTA_DELAY = 5
+QUOTA_PARTS = 6

@@ -7,6 +7,7 @@ Each entry takes (spark, sf_dir) and returns a DataFrame with flat scalar column
 from __future__ import annotations
 
 import os
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -411,11 +412,26 @@ def stream_reload(spark, d):
 
 
 def quota_audit_stream_q(spark, d):
-    """ST4 stream form: the events drained through the stateful per-key bucket, as one micro-batch:
-    the parts of a table are in no order of time, and a bucket must see a key's events in that order."""
+    """ST4 stream form over parts that are out of order: each part holds the events of a period, every one moved
+    later by up to ``QUOTA_DELAY`` days; two heartbeats end the stream."""
+    from tamis.session import scratch_path
     from tamis.streaming.quota import quota_audit_stream
     from tamis.streaming.moderate import run_available_now
-    from tamis.plans.fixtures import QUOTA_RATE, QUOTA_CAPACITY
-    out = quota_audit_stream(read_stream(spark, d, "events"), "user_id", "ts", QUOTA_RATE, QUOTA_CAPACITY, tiebreak="event_id")
-    res = spark.read.parquet(run_available_now(spark, out, "quota_stream"))
+    from tamis.plans.fixtures import QUOTA_RATE, QUOTA_CAPACITY, QUOTA_DELAY, QUOTA_PARTS
+    events = read(spark, d, "events").select("event_id", "ts", "user_id", F.lit(False).alias("ends"))
+    seen = F.col("ts") + F.expr(f"make_dt_interval(cast(pmod(xxhash64(event_id), {QUOTA_DELAY}) as int))")
+    least, most = events.agg(F.min("ts"), F.max("ts")).first()
+    path = scratch_path(spark, "quota_parts")
+    if least is not None:
+        step = (most - least + timedelta(days=QUOTA_DELAY, seconds=1)) / QUOTA_PARTS
+        for i in range(QUOTA_PARTS):  # files are streamed in the order they were written in
+            events.where((seen >= F.lit(least + i * step)) & (seen < F.lit(least + (i + 1) * step))).coalesce(1).write.mode("append").parquet(path)
+        for _ in range(2):  # the second one's batch runs behind the watermark that the first one moved
+            end = events.limit(1).withColumns({"ts": F.lit(most + timedelta(days=QUOTA_DELAY + 1)).cast(events.schema["ts"].dataType), "ends": F.lit(True)})
+            end.coalesce(1).write.mode("append").parquet(path)
+    else:
+        events.write.parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = quota_audit_stream(stream, "user_id", "ts", QUOTA_RATE, QUOTA_CAPACITY, tiebreak="event_id", delay=f"{QUOTA_DELAY} days", heartbeat=F.col("ends"))
+    res = spark.read.schema(out.schema).parquet(run_available_now(spark, out, "quota_stream"))
     return res.select(F.col("tiebreak").alias("event_id"), F.col("key").alias("user_id"), "admitted")

@@ -16,6 +16,9 @@ from tamis.operators.policy import moderate
 from tamis.session import scratch_path
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def moderate_stream(texts_stream: DataFrame, matchers: list, **kw) -> DataFrame:
     """ST1: the verdict stream (append mode) of a text stream."""
     return moderate(texts_stream, matchers, **kw)
@@ -53,8 +56,14 @@ def run_available_now(spark: SparkSession, stream_df: DataFrame, name: str, fmt:
     """Drain a stream once (availableNow) into a fresh sink under the checkpoint
     folder; returns the sink path."""
     base = scratch_path(spark, name)
-    q = (stream_df.writeStream.format(fmt).outputMode("append")
-         .option("checkpointLocation", base + "/_checkpoint").option("path", base + "/out")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, ROCKSDB)  # read when the query starts; needed by operators with timers
+    try:
+        q = (stream_df.writeStream.format(fmt).outputMode("append")
+             .option("checkpointLocation", base + "/_checkpoint").option("path", base + "/out")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
     return base + "/out"

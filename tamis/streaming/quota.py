@@ -6,13 +6,17 @@ admitted when a whole token is there, and takes it; a refused event changes
 nothing. ``rate = 0`` makes ``capacity`` a one-time quota; ``capacity = 0``
 refuses everything.
 
-Batch: rows are hash-partitioned by key and sorted by (key, ts, tiebreak) inside
-each partition; ``mapInPandas`` walks the sorted Arrow batches carrying only the
-current key's two numbers, so memory is bounded by the batch size, never by a
-key's row count. The bucket is a sequential recurrence, so one key's rows are
-walked by one task, but never held whole.
-Stream: ``applyInPandasWithState`` keeps (tokens, last time) per key in the
-state store; each micro-batch's rows of a key are sorted before the walk.
+Batch: the bucket is a sequential recurrence, but an idle time of capacity / rate or more fills it, whatever
+happened before. A key's timeline is cut exactly there, and every (key, segment) is walked on
+its own: rows are hash-partitioned and sorted by (key, segment, ts, tiebreak), and ``mapInPandas`` walks the sorted Arrow
+batches carrying only the current segment's two numbers. Segments are found without a task that holds a key: time
+is dealt into periods of that length; a window inside each (key, period), the last event of the period before, and a window over the
+periods (one row each) give every event its segment's first event. So a key that holds most events is walked by as many
+tasks as it has idle times; one that is never idle that long is one segment. Exempt events take no part.
+
+Stream: ``transformWithState`` keeps per key the bucket (tokens, last time) and a list of events that the watermark
+has not passed. An event-time timer releases them in order of time, so parts of the input may arrive in
+any order within the watermark's delay, over any number of micro-batches.
 """
 
 from __future__ import annotations
@@ -20,7 +24,10 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from tamis.session import materialize
 
 NS = 1_000_000_000
 
@@ -72,78 +79,159 @@ def _out_schema(key_type, ts_type, tb_type) -> T.StructType:
                          T.StructField("tokens", T.DoubleType())])
 
 
+def _micros(c: str, kind: T.DataType) -> F.Column:
+    """Microseconds since 1970 of a TIMESTAMP or TIMESTAMP_NTZ."""
+    if isinstance(kind, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})")
+    return F.unix_micros(c)
+
+
+def refill_micros(rate: float, capacity: int) -> int | None:
+    """The least idle time in microseconds that surely fills the bucket, in the limiter's own arithmetic; None: no time does."""
+    if not 0 < rate < math.inf or capacity < 1:
+        return None
+    fills = lambda us: (float(us // 1_000_000) + float(us % 1_000_000 * 1000) / 1e9) * rate >= capacity
+    if capacity / rate > 1e11:  # seconds: some 3,000 years
+        return None
+    us = max(1, int(capacity / rate * 1e6) - 2)
+    while not fills(us):
+        us += 1
+    return us
+
+
+def with_segments(rows: DataFrame, refill: int | None) -> DataFrame:
+    """``rows`` (key, ts, tiebreak, ...) with ``segment``: the microsecond of the first event since the key's last refill.
+
+    No task holds a key: the windows are inside (key, period) and over one row per (key, period).
+    """
+    us = _micros("ts", rows.schema["ts"].dataType)
+    if refill is None:
+        return rows.withColumn("segment", F.lit(0).cast("long"))
+    k = rows.withColumn("_k", F.struct("key")).withColumn("_us", us)  # a struct: NULL is one key and joins itself
+    k = k.withColumn("_period", F.expr(f"(_us - pmod(_us, {refill}L)) div {refill}L"))
+    last = k.groupBy("_k", "_period").agg(F.max("_us").alias("_before")).withColumn("_period", F.col("_period") + 1)
+    inside = Window.partitionBy("_k", "_period").orderBy("_us", "tiebreak")
+    k = k.join(last, ["_k", "_period"], "left").withColumn("_before", F.coalesce(F.lag("_us").over(inside), "_before"))
+    # two periods apart is a refill: the whole period between was idle
+    begins = F.col("_before").isNull() | (F.col("_us") - F.col("_before") >= refill)
+    k = k.withColumn("_first", F.max(F.when(begins, F.col("_us"))).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    k = materialize(rows.sparkSession, k, "quota")
+    per = k.groupBy("_k", "_period").agg(F.max("_first").alias("_last"))
+    before = Window.partitionBy("_k").orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per.withColumn("_carried", F.last("_last", ignorenulls=True).over(before)).drop("_last")
+    found = k.join(carried, ["_k", "_period"]).withColumn("segment", F.coalesce("_first", "_carried"))
+    return found.select(*rows.columns, "segment")
+
+
 def quota_audit(events: DataFrame, key: str, ts: str, rate: float, capacity: int, tiebreak: str | None = None,
                 exempt: F.Column | None = None, partitions: int | None = None) -> DataFrame:
     """(key, ts, tiebreak, admitted, tokens) per event; ``exempt`` rows are admitted
     and take no token (the health-check path of the service)."""
     tb = tiebreak or ts
     base = events.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(tb).alias("tiebreak"),
-                         (exempt if exempt is not None else F.lit(False)).alias("_exempt"))
-    n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = base.repartition(n, "key").sortWithinPartitions("key", "ts", "tiebreak")
+                         F.coalesce(exempt if exempt is not None else F.lit(False), F.lit(False)).alias("_exempt"))
     fields = {f.name: f.dataType for f in base.schema.fields}
     schema = _out_schema(fields["key"], fields["ts"], fields["tiebreak"])
+    counted = with_segments(base.where(~F.col("_exempt")).drop("_exempt"), refill_micros(rate, capacity))
+    n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = counted.repartition(n, "key", "segment").sortWithinPartitions("key", "segment", "ts", "tiebreak")
     bucket = TokenBucket(rate, capacity)
 
     def walk(batches):
-        cur_key, state = object(), None
+        at, state = object(), None
         for pdf in batches:
             if pdf.empty:
                 continue
             t_ns = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy() * 1000
             keys = [None if x else k for k, x in zip(pdf["key"].tolist(), pdf["key"].isna())]  # NULL is one key
-            ex = pdf["_exempt"].to_numpy()
             adm, toks = [], []
-            for k, t, e in zip(keys, t_ns, ex):
-                if k != cur_key:
-                    cur_key, state = k, bucket.start()
-                if e:
-                    adm.append(True)
-                    toks.append(float("nan"))
-                    continue
+            for k, t in zip(zip(keys, pdf["segment"].tolist()), t_ns):
+                if k != at:
+                    at, state = k, bucket.start()
                 ok, tok, state = bucket.step(state, int(t))
                 adm.append(ok)
                 toks.append(tok)
             yield pd.DataFrame({"key": pdf["key"], "ts": pdf["ts"], "tiebreak": pdf["tiebreak"],
                                 "admitted": adm, "tokens": toks})
 
-    return sorted_.mapInPandas(walk, schema)
+    out = sorted_.mapInPandas(walk, schema)
+    if exempt is None:
+        return out
+    free = base.where("_exempt").select("key", "ts", "tiebreak", F.lit(True).alias("admitted"), F.lit(float("nan")).alias("tokens"))
+    return out.unionByName(free)
 
 
-def quota_audit_stream(events_stream: DataFrame, key: str, ts: str, rate: float, capacity: int,
-                       tiebreak: str | None = None, exempt: F.Column | None = None) -> DataFrame:
-    """Streaming form; state per key = (tokens, last_ns, admitted_before). ``exempt`` as in the batch
-    form. A micro-batch's events of one key are sorted in memory: bound them with the source's
-    ``maxFilesPerTrigger``. One key's bucket is sequential; give keys that outgrow a task sub-keys."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+class _Audit(StatefulProcessor):
+    """Per key: the bucket, and the events the watermark has not passed (released in order of time)."""
 
-    tb = tiebreak or ts
-    base = events_stream.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(tb).alias("tiebreak"),
-                                (exempt if exempt is not None else F.lit(False)).alias("_exempt"))
-    fields = {f.name: f.dataType for f in base.schema.fields}
-    schema = _out_schema(fields["key"], fields["ts"], fields["tiebreak"])
-    state_schema = T.StructType([T.StructField("tokens", T.DoubleType()), T.StructField("last_ns", T.LongType()),
-                                 T.StructField("has", T.BooleanType())])
-    bucket = TokenBucket(rate, capacity)
+    def __init__(self, bucket: TokenBucket, types: str):
+        self.bucket, self.types = bucket, types
 
-    def fn(k, pdfs, gstate):
-        pdf = pd.concat(list(pdfs)).sort_values(["ts", "tiebreak"], kind="stable")
-        state = None
-        if gstate.exists:
-            tok, last, has = gstate.get
-            state = (tok, last) if has else None
-        adm, toks = [], []
-        for t, free in zip(pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy() * 1000, pdf["_exempt"]):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"us long, tiebreak {self.types}, exempt boolean")
+        self.level = handle.getValueState("level", "tokens double, last_ns long")
+
+    def _release(self, key, rows: list, upto_us: int):
+        """Rows up to a time, walked; the others wait, with a timer at the first of them."""
+        rows.sort(key=lambda r: (r[0], r[1] is not None, r[1]))
+        n = next((i for i, r in enumerate(rows) if r[0] > upto_us), len(rows))
+        if rows[n:]:
+            self.waiting.put(rows[n:])
+            self.handle.registerTimer(rows[n][0] // 1000)
+        else:
+            self.waiting.clear()
+        state = self.level.get() if self.level.exists() else None
+        before, adm, toks = state, [], []
+        for us, _, free in rows[:n]:
             if free:
                 adm.append(True)
                 toks.append(float("nan"))
                 continue
-            ok, tok, state = bucket.step(state, int(t))
+            ok, tok, state = self.bucket.step(state, us * 1000)
             adm.append(ok)
             toks.append(tok)
-        gstate.update((state[0], state[1], True) if state else (0.0, 0, False))
-        yield pd.DataFrame({"key": pdf["key"], "ts": pdf["ts"], "tiebreak": pdf["tiebreak"],
-                            "admitted": adm, "tokens": toks})
-
-    return base.groupBy("key").applyInPandasWithState(fn, schema, state_schema, "append",
-                                                      GroupStateTimeout.NoTimeout)
+        if state is not before:
+            self.level.update(state)
+        if n:
+            ts = pd.to_datetime([r[0] for r in rows[:n]], unit="us")
+            yield pd.DataFrame({"key": pd.Series([key[0]] * n, dtype=object), "ts": ts, "tiebreak": [r[1] for r in rows[:n]], "admitted": adm, "tokens": toks})
+
+    def handleInputRows(self, key, rows, timerValues):
+        waiting = [tuple(r) for r in self.waiting.get()]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        for pdf in rows:
+            pdf = pdf[~pdf["beat"]]  # not filtered before: Spark would push that below the watermark
+            us = pdf["us"].tolist()
+            waiting += list(zip(us, [None if pd.isna(x) else x for x in pdf["tiebreak"].tolist()], pdf["exempt"].tolist()))
+        yield from self._release(key, waiting, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._release(key, [tuple(r) for r in self.waiting.get()], timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def close(self) -> None:
+        pass
+
+
+def quota_audit_stream(events_stream: DataFrame, key: str, ts: str, rate: float, capacity: int, tiebreak: str | None = None,
+                       exempt: F.Column | None = None, delay: str = "0 seconds", heartbeat: F.Column | None = None) -> DataFrame:
+    """The audit of a stream whose events may be out of order by up to ``delay`` (the watermark's).
+
+    Events wait in the state until the watermark has passed them and are then judged in order of (ts, tiebreak);
+    an event later than the delay is judged when it comes, as one that arrives now, or dropped by the watermark. Rows for which ``heartbeat`` holds only move the
+    watermark (a source that ends sends one, so that its last events are released). One key's bucket is sequential.
+    The query needs the RocksDB state store (``run_available_now`` sets it).
+    """
+    tb = tiebreak or ts
+    kind = events_stream.schema[ts].dataType
+    base = events_stream.withColumn("_event_time", F.col(ts).cast("timestamp") if not isinstance(kind, T.TimestampNTZType) else F.timestamp_micros(_micros(ts, kind)))
+    base = base.withWatermark("_event_time", delay)
+    us = F.unix_micros("_event_time")
+    base = base.select(F.col(key).alias("key"), us.alias("us"), (us if tb == ts else F.col(tb)).alias("tiebreak"),
+                       F.coalesce(exempt if exempt is not None else F.lit(False), F.lit(False)).alias("exempt"),
+                       F.coalesce(heartbeat if heartbeat is not None else F.lit(False), F.lit(False)).alias("beat"), "_event_time")
+    fields = {f.name: f.dataType for f in base.schema.fields}
+    schema = _out_schema(fields["key"], T.TimestampNTZType(), fields["tiebreak"])
+    audit = _Audit(TokenBucket(rate, capacity), fields["tiebreak"].simpleString())
+    return base.groupBy("key").transformWithStateInPandas(audit, schema, "Append", "EventTime")

@@ -1,8 +1,11 @@
 import datetime as dt
+import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from tamis.streaming.quota import quota_audit, TokenBucket
+from tamis.streaming.quota import TokenBucket, quota_audit, refill_micros, with_segments
 
 
 def events(spark, rows):
@@ -68,21 +71,44 @@ def test_matches_python_pass_on_events(spark):
     assert got == exp
 
 
-def test_stream_form_equals_batch(spark, tmp_path):
+def drained(spark, rows, schema, parts, tmp_path, delay, rate, cap, exempt=None):
+    """Admissions of a stream that takes one part per micro-batch; two heartbeats end it."""
     from tamis.streaming.quota import quota_audit_stream
     from tamis.streaming.moderate import run_available_now
-    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "ts", "user_id")
-    # two files in time order: state must carry across micro-batches
-    cut = ev.agg(F.expr("percentile_approx(ts, 0.5)")).first()[0]
-    ev.filter(F.col("ts") <= cut).coalesce(1).write.parquet(str(tmp_path / "in" / "a"))
-    ev.filter(F.col("ts") > cut).coalesce(1).write.parquet(str(tmp_path / "in" / "b"))
-    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
-              .parquet(str(tmp_path / "in" / "*")))
-    out = quota_audit_stream(stream, "user_id", "ts", 1 / 432000, 2, tiebreak="event_id")
-    got = {r.tiebreak: r.admitted for r in spark.read.parquet(run_available_now(spark, out, "q-stream")).collect()}
-    exp = {r.tiebreak: r.admitted
-           for r in quota_audit(ev, "user_id", "ts", 1 / 432000, 2, tiebreak="event_id").collect()}
-    assert got == exp
+    path = str(tmp_path / "parts")
+    last = max(r[1] for r in rows) + dt.timedelta(days=400)
+    for part in [*parts, [(rows[0][0], last, -1)], [(rows[0][0], last, -1)]]:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = quota_audit_stream(stream, "k", "ts", rate, cap, tiebreak="e", exempt=exempt, delay=delay, heartbeat=F.col("e") < 0)
+    got = spark.read.parquet(run_available_now(spark, out, "q-stream")).collect()
+    assert len(got) == len({r.tiebreak for r in got})
+    return {r.tiebreak: (r.key, r.ts, r.admitted) for r in got}
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_stream_over_shuffled_parts_equals_batch(spark, tmp_path, kind):
+    rng, base = random.Random(6), dt.datetime(2024, 1, 1)
+    rows = [(rng.choice([1, 2, None]), base + dt.timedelta(microseconds=rng.randrange(60 * 86_400 * 10 ** 6)), e) for e in range(240)]
+    rows += [(1, base + dt.timedelta(days=7), e) for e in range(240, 250)]
+    rng.shuffle(rows)
+    schema = f"k long, ts {kind}, e long"
+    got = drained(spark, rows, schema, [rows[i::4] for i in range(4)], tmp_path, "61 days", 1 / 86400, 3)
+    exp = {r.tiebreak: (r.key, r.ts, r.admitted) for r in quota_audit(spark.createDataFrame(rows, schema), "k", "ts", 1 / 86400, 3, tiebreak="e").collect()}
+    assert got == exp and 0 < sum(a for _, _, a in got.values()) < len(rows)
+
+
+def test_stream_releases_behind_the_watermark_only(spark, tmp_path):
+    from tamis.streaming.quota import quota_audit_stream
+    from tamis.streaming.moderate import run_available_now
+    base, path = dt.datetime(2024, 1, 1), str(tmp_path / "parts")
+    at = lambda d, e: (1, base + dt.timedelta(days=d), e)
+    for part in ([at(1, 0), at(3, 1)], [at(2, 2), at(9, 3)], [at(5, 4), at(4, 5), at(20, 6)], [at(21, 7)]):
+        spark.createDataFrame(part, "k long, ts timestamp, e long").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("k long, ts timestamp, e long").option("maxFilesPerTrigger", 1).parquet(path)
+    out = quota_audit_stream(stream, "k", "ts", 0.0, 3, tiebreak="e", delay="3 days")
+    got = {r.tiebreak: r.admitted for r in spark.read.parquet(run_available_now(spark, out, "q-late")).collect()}
+    assert got == {0: True, 2: True, 1: True, 3: False, 4: False, 5: False}  # 20 and 21 still wait
 
 
 def test_null_keys_are_one_key_and_exempt_rows_take_none(spark):
@@ -97,13 +123,43 @@ def test_null_keys_are_one_key_and_exempt_rows_take_none(spark):
 
 
 def test_exempt_rows_in_the_stream(spark, tmp_path):
-    import datetime as dt
     base = dt.datetime(2024, 1, 1)
     rows = [(i % 2, base + dt.timedelta(seconds=i), i) for i in range(12)]
-    df = spark.createDataFrame(rows, "k long, ts timestamp, e long")
-    df.write.parquet(str(tmp_path / "in"))
-    from tamis.streaming.moderate import run_available_now
-    from tamis.streaming.quota import quota_audit_stream
-    out = quota_audit_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "k", "ts", 0.0, 1, tiebreak="e", exempt=F.col("e") < 4)
-    got = {r.tiebreak for r in spark.read.parquet(run_available_now(spark, out, "exempt")).where("admitted").collect()}
-    assert got == {0, 1, 2, 3, 4, 5}
+    got = drained(spark, rows, "k long, ts timestamp, e long", [rows[:7], rows[7:]], tmp_path, "1 hour", 0.0, 1, exempt=F.col("e") < 4)
+    assert {e for e, r in got.items() if r[2]} == {0, 1, 2, 3, 4, 5}
+
+
+def one_by_one(rows, rate, cap):
+    """The row-by-row walk of (key, microsecond, event), keys apart."""
+    b, out, state = TokenBucket(rate, cap), {}, {}
+    for k, us, e in sorted(rows, key=lambda r: (r[1], r[2])):
+        ok, tok, state[k] = b.step(state.get(k), us * 1000)
+        out[e] = (ok, tok)
+    return out
+
+
+@pytest.mark.parametrize("rate,cap", [(1 / 3, 2), (0.1, 1), (7.0, 5), (1e-3, 3), (0.0, 2), (math.inf, 1), (1.0, 0)])
+def test_segments_change_nothing_and_spread_a_hot_key(spark, rate, cap):
+    rng = random.Random(8)
+    us, rows = -5_000_000, []
+    for e in range(3000):
+        us += rng.choice([0, 1, 400_000, 1_500_000, 6_000_000, 10_000_000, 40_000_000, 3_000_000_000]) if rng.random() < .7 else rng.randrange(9_000_000)
+        rows.append((7 if rng.random() < .9 else rng.choice([1, None]), us, e))
+    base = dt.datetime(1970, 1, 1)
+    df = spark.createDataFrame([(k, base + dt.timedelta(microseconds=u), e) for k, u, e in rows], "k long, ts timestamp_ntz, e long").repartition(5)
+    got = {r.tiebreak: (r.admitted, r.tokens) for r in quota_audit(df, "k", "ts", rate, cap, tiebreak="e").collect()}
+    assert got == one_by_one(rows, rate, cap)
+    refill = refill_micros(rate, cap)
+    segments = with_segments(df.toDF("key", "ts", "tiebreak"), refill)
+    sizes = [r["count"] for r in segments.where("key = 7").groupBy("segment").count().collect()]
+    assert sum(sizes) == sum(k == 7 for k, _, _ in rows)
+    if refill and refill < 10 ** 8:
+        assert len(sizes) > 100 and max(sizes) < 0.2 * len(rows)
+
+
+def test_refill_time_is_the_least_that_fills_the_bucket():
+    for rate, cap in [(1 / 432000, 2), (0.1, 3), (1 / 3, 1), (1e6, 4), (3e-7, 9)]:
+        us, b = refill_micros(rate, cap), TokenBucket(rate, cap)
+        assert b.step((0.0, 0), us * 1000)[1] == cap - 1.0
+        assert us == 1 or b.step((0.0, 0), (us - 1) * 1000)[1] < cap - 1.0 or not b.step((0.0, 0), (us - 1) * 1000)[0]
+    assert refill_micros(0.0, 2) is None and refill_micros(math.inf, 2) is None and refill_micros(1.0, 0) is None and refill_micros(1e-300, 2) is None
