@@ -159,11 +159,12 @@ class HashTable:
         return F.filter(self.bucket(key), lambda r: r[self.key] == key)
 
 
-def _index(rows: list[dict]) -> list[dict]:
+def _index(rows: list[dict], extra: list[tuple[str, str]] = ()) -> list[dict]:
     out = []
     for r in rows:
         b, gram = gram_of(r["word"].encode())
-        out.append({"gram": gram, "b": b, "word": r["word"], "type": r.get("type"), "severity": r.get("severity"), "n": len(r["word"])})
+        out.append({"gram": gram, "b": b, "word": r["word"], "type": r.get("type"), "severity": r.get("severity"), "n": len(r["word"])}
+                   | {f: r[f] for f, _ in extra})
     return out
 
 
@@ -171,16 +172,23 @@ _INDEX_SQL = [("gram", "bigint"), ("b", "int"), ("word", "string"), ("type", "st
 
 
 class GramTable:
-    """Occurrences of bank words in a text column, inside one projection."""
+    """Occurrences of bank words in a text column, inside one projection.
 
-    def __init__(self, rows: list[dict]):
-        self.udf = candidates_udf([r["word"] for r in rows])
-        self.table = HashTable(_index(rows), _INDEX_SQL)
+    Rows may repeat a word (with other ``extra`` fields); ``where`` then chooses among them.
+    """
+
+    def __init__(self, rows: list[dict], extra: list[tuple[str, str]] = ()):
+        self.udf = candidates_udf(sorted({r["word"] for r in rows}))
+        self.table = HashTable(_index(rows, extra), [*_INDEX_SQL, *extra])
+
+    def occurrences(self, text: Column, hit, where=None) -> Column:
+        """array of ``hit(word row, position)``, one per occurrence (of rows for which ``where`` holds)."""
+        def is_at(w, c):
+            found = (w["b"] == c["b"]) & F.startswith(c["bytes"], w["word"].cast("binary"))
+            return found if where is None else found & where(w)
 
-    def occurrences(self, text: Column, hit) -> Column:
-        """array of ``hit(word row, position)``, one per occurrence."""
         def words_at(c):
-            here = F.filter(self.table.found(c["gram"]), lambda w: (w["b"] == c["b"]) & F.startswith(c["bytes"], w["word"].cast("binary")))
+            here = F.filter(self.table.found(c["gram"]), lambda w: is_at(w, c))
             return F.transform(here, lambda w: hit(w, c["idx"]))
         return F.flatten(F.transform(self.udf(text), words_at))
 

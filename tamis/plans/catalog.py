@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tamis.plans import queries as Q
+from tamis.plans.history import QUERIES as HISTORY
 from tamis.plans.large_bank import QUERIES as LARGE
 from tamis.plans.tables import QUERIES as TABLES
 
@@ -51,6 +52,7 @@ def queries() -> dict:
         "quota_audit_stream": Q.quota_audit_stream_q,
         **LARGE,
         **TABLES,
+        **HISTORY,
     }
 
 

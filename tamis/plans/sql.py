@@ -5,6 +5,7 @@ from __future__ import annotations
 from tamis import fixed
 from tamis.functions.text import _fullwidth_tables
 from tamis.plans import queries as Q
+from tamis.plans.history import sql as _history_sql
 from tamis.plans.large_bank import BANK_SQL, sql as _large_bank_sql
 from tamis.plans.tables import sql as _tables_sql
 from tamis.plans.fixtures import DOC_BANK, REGEX_BANK_VALID, bank_values_sql
@@ -381,3 +382,4 @@ FROM t"""
 
 SQL |= _large_bank_sql(SQL, BANK)
 SQL |= _tables_sql(SQL)
+SQL |= _history_sql(SQL, BANK_SQL)

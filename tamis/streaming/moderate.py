@@ -12,6 +12,7 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tamis.operators.history import BankHistory, moderate_as_of
 from tamis.operators.policy import moderate
 from tamis.session import scratch_path
 
@@ -52,6 +53,20 @@ def moderate_stream_reload(texts_stream: DataFrame, bank_loader, make_matchers,
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def moderate_stream_history(texts_stream: DataFrame, load_changes, sink_path: str, checkpoint: str, ts_col: str = "ts",
+                            others=(), trigger: dict | None = None, **kw):
+    """ST2 by event time: the bank's change log is read again at every micro-batch, and each text is judged by the
+    bank of its own time (``history``). Replayed texts get the same verdicts, whatever was added to the log
+    with later times. Rows carry ``bank_version`` and ``batch_id``.
+    """
+    def per_batch(batch: DataFrame, batch_id: int):
+        out = moderate_as_of(batch, BankHistory(load_changes()), ts_col=ts_col, others=others, **kw)
+        out.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(sink_path)
+
+    w = texts_stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def run_available_now(spark: SparkSession, stream_df: DataFrame, name: str, fmt: str = "parquet") -> str:
     """Drain a stream once (availableNow) into a fresh sink under the checkpoint
     folder; returns the sink path."""

@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tamis.functions.times import micros
 from tamis.session import materialize
 
 NS = 1_000_000_000
@@ -79,13 +80,6 @@ def _out_schema(key_type, ts_type, tb_type) -> T.StructType:
                          T.StructField("tokens", T.DoubleType())])
 
 
-def _micros(c: str, kind: T.DataType) -> F.Column:
-    """Microseconds since 1970 of a TIMESTAMP or TIMESTAMP_NTZ."""
-    if isinstance(kind, T.TimestampNTZType):
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})")
-    return F.unix_micros(c)
-
-
 def refill_micros(rate: float, capacity: int) -> int | None:
     """The least idle time in microseconds that surely fills the bucket, in the limiter's own arithmetic; None: no time does."""
     if not 0 < rate < math.inf or capacity < 1:
@@ -104,7 +98,7 @@ def with_segments(rows: DataFrame, refill: int | None) -> DataFrame:
 
     No task holds a key: the windows are inside (key, period) and over one row per (key, period).
     """
-    us = _micros("ts", rows.schema["ts"].dataType)
+    us = micros("ts", rows.schema["ts"].dataType)
     if refill is None:
         return rows.withColumn("segment", F.lit(0).cast("long"))
     k = rows.withColumn("_k", F.struct("key")).withColumn("_us", us)  # a struct: NULL is one key and joins itself
@@ -225,7 +219,7 @@ def quota_audit_stream(events_stream: DataFrame, key: str, ts: str, rate: float,
     """
     tb = tiebreak or ts
     kind = events_stream.schema[ts].dataType
-    base = events_stream.withColumn("_event_time", F.col(ts).cast("timestamp") if not isinstance(kind, T.TimestampNTZType) else F.timestamp_micros(_micros(ts, kind)))
+    base = events_stream.withColumn("_event_time", F.col(ts).cast("timestamp") if not isinstance(kind, T.TimestampNTZType) else F.timestamp_micros(micros(ts, kind)))
     base = base.withWatermark("_event_time", delay)
     us = F.unix_micros("_event_time")
     base = base.select(F.col(key).alias("key"), us.alias("us"), (us if tb == ts else F.col(tb)).alias("tiebreak"),
