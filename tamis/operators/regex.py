@@ -10,9 +10,12 @@ tries p at positions 0, 1, 2, ... exactly as a search does.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tamis.functions.dialect import prepare, required_literal, nested_quantifier
+from tamis.operators.grams import GramTable
 from tamis.operators.matchers import Matcher, bank_rows, hit_struct, empty_hits, _weight_of
 from tamis.functions.text import weight_micros
 
@@ -43,16 +46,16 @@ class RegexMatcher(Matcher):
             warnings.warn(f"{len(self.risky)} pattern(s) with nested quantifiers may backtrack heavily on the JVM: "
                           f"{self.risky[:5]}")
         # up to ``unroll_max`` patterns: one literal expression each (compiled once per
-        # task); beyond: the pack is one folded literal array and each text runs only
-        # the patterns whose required literal it contains
+        # task); beyond: the pack is a literal array, and an index from required literals to
+        # patterns gives each text the patterns it can match at all
         self.packed = plan == "packed" or (plan == "auto" and len(self.entries) > unroll_max)
         if self.packed:
-            from tamis.functions.sqlutil import literal_rows
-            self.pack = literal_rows(
-                [dict(name=e["name"], type=e.get("type"), severity=e.get("severity"), java=e["java"],
-                      pre="^((?s:.*?))(?:" + e["java"] + ")", lit=e["lit"]) for e in self.entries],
-                [("name", "string"), ("type", "string"), ("severity", "string"), ("java", "string"),
-                 ("pre", "string"), ("lit", "string")])
+            fields = ("name", "type", "severity", "java", "pre")
+            rows = [dict({f: e.get(f) for f in fields}, pre="^((?s:.*?))(?:" + e["java"] + ")") for e in self.entries]
+            self.pack = F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), "array<struct<" + ",".join(f"{f}:string" for f in fields) + ">>")
+            named = [{"word": e["lit"], "at": i} for i, e in enumerate(self.entries) if e["lit"]]
+            self.index = GramTable(named, [("at", "int")]) if named else None
+            self.always = [i for i, e in enumerate(self.entries) if not e["lit"]]
 
     @classmethod
     def from_bank(cls, spark, bank, name: str = "regex", max_words: int = 50_000):
@@ -84,14 +87,25 @@ class RegexMatcher(Matcher):
         return F.when(self.found(text, e), hit_struct(ord_, self.name, F.lit(e["name"]), F.lit(e.get("type")),
                                                       F.lit(e.get("severity")), idx, ln))
 
+    def candidates(self, text: Column) -> Column:
+        """The pack's patterns that may match a text: those whose required literal occurs, and those without one."""
+        at = F.array(*[F.lit(i) for i in self.always]).cast("array<int>")
+        if self.index is not None:
+            named = F.array_distinct(self.index.occurrences(text, lambda w, _: w["at"]))
+            at = F.array_sort(F.concat(F.coalesce(named, F.array().cast("array<int>")), at))
+        return F.transform(at, lambda i: F.get(self.pack, i))
+
+    def matching(self, text: Column) -> Column:
+        """The candidates that match: the only regex runs of a text without hits."""
+        return F.filter(self.candidates(text), lambda p: F.regexp(text, p["java"]))
+
+    def _packed_hit(self, text: Column, p: Column, ord_: int) -> Column:
+        return hit_struct(ord_, self.name, p["name"], p["type"], p["severity"],
+                          F.length(F.call_function("regexp_extract", text, p["pre"], F.lit(1))),
+                          F.length(F.call_function("regexp_extract", text, p["java"], F.lit(0))))
+
     def _packed_hits(self, text: Column, ord_: int) -> Column:
-        name = self.name
-        cand = F.filter(self.pack, lambda p: (p["lit"].isNull() | F.contains(text, p["lit"]))
-                        & F.regexp(text, p["java"]))
-        return F.transform(cand, lambda p: hit_struct(
-            ord_, name, p["name"], p["type"], p["severity"],
-            F.length(F.call_function("regexp_extract", text, p["pre"], F.lit(1))),
-            F.length(F.call_function("regexp_extract", text, p["java"], F.lit(0)))))
+        return F.transform(self.matching(text), lambda p: self._packed_hit(text, p, ord_))
 
     def hits(self, text: Column, ord_: int) -> Column:
         if not self.entries:
@@ -147,11 +161,8 @@ def match_rules(spark, texts=None, rules=None, id_col: str = "id", text_col: str
         return m.flat_hits(tx, 0)
     t = F.col("text")
     if m.packed:
-        cand = F.filter(m.pack, lambda p: (p["lit"].isNull() | F.contains(t, p["lit"])) & F.regexp(t, p["java"]))
-        arr = F.transform(cand, lambda p: F.struct(
-            hit_struct(0, m.name, p["name"], p["type"], p["severity"],
-                       F.length(F.call_function("regexp_extract", t, p["pre"], F.lit(1))),
-                       F.length(F.call_function("regexp_extract", t, p["java"], F.lit(0)))).alias("h"),
+        arr = F.transform(m.matching(t), lambda p: F.struct(
+            m._packed_hit(t, p, 0).alias("h"),
             F.size(F.call_function("regexp_extract_all", t, p["java"], F.lit(0))).cast("int").alias("n_matches")))
         return tx.select("id", F.inline(arr)).select("id", "h.*", "n_matches")
     arr = F.filter(F.array(*[

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tamis.operators.keyword import KeywordMatcher, match_keywords, match_literal
 from tamis.operators.policy import declared_action, moderate, redact
 from tamis.plans.bench_queries import derived_bank
-from tamis.plans.queries import docs, email_matcher, hit_columns, read, read_stream, render_bodies, standard_requests, stream_verdicts, verdict_columns
+from tamis.plans.queries import rule_file, docs, email_matcher, hit_columns, read, read_stream, render_bodies, standard_requests, stream_verdicts, verdict_columns
 
 SIX = 6
 
@@ -98,9 +98,25 @@ def null_text_fallback(spark, d):
     return moderate(t, [KeywordMatcher(DOC_BANK)], fallback="block", id_col="doc_id").select(F.col("id").alias("doc_id"), "flagged", "action")
 
 
+def derived_rules(spark, d) -> list[tuple]:
+    """Two patterns for each word of the bank: the word with a longer ending, and the word closing a phrase."""
+    out = []
+    for word, kind, severity, action in _bank(spark, d):
+        out.append((word + "+", word + "[a-z]{1,3}", kind, severity, action))
+        out.append((word + ".", "[[:alpha:]]+ " + word + "[.,]", kind, severity, action))
+    return out
+
+
+def rule_pack_2000(spark, d):
+    """A rule file of up to 2,000 patterns; each text runs only those whose required literal it holds."""
+    from tamis.operators.regex import match_rules
+    hits = match_rules(spark, docs(spark, d), rule_file(spark, derived_rules(spark, d)), id_col="doc_id", all=True)
+    return hits.select(F.col("id").alias("doc_id"), F.col("word").alias("rule"), "type", "severity", "idx", "len", "n_matches")
+
+
 QUERIES = {f.__name__: f for f in (keyword_hits_1000, keyword_first_1000, chain_verdict_1000, parallel_verdict_1000, weighted_verdict_1000,
                                    declared_action_1000, redact_1000, render_standard_1000, stream_moderate_1000, stream_reload_1000,
-                                   bank_words, severity_weights, null_text_fallback)}
+                                   rule_pack_2000, bank_words, severity_weights, null_text_fallback)}
 
 #: The same bank as a DuckDB common table expression.
 BANK_SQL = r"""words AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS w FROM benchmark)
@@ -119,4 +135,10 @@ def sql(base: dict[str, str], small_bank: str) -> dict[str, str]:
     out["stream_reload_1000"] = f"SELECT doc_id, flagged, action, CASE WHEN decided_by = 'rules' THEN 0 ELSE n_hits END AS n_hits FROM ({out['chain_verdict_1000']})"
     out["stream_reload_1000"] = f"""SELECT doc_id, n_hits > 0 AS flagged, CASE WHEN n_hits > 0 THEN 'block' ELSE 'pass' END AS action, n_hits
 FROM ({out['stream_reload_1000']})"""
+    out["rule_pack_2000"] = f"""WITH {BANK_SQL},
+r AS (SELECT word, word || '+' AS name, word || '[a-z]{{1,3}}' AS pattern, type, severity FROM bank
+      UNION ALL SELECT word, word || '.', '[[:alpha:]]+ ' || word || '[.,]', type, severity FROM bank)
+SELECT t.doc_id, r.name AS rule, r.type, r.severity, CAST(length(regexp_extract(t.text, '^((?s:.*?))(?:' || r.pattern || ')', 1)) AS INTEGER) AS idx,
+       CAST(length(regexp_extract(t.text, r.pattern, 0)) AS INTEGER) AS len, CAST(len(regexp_extract_all(t.text, r.pattern)) AS INTEGER) AS n_matches
+FROM documents t JOIN r ON contains(t.text, r.word) AND regexp_matches(t.text, r.pattern)"""
     return out

@@ -83,15 +83,26 @@ def regex_bank_hits(spark, d):
             .select(F.col("id").alias("doc_id"), "word", "type", "severity", "idx", "len"))
 
 
+def rule_file(spark, rules) -> DataFrame:
+    """The rules written as a YAML pack to the shared folder, and loaded from it."""
+    import yaml
+    from tamis.session import scratch_path
+    from tamis.sources.wordbank import load_rules
+    path = scratch_path(spark, "rules") + ".yaml"
+    pack = yaml.safe_dump({"patterns": [dict(zip(("name", "pattern", "type", "severity", "action"), r)) for r in rules]}, allow_unicode=True)
+    spark.createDataFrame([(pack,)], "value string").coalesce(1).write.text(path)
+    return load_rules(spark, path)
+
+
 def rule_hits(spark, d):
-    return (match_rules(spark, docs(spark, d), fixed.DEFAULT_RULES, id_col="doc_id", all=True)
+    return (match_rules(spark, docs(spark, d), rule_file(spark, fixed.DEFAULT_RULES), id_col="doc_id", all=True)
             .select(F.col("id").alias("doc_id"), F.col("word").alias("rule"), "type", "severity", "idx", "len",
                     "n_matches"))
 
 
 def rule_hits_pages(spark, d):
     pages = spread(read(spark, d, "pages").select("page_id", "html"))
-    return (match_rules(spark, pages, fixed.DEFAULT_RULES, id_col="page_id", text_col="html", all=True)
+    return (match_rules(spark, pages, rule_file(spark, fixed.DEFAULT_RULES), id_col="page_id", text_col="html", all=True)
             .select(F.col("id").alias("page_id"), F.col("word").alias("rule"), "type", "severity", "idx", "len",
                     "n_matches"))
 

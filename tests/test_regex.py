@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 from tamis.functions.dialect import re2_to_java, required_literal, PatternError
 from tamis.operators.regex import RegexMatcher, match_rules
 from tamis import fixed
@@ -89,3 +90,16 @@ def test_nested_quantifier_lint():
     assert nested_quantifier("(a+)+$") and nested_quantifier("(?:x*y)*") and nested_quantifier("((ab)+c)+")
     assert not nested_quantifier("(ab)+") and not nested_quantifier("a+b+") and not nested_quantifier("(a+)?")
     assert not any(nested_quantifier(r[1]) for r in fixed.DEFAULT_RULES)
+
+
+def test_a_text_runs_only_the_patterns_whose_literal_it_holds(spark):
+    entries = [dict(name=f"n{i}", pattern=f"word{i:04d}[a-z]+", type="t", severity="low") for i in range(2000)]
+    entries += [dict(name="digits", pattern="[0-9]{6}", type="t", severity="low"), dict(name="twin", pattern="(x|y)word0007", type="t", severity="high")]
+    m = RegexMatcher(spark, entries)
+    assert m.packed
+    texts = ["", "nothing", "word0007 word0007 word0007abc", "xword0007", "word0001a word0002 123456", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    tried = {r.id: [c.name for c in r.c] for r in df.select("id", m.candidates(F.col("text")).alias("c")).collect()}
+    assert tried[1] == ["digits"] and tried[2] == ["n7", "digits", "twin"] and tried[4] == ["n1", "n2", "digits"]
+    got = sorted((r.id, r.word, r.idx, r.len) for r in m.flat_hits(df, 0).collect())
+    assert got == [(2, "n7", 18, 11), (3, "twin", 0, 9), (4, "digits", 19, 6), (4, "n1", 0, 9)]
