@@ -79,34 +79,42 @@ def _hash_rows(dim: int, tables: int, seed: int):
 
 def _probes(dim: int, tables: int, probes: int, seed: int):
     """Each query's probed buckets, with the cells probed in each (as 16-bit numbers)."""
+    width = 2 << max(0, (dim - 1).bit_length())
+    rows = max(1, (32 << 20) // (8 * width * width))  # queries whose grid of axis pairs is held at once
+
     def run(batches):
-        for b in batches:
-            x = matrix(b.column("vec"), dim)
-            u = _unit(x)
-            width = 2 * u.shape[1]
-            ids, at, where, cells = b.column("vec_id").to_pylist(), [], [], []
-            for t in range(tables):
-                miss = []
-                for half in (0, 1):
-                    y = _rotate(u, t, half, seed)
-                    s = np.empty((len(y), width))
-                    s[:, 0::2], s[:, 1::2] = y, -y
-                    miss.append((s.max(axis=1, keepdims=True) - s) ** 2)
-                both = (miss[0][:, :, None] + miss[1][:, None, :]).reshape(len(u), -1)
-                some = min(probes, both.shape[1])
-                top = np.sort(np.argpartition(both, some - 1, axis=1)[:, :some], axis=1)
-                for i, p in enumerate(top):
-                    first, cut = np.unique(p // width, return_index=True)
-                    for f, c in zip(first.tolist(), np.split(p % width, cut[1:])):
-                        at.append(i)
-                        where.append(t * width + f)
-                        cells.append(c.astype("<u2").tobytes())
-            blob = blobs(x).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array([blob[i] for i in at], pa.binary()),
-                                              pa.array(where, pa.int32()), pa.array(cells, pa.binary())], names=["query_id", "vec", "bucket", "cells"])
+        for whole in batches:
+            for a in range(0, whole.num_rows, rows):
+                yield probed(whole.slice(a, rows))
+
+    def probed(b):
+        x = matrix(b.column("vec"), dim)
+        u = _unit(x)
+        ids, at, where, cells = b.column("vec_id").to_pylist(), [], [], []
+        for t in range(tables):
+            miss = []
+            for half in (0, 1):
+                y = _rotate(u, t, half, seed)
+                s = np.empty((len(y), width))
+                s[:, 0::2], s[:, 1::2] = y, -y
+                miss.append((s.max(axis=1, keepdims=True) - s) ** 2)
+            both = (miss[0][:, :, None] + miss[1][:, None, :]).reshape(len(u), -1)
+            some = min(probes, both.shape[1])
+            top = np.sort(np.argpartition(both, some - 1, axis=1)[:, :some], axis=1)
+            for i, p in enumerate(top):
+                first, cut = np.unique(p // width, return_index=True)
+                for f, c in zip(first.tolist(), np.split(p % width, cut[1:])):
+                    at.append(i)
+                    where.append(t * width + f)
+                    cells.append(c.astype("<u2").tobytes())
+        blob = blobs(x).to_pylist()
+        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array([blob[i] for i in at], pa.binary()),
+                                           pa.array(where, pa.int32()), pa.array(cells, pa.binary())], names=["query_id", "vec", "bucket", "cells"])
     return run
 
 
+#: How far below the k-th product of matrices a finalist may lie (cosines; rounding is some 1e-15 per component).
+_MARGIN = 1e-9
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -125,9 +133,11 @@ def nearest_in(ids, x, cell, qids, q, allowed, k: int) -> list[tuple[np.ndarray,
             at = np.flatnonzero(ok)
             if len(at) > k:
                 v = s[i, at]
-                at = at[v >= np.partition(v, len(v) - k)[len(v) - k]]
-            at = at[np.lexsort((ids[at], -s[i, at]))[:k]]
-            out.append((np.full(len(at), qids[a + i]), ids[at], s[i, at]))
+                at = at[v >= np.partition(v, len(v) - k)[len(v) - k] - _MARGIN]
+            # a product of matrices rounds by the matrices' shapes; finalists are scored by sums of a fixed order, so equal vectors tie
+            exact = (x[at] * q[a + i]).sum(axis=1) / (nq[a + i] * nx[at])
+            best_ = np.lexsort((ids[at], -exact))[:k]
+            out.append((np.full(len(best_), qids[a + i]), ids[at][best_], exact[best_]))
     return out
 
 
