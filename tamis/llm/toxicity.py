@@ -8,7 +8,8 @@ difference of the two scores. A term therefore cannot carry a score of its own:
 neutral mention of a group stays neutral although the term occurs in toxic documents.
 
 Fitting uses a bounded, documented sample: at most ``max_train`` labelled rows (those
-with the smallest seeded hash of doc_id) and at most ``max_swaps`` swapped sentences.
+with the smallest seeded hash of doc_id, one text each: the least where rows repeat a doc_id) and, apart from
+those, at most ``max_swaps`` swapped sentences.
 Their sparse features are the only thing the driver collects. Scoring runs over every
 row and whole text, map-only, with the fitted weights (a few thousand numbers) in the
 task. labels, lang, source and doc_id are never features.
@@ -28,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tamis.llm.frames import pick, ship
+from tamis.llm.frames import materialize, pick, ship
 from tamis.llm.words import ALNUM, Words, hash_spans, slices, word_hashes, words
 
 #: Terms that name a group; each line holds counterparts of one another.
@@ -200,14 +201,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     order = F.xxhash64(F.lit(seed), F.col("_id"))
     lab = (lab.groupBy("_id").agg(F.max("_toxic").cast("int").alias("_toxic")).withColumn("_order", order)
            .orderBy("_order", "_id").limit(max_train))  # bounded: at most max_train short rows
-    rows = (pick(docs, _id=id_col, text=text_col).join(F.broadcast(lab), "_id")
-            .select("_order", "_toxic", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-            .mapInArrow(_training_rows(groups), "kind int, ord long, toxic int, a binary, b binary"))
-    got = rows.orderBy("kind", "ord", "a", "b").limit(max_train + max_swaps).toArrow()
-    kind, y = got.column("kind").to_numpy(), got.column("toxic").to_pylist()
-    a, b = got.column("a").to_pylist(), got.column("b").to_pylist()
-    n = int((kind == 0).sum())
-    return fit_features(a[:n], np.array(y[:n], dtype=float), list(zip(a[n:], b[n:])), swap_weight=swap_weight,
+    texts = pick(docs, _id=id_col, text=text_col).join(F.broadcast(lab), "_id")
+    texts = texts.groupBy("_id", "_order", "_toxic").agg(F.min(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))  # one text per labelled id
+    rows = texts.select("_order", "_toxic", "text").mapInArrow(_training_rows(groups), "kind int, ord long, toxic int, a binary, b binary")
+    rows = materialize(docs.sparkSession, rows, "training")
+    got = rows.where("kind = 0").orderBy("ord", "a").limit(max_train).select("toxic", "a").toArrow()
+    swapped = rows.where("kind = 1").orderBy("ord", "a", "b").limit(max_swaps).select("a", "b").toArrow()
+    a, y = got.column("a").to_pylist(), got.column("toxic").to_pylist()
+    swaps = list(zip(swapped.column("a").to_pylist(), swapped.column("b").to_pylist()))
+    return fit_features(a, np.array(y, dtype=float), swaps, swap_weight=swap_weight,
                         l2=l2, min_z=min_z, steps=steps)
 
 
