@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark import cloudpickle as _cp
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tamis.functions.arrays import let
+
 # This module's code runs on Python workers; it is shipped by value with the task.
 _cp.register_pickle_by_value(_sys.modules[__name__])
 
@@ -133,6 +135,15 @@ def candidates_udf(words: list[str]):
     return candidates
 
 
+def pieces(text: Column, size: int, overlap: int) -> Column:
+    """array<struct<off, n, ext>>: the text cut every ``size`` characters; ``ext`` has ``overlap - 1`` more of the next piece."""
+    many = let(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % size), F.lit(0)), lambda cs: F.transform(cs, lambda p, k: F.struct(
+        (k * size).alias("off"), F.length(p).alias("n"),
+        (F.concat(p, F.coalesce(F.substring(F.get(cs, k + 1), 1, overlap - 1), F.lit(""))) if overlap > 1 else p).alias("ext"))))
+    one = F.array(F.struct(F.lit(0).alias("off"), F.length(text).alias("n"), text.alias("ext")))
+    return F.when(F.length(text) <= size, one).otherwise(many)
+
+
 class HashTable:
     """A config-size table as a literal: buckets by key, so a lookup inside a lambda costs a bucket, not the table.
 

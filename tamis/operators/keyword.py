@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tamis import schemas
-from tamis.operators.grams import GramTable, join_words
+from tamis.operators.grams import GramTable, join_words, pieces
 from tamis.functions.arrays import exclusive_prefix_sum, let
 from tamis.functions.sqlutil import literal_rows
 from tamis.operators.matchers import Matcher, bank_rows, empty_hits, first_per_word, hit_struct, _weight_of
@@ -110,13 +110,7 @@ class KeywordMatcher(Matcher):
         becomes one giant hit array."""
         c = self.text_chunk
         w = max([len(r["word"]) for r in self.rows] or [1])
-        t = F.col("text")
-        pieces = F.regexp_extract_all(t, F.lit("(?s).{1,%d}" % c), F.lit(0))
-        many = let(pieces, lambda cs: F.transform(cs, lambda p, k: F.struct(
-            (k * c).alias("off"), F.length(p).alias("n"),
-            F.concat(p, F.coalesce(F.substring(F.get(cs, k + 1), 1, w - 1), F.lit(""))).alias("ext"))))
-        one = F.array(F.struct(F.lit(0).alias("off"), F.length(t).alias("n"), t.alias("ext")))
-        ck = tx.select("id", F.inline(F.when(F.length(t) <= c, one).otherwise(many)))
+        ck = tx.select("id", F.inline(pieces(F.col("text"), c, w)))
         e = F.col("ext")
         own = F.filter(self.hits(e, ord_), lambda h: h["idx"] < F.col("n"))
         shifted = F.transform(own, lambda h: h.withField("idx", h["idx"] + F.col("off")))

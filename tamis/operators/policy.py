@@ -13,17 +13,19 @@ shuffled there, with partial aggregates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tamis import fixed, schemas
 from tamis.functions.arrays import running_max, let
 from tamis.functions.text import weight_micros
-from tamis.operators.grams import HashTable
+from tamis.operators.grams import HashTable, pieces
 from tamis.operators.matchers import empty_hits, _weight_of
 from tamis.functions.sqlutil import literal_rows
 from tamis.session import materialize
 
 MODES = ("chain", "parallel", "weighted")
+#: Characters masked at a time.
+MASK_PIECE = 4096
 
 
 def _mode(mode: str) -> str:
@@ -225,7 +227,7 @@ def redact(text: Column, hits: Column) -> Column:
 
     Works inside the row: spans sorted by start, a span opens a new island when it
     starts after every earlier span's end (running max), and the masked text is
-    rebuilt from code-point slices, so the cost is linear in the text and its hits.
+    rebuilt piece by piece from the slices between islands.
     """
     spans = F.sort_array(F.transform(F.filter(hits, lambda h: h["len"] > 0),
                                      lambda h: F.struct(h["idx"].alias("s"), (h["idx"] + h["len"]).alias("e"))))
@@ -251,23 +253,59 @@ def _islands(text: Column, sp: Column, pm: Column) -> Column:
 
 
 def _mask_islands(text: Column, isl: Column) -> Column:
-    n_isl = F.size(isl)
     n_masked = F.aggregate(isl, F.lit(0), lambda a, iv: a + iv["e"] - iv["s"])
 
-    def with_chars(chars):
-        n = F.size(chars)
+    def masked(p):
+        here = F.filter(isl, lambda iv: (iv["e"] > p["off"]) & (iv["s"] < p["off"] + p["n"]))
+        return let(here, lambda h: _mask_piece(p["ext"], p["n"], F.transform(h, lambda iv: F.struct((iv["s"] - p["off"]).alias("s"), (iv["e"] - p["off"]).alias("e")))))
 
-        def piece(iv, j):
-            prev = F.when(j == 0, F.lit(0)).otherwise(F.get(isl, j - 1)["e"])
-            return F.concat(F.array_join(F.slice(chars, prev + 1, F.greatest(iv["s"] - prev, F.lit(0))), ""),
-                            F.repeat(F.lit("*"), iv["e"] - iv["s"]))
+    whole = F.array_join(F.transform(pieces(text, MASK_PIECE, 1), masked), "")
+    return F.struct(whole.alias("text"), n_masked.alias("n_masked"), F.size(isl).alias("n_islands"))
 
-        last_e = F.coalesce(F.get(isl, n_isl - 1)["e"], F.lit(0))
-        return F.concat(F.array_join(F.transform(isl, piece), ""),
-                        F.array_join(F.slice(chars, last_e + 1, F.greatest(n - last_e, F.lit(0))), ""))
 
-    masked = let(F.split(text, "", -1), with_chars)
-    return F.struct(masked.alias("text"), n_masked.alias("n_masked"), n_isl.alias("n_islands"))
+def _mask_piece(piece: Column, n: Column, isl: Column) -> Column:
+    """A piece of ``n`` characters with the islands (sorted, apart; they may reach over its borders) masked, from
+    slices between them: positions are counted from the piece's own start only."""
+    start, end = lambda iv: F.greatest(iv["s"], F.lit(0)), lambda iv: F.least(iv["e"], n)
+
+    def parts(h):
+        def part(iv, j):
+            prev = F.when(j == 0, F.lit(0)).otherwise(end(F.get(h, j - 1)))
+            return F.concat(F.substr(piece, prev + 1, start(iv) - prev), F.repeat(F.lit("*"), end(iv) - start(iv)))
+        tail = end(F.get(h, F.size(h) - 1))
+        return F.concat(F.array_join(F.transform(h, part), ""), F.substr(piece, tail + 1, n - tail))
+
+    return let(isl, lambda h: F.when(F.size(h) == 0, piece).otherwise(parts(h)))
+
+
+def redact_hits(texts: DataFrame, hits: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """P5 from a flat HITS table: (id, text_masked, n_masked, n_islands) of every text (ids must name one text).
+
+    Spans are cut at the borders of pieces of ``MASK_PIECE`` characters; islands are found by a window inside
+    each (id, piece), so the hits of a very long text are many groups, and pieces are masked on their own.
+    Only a text's masked pieces come together, as its redacted text is one value.
+    """
+    size = F.lit(MASK_PIECE)
+    cut = texts.select(F.col(id_col).alias("id"), F.inline_outer(pieces(F.col(text_col), MASK_PIECE, 1)))
+    cut = cut.select("id", F.coalesce(F.expr(f"off div {MASK_PIECE}"), F.lit(0)).cast("long").alias("k"), "n", "ext")
+    spans = hits.where("len > 0").select("id", F.col("idx").cast("long").alias("s"), (F.col("idx") + F.col("len")).cast("long").alias("e"))
+    spans = spans.select("id", "s", "e", F.explode(F.sequence(F.expr(f"s div {MASK_PIECE}"), F.expr(f"(e - 1) div {MASK_PIECE}"))).alias("k"))
+    spans = spans.select("id", "k", F.greatest(F.col("s") - F.col("k") * size, F.lit(0)).cast("int").alias("s"), F.least(F.col("e") - F.col("k") * size, size).cast("int").alias("e")).distinct()
+    w = Window.partitionBy("id", "k").orderBy("s", "e")
+    before = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("new", (before.isNull() | (F.col("s") > before)).cast("int")).withColumn("island", F.sum("new").over(w))
+    islands = marked.groupBy("id", "k", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    islands = islands.groupBy("id", "k").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("isl"))  # at most MASK_PIECE / 2
+    done = cut.join(islands, ["id", "k"], "left").withColumn("isl", F.coalesce("isl", F.expr("cast(array() as array<struct<s:int,e:int>>)")))
+    length = F.aggregate("isl", F.lit(0), lambda a, iv: a + F.least(iv["e"], F.col("n")) - iv["s"])
+    last = F.get("isl", F.size("isl") - 1)["e"]
+    done = done.select("id", F.struct("k", _mask_piece(F.col("ext"), F.col("n"), F.col("isl")).alias("t"), F.coalesce(length, F.lit(0)).alias("m"), F.size("isl").alias("c"),
+                                      F.coalesce(F.get("isl", 0)["s"] == 0, F.lit(False)).alias("opens"), F.coalesce(last >= F.col("n"), F.lit(False)).alias("closes")).alias("p"))
+    whole = done.groupBy("id").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    joined = F.transform("p", lambda x, i: x["c"] - F.when((i > 0) & x["opens"] & F.get("p", i - 1)["closes"], 1).otherwise(0))  # one island over a border
+    text = F.when(F.get("p", 0)["t"].isNotNull(), F.array_join(F.transform("p", lambda x: x["t"]), ""))
+    return whole.select("id", text.alias("text_masked"), F.aggregate("p", F.lit(0), lambda a, x: a + x["m"]).alias("n_masked"),
+                        F.aggregate(joined, F.lit(0), lambda a, x: a + x).alias("n_islands"))
 
 
 def declared_action(hits: Column, actions: dict) -> Column:

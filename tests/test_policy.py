@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from tamis.operators.keyword import KeywordMatcher
@@ -244,3 +246,44 @@ def test_tables_of_hits_are_refused_in_a_stream(spark, tmp_path):
     stream = spark.readStream.schema("id long, text string").parquet(str(tmp_path / "in"))
     with pytest.raises(ValueError, match="batch by batch"):
         moderate(stream, [KeywordMatcher([("bad", "t", "high", "block")], plan="join")])
+
+
+def masked(text, spans):
+    """(text, characters, islands) by painting each character; touching spans are one island."""
+    paint = [False] * len(text)
+    for i, n in spans:
+        paint[i:i + n] = [True] * n
+    return ("".join("*" if p else c for c, p in zip(text, paint)), sum(paint), sum(p and not q for p, q in zip(paint, [False, *paint])))
+
+
+def test_redaction_of_rows_and_tables_equals_painting(spark, monkeypatch):
+    from tamis.operators import policy
+    monkeypatch.setattr(policy, "MASK_PIECE", 8)
+    rng = random.Random(2)
+    cases = [("", []), ("abc", []), (None, [])]
+    for _ in range(60):
+        text = "".join(rng.choice("aé😀 b") for _ in range(rng.randint(1, 60)))
+        spans = []
+        for _ in range(rng.randint(0, 8)):
+            i = rng.randrange(len(text))
+            spans.append((i, rng.randint(0, min(20, len(text) - i))))
+        cases.append((text, spans + spans[:1]))
+    texts = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "id long, text string")
+    hits = spark.createDataFrame([(k, i, n) for k, (_, spans) in enumerate(cases) for i, n in spans], "id long, idx int, len int")
+    want = {k: masked(t, spans) if t is not None else (None, 0, 0) for k, (t, spans) in enumerate(cases)}
+    assert {r.id: (r.text_masked, r.n_masked, r.n_islands) for r in policy.redact_hits(texts, hits).collect()} == want
+    rows = texts.join(hits.groupBy("id").agg(F.collect_list(F.struct("idx", "len")).alias("hits")), "id", "left")
+    rows = rows.withColumn("hits", F.coalesce("hits", F.expr("cast(array() as array<struct<idx:int,len:int>>)")))
+    got = rows.select("id", policy.redact(F.col("text"), F.col("hits")).alias("m")).select("id", "m.*").where("text is not null").collect()
+    assert {r.id: (r.text, r.n_masked, r.n_islands) for r in got} == {k: v for k, v in want.items() if v[0] is not None}
+
+
+def test_a_text_of_ten_megabytes_is_masked_in_pieces(spark):
+    from tamis.operators.policy import redact_hits
+    text = ("a secret é " * 1_000_000)[:10_000_000]
+    df = spark.createDataFrame([(1, text), (2, "nothing")], "id long, text string")
+    from tamis.operators.keyword import match_keywords
+    hits = match_keywords(df, [("secret", "t", "high", "block"), ("ret", "t", "low", "block")], plan="join")
+    got = {r.id: r for r in redact_hits(df, hits).collect()}
+    assert got[1].text_masked == text.replace("secret", "******") and got[1].n_islands == text.count("secret") == got[1].n_masked // 6
+    assert (got[2].text_masked, got[2].n_masked, got[2].n_islands) == ("nothing", 0, 0)
