@@ -114,7 +114,7 @@ def find_candidates(texts: pa.Array, grams: Filter) -> pa.ListArray:
     size = np.minimum(np.concatenate([np.full(len(f[0]), f[3]) for f in found])[order], off[row + 1] - at)
     keep = size >= b  # a gram must not reach into the next text
     at, gram, b, row, size = at[keep], gram[keep], b[keep], row[keep], size[keep]
-    before = np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)  # characters up to and including each byte's
+    before = np.cumsum((data & 0xC0) != 0x80, dtype=np.int64 if len(data) >> 31 else np.int32)  # characters up to and including each byte's
     idx = before[at] - before[np.minimum(off[row], len(data) - 1)]
     ends = np.cumsum(size)
     shown = data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - ends + size, size)]
@@ -123,6 +123,16 @@ def find_candidates(texts: pa.Array, grams: Filter) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(off))).astype(np.int32)), items)
 
 
+def in_slices(texts: pa.Array, most: int = 4 << 20):
+    """Consecutive parts of about ``most`` bytes (one text at least)."""
+    _, off = _flat(texts)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(off, off[i] + most, side="right")) - 1)
+        yield texts.slice(i, j - i)
+        i = j
+
+
 def candidates_udf(words: list[str]):
     """Column function text -> array<struct<idx, b, gram, bytes>>."""
     grams = Filter(words)
@@ -130,7 +140,8 @@ def candidates_udf(words: list[str]):
     @F.arrow_udf(_CANDIDATE_SQL)
     def candidates(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield find_candidates(texts, grams)
+            found = [find_candidates(t, grams) for t in in_slices(texts)]
+            yield pa.concat_arrays(found) if found else pa.array([], pa.list_(_CANDIDATE))
 
     return candidates
 
