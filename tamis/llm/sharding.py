@@ -7,7 +7,9 @@ array of records) and writes it to the shared folder. The written order is the g
 order: its positions are cut into ``n_shards`` contiguous ranges, so shard sizes differ by
 one row at most (law ``rows``) and slots are gapless.
 
-Each record crosses the network once. Bucket offsets are a prefix sum over the buckets'
+Each record crosses the network once. Buckets are gathered by sorting: a task holds one bucket
+at a time, however few partitions the session's shuffles have (a hash aggregate would keep
+up to 128 buckets on the heap), and what it has not come to yet can spill. Bucket offsets are a prefix sum over the buckets'
 row counts; there are at most ``max_buckets`` of them, which bounds what is broadcast.
 
 The records' numbers come from the input's partitions, so the input should be a table (a
@@ -21,11 +23,25 @@ columns added here (``shard``, ``slot``, or the given names) are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tamis.llm.frames import fresh, materialize
 
 
+@contextmanager
+def _one_group_at_a_time(spark: SparkSession):
+    """Plans made inside gather lists by sorting, one group in memory, not in a hash table of groups."""
+    name = "spark.sql.execution.useObjectHashAggregateExec"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def external_shuffle(df: DataFrame, *, size=None, bucket_bytes: int = 24 << 20, max_buckets: int = 4_000_000,
                      seed: int = 29) -> tuple[DataFrame, str, str]:
     """(the written records, bucket column, position column): a uniform random order in two passes.
@@ -49,7 +65,8 @@ def external_shuffle(df: DataFrame, *, size=None, bucket_bytes: int = 24 << 20,
     ordered = F.array_sort(F.col(rows), lambda a, b: F.when(a[number] < b[number], -1).otherwise(1))
     shuffled = (gathered.select(bucket, F.posexplode(F.shuffle(ordered, seed)).alias(pos, rows))
                 .select(bucket, pos, f"{rows}.{row}.*"))
-    return materialize(spark, shuffled, "shuffled"), bucket, pos
+    with _one_group_at_a_time(spark):
+        return materialize(spark, shuffled, "shuffled"), bucket, pos
 
 
 def shard_records(df: DataFrame, *, n_shards: int = 16, shard_col: str = "shard", slot_col: str = "slot",
