@@ -7,7 +7,7 @@ similarity, so 64 permutations give a signature of 128 values. Four values of fo
 permutations make a band (bands of minima and bands of maxima); at a similarity of 0.75 two
 documents share none of the 32 bands with probability 5e-6.
 
-1. The texts are written once, bucketed by blocks of rows. One map-only pass gives each
+1. The texts are written once, bucketed by blocks of bounded rows and bytes. One map-only pass gives each
    document its set size, a 128-bit digest of the whole set, the 32 band keys and a byte of
    each signature value. Documents with equal sets are one class from here on (their links
    are certain), so copies cost nothing further.
@@ -49,6 +49,7 @@ PERMUTATIONS = 64
 ROWS = 4  # values in a band
 _BANDS = 2 * PERMUTATIONS // ROWS
 _BLOCK = 512
+_BLOCK_BYTES = 4 << 20  # of text in one block of the texts
 
 
 def shingle_sets(column, size: int = 5) -> list[np.ndarray]:
@@ -273,7 +274,7 @@ def _components(texts: DataFrame, sure: DataFrame | None, size: int, percent: in
     spark = texts.sparkSession
     threshold = percent / 100
     floor = estimate_floor(threshold)
-    blocks = write_blocks(texts, 2048).select("block", "doc_id", "text")
+    blocks = write_blocks(texts, "text", 2048, _BLOCK_BYTES).select("block", "doc_id", "text")
     sketch = materialize(spark, blocks.mapInArrow(_sketch(size), _SKETCH), "sketches")
     real = sketch.where("doc_id is not null and n_shingles > 0")
     classes = real.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("class"))

@@ -3,22 +3,25 @@
 A window is ``length`` (13) consecutive words of one document. A word is removed when some
 window that covers it also starts in a document with a smaller doc_id.
 
-Method. Suffixes are split by prefixes into groups of about 4,096 documents' prefixes, counted in
-rows and not in bytes. In a group, rank doubling gives the classes of equal windows, the nodes a
-suffix tree has at depth ``length``; no tree is built. Of each class all but the windows of the
-smallest doc_id are removed.
-
-1. Blocks. The table is cut into blocks of at most ``block_rows`` documents and written once,
-   bucketed by block, so later passes over it need no shuffle of texts.
+Method. Suffixes are split by prefixes into groups, each about the prefixes of ``group_bytes`` of
+text. In a group, rank doubling gives the classes of equal windows, the nodes a suffix tree has
+at depth ``length``; no tree is built. Of each class all but the windows of the smallest doc_id
+are removed.
+
+1. Blocks. The table is cut into blocks of at most ``block_rows`` documents with at most
+   ``block_bytes`` of text (a longer text is a block of its own) and written once, bucketed
+   by block, so later passes over it need no shuffle of texts.
 2. Prefixes. Every window holds a unique anchor: the five-word prefix with the smallest hash
    in it (the leftmost of equals). Equal windows have the same anchor at the same place, so
    only suffixes at anchors (one word in five) are looked at. A block sends each distinct
-   anchor once, packed by group, with the number of its documents; a group answers with a
-   byte per anchor: not shared, shared, or hot (over ``hot`` documents).
+   anchor once, packed by group, with the numbers of its documents and places; a group answers
+   with a byte per anchor: not shared, shared, or hot (over ``hot`` places, in one document
+   or in many).
 3. Groups. For a shared prefix, a block sends each occurrence with the words of its windows.
    A hot prefix is extended to the whole window: a block sends each distinct window once,
-   with its smallest doc_id, however many documents repeat it. So no group depends on how
-   often a passage is copied, only on how many blocks and different texts hold it.
+   with its smallest doc_id, however often documents repeat it. So no group depends on how
+   often a passage is copied, in one text or in many, only on how many blocks and different
+   texts hold it.
 4. Classes. A group ranks its suffixes by their first 1, 2, 4, 8 and 13 words (each rank from
    two shorter ones). Suffixes of equal last rank are one class. The group answers with
    the suffixes to remove, or with the smallest doc_id of each hot window.
@@ -43,7 +46,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tamis.llm.frames import ship, write_blocks
+from tamis.llm.frames import ship, total_bytes, write_blocks
 from tamis.llm.words import Words, grams, hash_spans, mix, word_hashes, words
 
 _NONE = np.iinfo(np.int64).max
@@ -89,8 +92,8 @@ class Anchors:
         self.key = g[self.at]
         self.row = self.w.row[self.first]
 
-    def counts(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct prefixes and the number of doc_ids that hold each."""
+    def counts(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct prefixes, the number of doc_ids that hold each, and the number of runs that do."""
         order = np.lexsort((ids[self.row], self.key))
         k, d = self.key[order], ids[self.row][order]
         new = np.ones(len(k), dtype=bool)
@@ -98,7 +101,8 @@ class Anchors:
         fresh_doc = new.copy()
         fresh_doc[1:] |= d[1:] != d[:-1]
         where = np.flatnonzero(new)
-        return k[where], np.add.reduceat(fresh_doc.astype(np.int64), where) if len(where) else where
+        runs = np.diff(np.append(where, len(k)))
+        return k[where], np.add.reduceat(fresh_doc.astype(np.int64), where) if len(where) else where, runs
 
 
 def _pack(*arrays) -> bytes:
@@ -135,19 +139,18 @@ def _messages(rows: list[tuple]) -> pa.Table:
 
 def _send_prefixes(length: int, prefix: int, groups: int):
     def run(key, t):
-        k, n = Anchors(t.column("text"), length, prefix).counts(_ids(t.column("doc_id").combine_chunks()))
-        return _messages([(g, key[0].as_py(), 0, _pack(k[x], np.minimum(n[x], 65535).astype(np.uint16))) for g, x in _groups(k, groups)[1]])
+        k, n, runs = Anchors(t.column("text"), length, prefix).counts(_ids(t.column("doc_id").combine_chunks()))
+        n, runs = (np.minimum(v, 65535).astype(np.uint16) for v in (n, runs))  # far over any ``hot``
+        return _messages([(g, key[0].as_py(), 0, _pack(k[x], n[x], runs[x])) for g, x in _groups(k, groups)[1]])
     return run
 
 
 def _answer_prefixes(hot: int):
     def run(key, t):
-        parts = [_unpack(b, np.uint64, np.uint16) for b in t.column("payload").to_pylist()]
-        k = np.concatenate([p[0] for p in parts])
-        n = np.concatenate([p[1] for p in parts]).astype(np.int64)
-        _, at = np.unique(k, return_inverse=True)
-        total = np.bincount(at, weights=n)[at]
-        state = np.where(total > hot, 2, (total > 1).astype(np.int64)).astype(np.uint8)
+        parts = [_unpack(b, np.uint64, np.uint16, np.uint16) for b in t.column("payload").to_pylist()]
+        _, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        docs, runs = (np.bincount(at, weights=np.concatenate([p[i] for p in parts]))[at] for i in (1, 2))
+        state = np.where(docs > 1, np.where(runs > hot, 2, 1), 0).astype(np.uint8)
         cut = np.cumsum([len(p[0]) for p in parts])[:-1]
         return _messages([(key[0].as_py(), b, 1, _pack(p[0][s > 0], s[s > 0]))
                           for b, p, s in zip(t.column("block").to_pylist(), parts, np.split(state, cut)) if s.any()])
@@ -290,8 +293,8 @@ def _mark(length: int, prefix: int, text_name: str, schema: pa.Schema):
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 13, prefix: int = 5,
-                   hot: int = 200, block_rows: int = 1024,
-                   group_rows: int = 4096) -> DataFrame:
+                   hot: int = 200, block_rows: int = 1024, block_bytes: int = 3 << 20,
+                   group_bytes: int = 6 << 20) -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text (the words that stay, joined by one space)."""
     spark = docs.sparkSession
     ship(spark)
@@ -300,9 +303,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     names = {c: f"c{i}" for i, c in enumerate(own)}  # inner names, so that none clashes
     rows = docs.select(docs["`" + id_col + "`"].cast("long").alias("doc_id"), docs["`" + text_col + "`"].cast("string").alias("text"),
                        *[docs["`" + c.replace("`", "``") + "`"].alias(k) for c, k in names.items() if c not in (id_col, text_col)])
-    blocks = write_blocks(rows, block_rows)
+    blocks = write_blocks(rows, "text", block_rows, block_bytes)
     text = blocks.select("block", "doc_id", "text")
-    groups = max(8, -(-blocks.count() // group_rows))  # about the prefixes of group_rows documents in a group
+    groups = max(8, -(-total_bytes(blocks, "text")[1] // group_bytes))  # about the prefixes of group_bytes of text in a group
     asked = text.groupBy("block").applyInArrow(_send_prefixes(length, prefix, groups), _MESSAGE_SQL)
     states = asked.groupBy("grp").applyInArrow(_answer_prefixes(hot), _MESSAGE_SQL)
     sent = text.groupBy("block").cogroup(states.groupBy("block")).applyInArrow(_send_suffixes(length, prefix, groups), _MESSAGE_SQL)
