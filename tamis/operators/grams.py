@@ -44,14 +44,17 @@ def gram_of(word: bytes) -> tuple[int, int]:
 
 
 class Filter:
-    """Which positions of a text may begin a word: bitmaps of the grams, one per gram length."""
+    """Which positions of a text may begin a word: bitmaps of the grams, one per gram length.
 
-    def __init__(self, words: list[str]):
+    A position shows the bytes of the longest word of its class and ``more`` behind them.
+    """
+
+    def __init__(self, words: list[str], more: int = 0):
         by: dict[int, list[bytes]] = {}
         for w in words:
             raw = w.encode()
             by.setdefault(gram_of(raw)[0], []).append(raw)
-        self.classes = [(b, np.unique(np.array([gram_of(w)[1] for w in ws], dtype=np.int64)), max(map(len, ws))) for b, ws in sorted(by.items())]
+        self.classes = [(b, np.unique(np.array([gram_of(w)[1] for w in ws], dtype=np.int64)), max(map(len, ws)) + more) for b, ws in sorted(by.items())]
         self._maps = None
 
     def __getstate__(self):
@@ -123,7 +126,7 @@ def find_candidates(texts: pa.Array, grams: Filter) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(off))).astype(np.int32)), items)
 
 
-def in_slices(texts: pa.Array, most: int = 4 << 20):
+def in_slices(texts: pa.Array, most: int = 1 << 20):
     """Consecutive parts of about ``most`` bytes (one text at least)."""
     _, off = _flat(texts)
     i = 0
@@ -133,19 +136,30 @@ def in_slices(texts: pa.Array, most: int = 4 << 20):
         i = j
 
 
-def candidates_udf(words: list[str]):
-    """Column function text -> array<struct<idx, b, gram, bytes>>."""
-    grams = Filter(words)
+def candidates_udf(words: list[str], more: int = 0):
+    """Column function text -> array<struct<idx, b, gram, bytes>>.
+
+    A batch's results leave slice by slice, so a worker holds the candidates of one slice and never those of a batch.
+    """
+    grams = Filter(words, more)
 
     @F.arrow_udf(_CANDIDATE_SQL)
     def candidates(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = [find_candidates(t, grams) for t in in_slices(texts)]
-            yield pa.concat_arrays(found) if found else pa.array([], pa.list_(_CANDIDATE))
+            for part in in_slices(texts):
+                yield find_candidates(part, grams)
 
     return candidates
 
 
+def inlined(rows: DataFrame, items: Column, field: str, id_col: str = "id") -> DataFrame:
+    """(id, the fields of ``items``), one row per item; ``field`` is never null in an item.
+
+    An outer generator: for an inner one Spark puts a filter by the array's size in front, which works the array out a second time.
+    """
+    return rows.select(F.col(id_col).alias("id"), F.inline_outer(items)).where(F.col(field).isNotNull())
+
+
 def pieces(text: Column, size: int, overlap: int) -> Column:
     """array<struct<off, n, ext>>: the text cut every ``size`` characters; ``ext`` has ``overlap - 1`` more of the next piece."""
     many = let(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % size), F.lit(0)), lambda cs: F.transform(cs, lambda p, k: F.struct(
@@ -196,18 +210,19 @@ _INDEX_SQL = [("gram", "bigint"), ("b", "int"), ("word", "string"), ("type", "st
 class GramTable:
     """Occurrences of bank words in a text column, inside one projection.
 
-    Rows may repeat a word (with other ``extra`` fields); ``where`` then chooses among them.
+    Rows may repeat a word (with other ``extra`` fields); ``where(word row, candidate)`` then chooses among them,
+    by the text behind the word too: a candidate's bytes have ``more`` of it.
     """
 
-    def __init__(self, rows: list[dict], extra: list[tuple[str, str]] = ()):
-        self.udf = candidates_udf(sorted({r["word"] for r in rows}))
+    def __init__(self, rows: list[dict], extra: list[tuple[str, str]] = (), more: int = 0):
+        self.udf = candidates_udf(sorted({r["word"] for r in rows}), more)
         self.table = HashTable(_index(rows, extra), [*_INDEX_SQL, *extra])
 
     def occurrences(self, text: Column, hit, where=None) -> Column:
         """array of ``hit(word row, position)``, one per occurrence (of rows for which ``where`` holds)."""
         def is_at(w, c):
             found = (w["b"] == c["b"]) & F.startswith(c["bytes"], w["word"].cast("binary"))
-            return found if where is None else found & where(w)
+            return found if where is None else found & where(w, c)
 
         def words_at(c):
             here = F.filter(self.table.found(c["gram"]), lambda w: is_at(w, c))
@@ -224,6 +239,6 @@ def join_words(texts: DataFrame, rows: list[dict], max_broadcast: int = 500_000)
     index = texts.sparkSession.createDataFrame([tuple(r[f] for f, _ in _INDEX_SQL) for r in _index(rows)], ", ".join(f"{n} {t}" for n, t in _INDEX_SQL))
     if len(rows) <= max_broadcast:
         index = F.broadcast(index)
-    at = texts.select("id", candidates_udf([r["word"] for r in rows])(F.col("text")).alias("c")).select("id", F.inline("c"))
+    at = inlined(texts, candidates_udf([r["word"] for r in rows])(F.col("text")), "gram")
     here = at.join(index, ["gram", "b"]).where(F.startswith("bytes", F.col("word").cast("binary")))
     return here.select("id", "word", "type", "severity", "idx", F.col("n").alias("len"))

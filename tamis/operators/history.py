@@ -81,7 +81,7 @@ class AsOfMatcher(Matcher):
         if self.table is None:
             return empty_hits()
         found = self.table.occurrences(text, lambda w, at: hit_struct(ord_, self.name, w["word"], w["type"], w["severity"], at, w["n"]),
-                                       lambda w: (w["lo"] <= self.version) & (self.version < w["hi"]))
+                                       lambda w, _: (w["lo"] <= self.version) & (self.version < w["hi"]))
         return F.coalesce(found, empty_hits())
 
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tamis import schemas
-from tamis.operators.grams import GramTable, join_words, pieces
+from tamis.operators.grams import GramTable, inlined, join_words, pieces
 from tamis.functions.arrays import exclusive_prefix_sum, let
 from tamis.functions.sqlutil import literal_rows
 from tamis.operators.matchers import Matcher, bank_rows, empty_hits, first_per_word, hit_struct, _weight_of
@@ -114,7 +114,7 @@ class KeywordMatcher(Matcher):
         e = F.col("ext")
         own = F.filter(self.hits(e, ord_), lambda h: h["idx"] < F.col("n"))
         shifted = F.transform(own, lambda h: h.withField("idx", h["idx"] + F.col("off")))
-        return ck.select("id", F.inline(shifted)).select(*schemas.HITS.fieldNames())
+        return inlined(ck, shifted, "matcher_ord").select(*schemas.HITS.fieldNames())
 
     def _found(self, t: Column) -> Column:
         return F.filter(self.bank_lit, lambda b: F.contains(t, b["word"]))

@@ -78,9 +78,8 @@ class Matcher:
 
     def flat_hits(self, texts: DataFrame, ord_: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
         """Flat HITS rows (id, matcher, matcher_ord, word, type, severity, idx, len)."""
-        return (texts.select(F.col(id_col).alias("id"),
-                             F.inline(self.hits(F.col(text_col), ord_)))
-                .select(*schemas.HITS.fieldNames()))
+        from tamis.operators.grams import inlined
+        return inlined(texts, self.hits(F.col(text_col), ord_), "matcher_ord", id_col).select(*schemas.HITS.fieldNames())
 
 
 def _weight_of(sev: Column, wm: dict) -> Column:
