@@ -287,6 +287,39 @@ def prepare(spark, pattern: str) -> str | None:
     return j if java_valid(spark, j) else None
 
 
+_TAIL_ATOM = re.compile(r"(?:[^\\.\[\](){}*+?|^$]|\[\^?(?:\[:\^?[a-z]+:\]|[^\\\[\]&^])+\])(?:(\?)|\{(\d{1,3})(?:,(\d{1,3}))?\})?")
+
+
+def free_of_context(p: str) -> bool:
+    """Whether what RE2 pattern ``p`` matches depends on the matched characters only (no escapes, no anchors).
+
+    Then its leftmost match begins where the matched characters first occur. Conservative.
+    """
+    return not re.search(r"[\\$]|(?<!\[)\^", p)
+
+
+def literal_tail(p: str, lit: str, most: int = 64) -> tuple[str, int, bool] | None:
+    """(pattern of ``lit`` and all behind it, characters that may match behind ``lit``, whether nothing is before it), or None.
+
+    ``lit`` is the required literal of RE2 pattern ``p``. Every match of ``p`` holds a match of the returned
+    pattern, so an occurrence of ``lit`` where it does not match is in no match. Conservative: only plain
+    characters and classes, repeated at most ``most`` times in all, may stand behind ``lit``, and no escape anywhere.
+    """
+    if "\\" in p:
+        return None
+    k = p.rfind(lit)
+    i, n = k + len(lit), 0
+    if k < 0 or re.search(r"[.\[\](){}*+?|^$]", lit):
+        return None
+    while i < len(p):
+        m = _TAIL_ATOM.match(p, i)
+        if m is None:
+            return None
+        n += 1 if m[2] is None else int(m[3] or m[2])
+        i = m.end()
+    return (p[k:], n, k == 0) if n <= most else None
+
+
 def required_literal(p: str) -> str | None:
     """The longest literal run every match of RE2 pattern ``p`` must contain, or None.
 

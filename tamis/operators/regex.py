@@ -14,8 +14,9 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tamis.functions.dialect import prepare, required_literal, nested_quantifier
-from tamis.operators.grams import GramTable
+from tamis.functions.dialect import free_of_context, literal_tail, prepare, required_literal, nested_quantifier
+from tamis.operators.grams import GramTable, inlined
+from tamis.functions.arrays import let
 from tamis.operators.matchers import Matcher, bank_rows, hit_struct, empty_hits, _weight_of
 from tamis.functions.text import weight_micros
 
@@ -47,16 +48,26 @@ class RegexMatcher(Matcher):
                           f"{self.risky[:5]}")
         # up to ``unroll_max`` patterns: one literal expression each (compiled once per
         # task); beyond: the pack is a literal array, and an index from required literals to
-        # patterns gives each text the patterns it can match at all
+        # patterns gives each text the patterns it can match at all: the literal occurs, and what the
+        # pattern asks for behind it follows there
         self.packed = plan == "packed" or (plan == "auto" and len(self.entries) > unroll_max)
         if self.packed:
             fields = ("name", "type", "severity", "java", "pre")
-            rows = [dict({f: e.get(f) for f in fields}, pre="^((?s:.*?))(?:" + e["java"] + ")") for e in self.entries]
-            self.pack = F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), "array<struct<" + ",".join(f"{f}:string" for f in fields) + ">>")
-            named = [{"word": e["lit"], "at": i} for i, e in enumerate(self.entries) if e["lit"]]
-            self.index = GramTable(named, [("at", "int")]) if named else None
+            tails = [self._tail(spark, e) for e in self.entries]
+            rows = [dict({f: e.get(f) for f in fields}, pre=None if free_of_context(e["pattern"]) else "^((?s:.*?))(?:" + e["java"] + ")", sure=sure) for e, (_, _, sure) in zip(self.entries, tails)]
+            self.pack = F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), "array<struct<" + ",".join(f"{f}:string" for f in fields) + ",sure:boolean>>")
+            named = [{"word": e["lit"], "at": i, "tail": tails[i][0]} for i, e in enumerate(self.entries) if e["lit"]]
+            more = 4 * max([n for _, n, _ in tails], default=0)  # bytes that hold so many characters
+            self.index = GramTable(named, [("at", "int"), ("tail", "string")], more) if named else None
             self.always = [i for i, e in enumerate(self.entries) if not e["lit"]]
 
+    @staticmethod
+    def _tail(spark, e: dict) -> tuple[str | None, int, bool]:
+        """(Java pattern that must match where the literal begins, characters behind the literal, whether it is all of the pattern)."""
+        tail = literal_tail(e["pattern"], e["lit"]) if e["lit"] else None
+        java = prepare(spark, tail[0]) if tail else None
+        return (None, 0, False) if java is None else ("^(?:" + java + ")", tail[1], tail[2])
+
     @classmethod
     def from_bank(cls, spark, bank, name: str = "regex", max_words: int = 50_000):
         """M2: the bank's words are the patterns; a hit's word is the pattern."""
@@ -88,24 +99,31 @@ class RegexMatcher(Matcher):
                                                       F.lit(e.get("severity")), idx, ln))
 
     def candidates(self, text: Column) -> Column:
-        """The pack's patterns that may match a text: those whose required literal occurs, and those without one."""
+        """The pack's patterns that may match a text: those whose required literal occurs with the right text behind it, and those without one."""
         at = F.array(*[F.lit(i) for i in self.always]).cast("array<int>")
         if self.index is not None:
-            named = F.array_distinct(self.index.occurrences(text, lambda w, _: w["at"]))
+            fits = lambda w, c: w["tail"].isNull() | F.regexp(c["bytes"].cast("string"), w["tail"])
+            named = F.array_distinct(self.index.occurrences(text, lambda w, _: w["at"], fits))
             at = F.array_sort(F.concat(F.coalesce(named, F.array().cast("array<int>")), at))
         return F.transform(at, lambda i: F.get(self.pack, i))
 
     def matching(self, text: Column) -> Column:
-        """The candidates that match: the only regex runs of a text without hits."""
-        return F.filter(self.candidates(text), lambda p: F.regexp(text, p["java"]))
+        """The candidates that match: the only regex runs over a text without hits."""
+        return F.filter(self.candidates(text), lambda p: p["sure"] | F.regexp(text, p["java"]))
 
-    def _packed_hit(self, text: Column, p: Column, ord_: int) -> Column:
-        return hit_struct(ord_, self.name, p["name"], p["type"], p["severity"],
-                          F.length(F.call_function("regexp_extract", text, p["pre"], F.lit(1))),
-                          F.length(F.call_function("regexp_extract", text, p["java"], F.lit(0))))
+    def _packed_hit(self, text: Column, p: Column, ord_: int, first: Column) -> Column:
+        """The hit whose characters are ``first``; without ``pre`` it begins where they first occur."""
+        at = F.when(p["pre"].isNull(), F.call_function("instr", text, first) - 1).otherwise(F.length(F.call_function("regexp_extract", text, p["pre"], F.lit(1))))
+        return hit_struct(ord_, self.name, p["name"], p["type"], p["severity"], at, F.length(first))
 
     def _packed_hits(self, text: Column, ord_: int) -> Column:
-        return F.transform(self.matching(text), lambda p: self._packed_hit(text, p, ord_))
+        return F.transform(self.matching(text), lambda p: let(F.call_function("regexp_extract", text, p["java"], F.lit(0)), lambda first: self._packed_hit(text, p, ord_, first)))
+
+    def packed_counts(self, text: Column) -> Column:
+        """array<struct<h, n_matches>> of the pack's patterns that match: one search of the text for all matches of a pattern."""
+        found = F.transform(self.candidates(text), lambda p: F.struct(p.alias("p"), F.call_function("regexp_extract_all", text, p["java"], F.lit(0)).alias("all")))
+        found = F.filter(found, lambda x: F.size(x["all"]) > 0)
+        return F.transform(found, lambda x: F.struct(self._packed_hit(text, x["p"], 0, F.get(x["all"], 0)).alias("h"), F.size(x["all"]).cast("int").alias("n_matches")))
 
     def hits(self, text: Column, ord_: int) -> Column:
         if not self.entries:
@@ -161,14 +179,11 @@ def match_rules(spark, texts=None, rules=None, id_col: str = "id", text_col: str
         return m.flat_hits(tx, 0)
     t = F.col("text")
     if m.packed:
-        arr = F.transform(m.matching(t), lambda p: F.struct(
-            m._packed_hit(t, p, 0).alias("h"),
-            F.size(F.call_function("regexp_extract_all", t, p["java"], F.lit(0))).cast("int").alias("n_matches")))
-        return tx.select("id", F.inline(arr)).select("id", "h.*", "n_matches")
+        return inlined(tx, m.packed_counts(t), "n_matches").select("id", "h.*", "n_matches")
     arr = F.filter(F.array(*[
         F.when(m.found(t, e), F.struct(m._one(t, e, 0).alias("h"),
                                             F.size(F.regexp_extract_all(t, F.lit(e["java"]), F.lit(0)))
                                             .cast("int").alias("n_matches")))
         for e in m.entries]), lambda x: x.isNotNull()) if m.entries else \
         F.expr("CAST(array() AS array<struct<h:int,n_matches:int>>)")
-    return tx.select("id", F.inline(arr)).select("id", "h.*", "n_matches")
+    return inlined(tx, arr, "n_matches").select("id", "h.*", "n_matches")
