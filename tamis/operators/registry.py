@@ -3,7 +3,7 @@
 A matcher has a name and gives hits for texts. Two kinds:
 
 * ``row_matcher(name, fn)``: ``fn(text) -> [(word, type, severity, idx, len), ...]``
-  in plain Python, run as an Arrow-batched pandas UDF. A row whose call raises
+  in plain Python, run as an Arrow UDF over slices of a batch. A row whose call raises
   gets no hits (the others go on), as the service skips a failing matcher.
 * ``register_matcher(name, fn)`` with ``fn(texts_df, bank) -> HITS DataFrame``:
   a DataFrame-level matcher; policies over it use ``moderate_hits``.
@@ -13,10 +13,13 @@ Registering under a used name replaces it; an unknown name is an error.
 
 from __future__ import annotations
 
-import pandas as pd
+from typing import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from tamis import fixed, schemas
+from tamis.operators.grams import in_slices
 from tamis.operators.matchers import Matcher
 
 _REGISTRY: dict = {}
@@ -49,9 +52,9 @@ def registered() -> list[str]:
 
 
 class PythonRowMatcher(Matcher):
-    """A per-text Python function as a row matcher (pandas UDF, Arrow batches).
+    """A per-text Python function as a row matcher (Arrow UDF).
 
-    The UDF returns finished hit structs (and, for ``first_hits``, keeps the first
+    A batch becomes Python strings and hits slice by slice, so a worker holds those of one slice. The UDF returns finished hit structs (and, for ``first_hits``, keeps the first
     hit per word itself), so no Python call sits inside a higher-order function.
     """
 
@@ -69,29 +72,35 @@ class PythonRowMatcher(Matcher):
             return self._udfs[key]
         fn_, name, errors = self.fn, self.name, self.errors
 
-        @F.pandas_udf(schemas.HITS_DDL)
-        def _run(texts: pd.Series) -> pd.Series:
-            out = []
-            failed = 0
-            for t in texts:
-                hs = []
-                if t is not None:
-                    try:
-                        hs = [(w, ty, sv, int(i), int(n)) for (w, ty, sv, i, n) in fn_(t) or []]
-                    except Exception:
-                        hs = []  # a failing matcher is skipped for this text
-                        failed += 1
-                if first:
-                    best = {}
-                    for h in hs:
-                        if h[0] not in best or (h[3], h[4]) < (best[h[0]][3], best[h[0]][4]):
-                            best[h[0]] = h
-                    hs = list(best.values())
-                out.append([{"matcher_ord": ord_, "matcher": name, "word": w, "type": ty, "severity": sv,
-                             "idx": i, "len": n} for (w, ty, sv, i, n) in hs])
-            if failed:
-                errors.add(failed)
-            return pd.Series(out)
+        kind = pa.list_(pa.struct([("matcher_ord", pa.int32()), ("matcher", pa.string()), ("word", pa.string()), ("type", pa.string()),
+                                   ("severity", pa.string()), ("idx", pa.int32()), ("len", pa.int32())]))
+
+        def found(t):
+            hs = [(w, ty, sv, int(i), int(n)) for (w, ty, sv, i, n) in fn_(t) or []]
+            if first:
+                best = {}
+                for h in hs:
+                    if h[0] not in best or (h[3], h[4]) < (best[h[0]][3], best[h[0]][4]):
+                        best[h[0]] = h
+                hs = list(best.values())
+            return [{"matcher_ord": ord_, "matcher": name, "word": w, "type": ty, "severity": sv,
+                     "idx": i, "len": n} for (w, ty, sv, i, n) in hs]
+
+        @F.arrow_udf(schemas.HITS_DDL)
+        def _run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for texts in batches:
+                for part in in_slices(texts):
+                    out = []
+                    failed = 0
+                    for t in part:
+                        try:
+                            out.append([] if t.as_py() is None else found(t.as_py()))
+                        except Exception:
+                            out.append([])  # a failing matcher is skipped for this text
+                            failed += 1
+                    if failed:
+                        errors.add(failed)
+                    yield pa.array(out, kind)
 
         self._udfs[key] = _run
         return _run

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tamis import fixed
 from tamis.functions import text as T
+from tamis.operators.grams import inlined
 from tamis.operators.keyword import KeywordMatcher, match_keywords, match_literal
 from tamis.operators.regex import RegexMatcher, match_rules
 from tamis.operators.policy import moderate, redact, declared_action
@@ -404,8 +405,7 @@ def custom_matcher(spark, d):
     python_find_matcher(DOC_BANK)
     m = get_matcher("python_find")
     r = moderate(docs(spark, d), [m], mode="parallel", id_col="doc_id")
-    return r.select(F.col("id").alias("doc_id"), F.inline("hits")).select(
-        "doc_id", "word", "type", "severity", "idx", "len")
+    return hit_columns(inlined(r, F.col("hits"), "matcher_ord"))
 
 
 def stream_reload(spark, d):
