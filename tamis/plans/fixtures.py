@@ -66,3 +66,5 @@ QUOTA_CAPACITY = 2
 # Its stream: days an event may be late, and parts of the input (one micro-batch each).
 QUOTA_DELAY = 5
 QUOTA_PARTS = 6
+# Rows of a file of its stream, about.
+QUOTA_FILE_ROWS = 100_000

@@ -428,21 +428,26 @@ def quota_audit_stream_q(spark, d):
     from tamis.session import scratch_path
     from tamis.streaming.quota import quota_audit_stream
     from tamis.streaming.moderate import run_available_now
-    from tamis.plans.fixtures import QUOTA_RATE, QUOTA_CAPACITY, QUOTA_DELAY, QUOTA_PARTS
+    from tamis.plans.fixtures import QUOTA_RATE, QUOTA_CAPACITY, QUOTA_DELAY, QUOTA_PARTS, QUOTA_FILE_ROWS
     events = read(spark, d, "events").select("event_id", "ts", "user_id", F.lit(False).alias("ends"))
     seen = F.col("ts") + F.expr(f"make_dt_interval(cast(pmod(xxhash64(event_id), {QUOTA_DELAY}) as int))")
     least, most = events.agg(F.min("ts"), F.max("ts")).first()
-    path = scratch_path(spark, "quota_parts")
+    path, files = scratch_path(spark, "quota_parts"), 1
     if least is not None:
         step = (most - least + timedelta(days=QUOTA_DELAY, seconds=1)) / QUOTA_PARTS
-        for i in range(QUOTA_PARTS):  # files are streamed in the order they were written in
-            events.where((seen >= F.lit(least + i * step)) & (seen < F.lit(least + (i + 1) * step))).coalesce(1).write.mode("append").parquet(path)
+        part = [(seen >= F.lit(least + i * step)) & (seen < F.lit(least + (i + 1) * step)) for i in range(QUOTA_PARTS)]
+        rows = events.agg(*[F.count(F.when(p, 1)) for p in part]).first()
+        # a part is one micro-batch of so many files: rows are dealt in turn, so none of them is empty
+        files = max(1, min(-(-max(rows) // QUOTA_FILE_ROWS), min(rows) // events.rdd.getNumPartitions()))
+        for p in part:  # files are streamed in the order they were written in
+            events.where(p).repartition(files).write.mode("append").parquet(path)
         for _ in range(2):  # the second one's batch runs behind the watermark that the first one moved
             end = events.limit(1).withColumns({"ts": F.lit(most + timedelta(days=QUOTA_DELAY + 1)).cast(events.schema["ts"].dataType), "ends": F.lit(True)})
-            end.coalesce(1).write.mode("append").parquet(path)
+            end = end.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(files)))).drop("n")
+            end.repartition(files).write.mode("append").parquet(path)
     else:
         events.write.parquet(path)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
     out = quota_audit_stream(stream, "user_id", "ts", QUOTA_RATE, QUOTA_CAPACITY, tiebreak="event_id", delay=f"{QUOTA_DELAY} days", heartbeat=F.col("ends"))
     res = spark.read.schema(out.schema).parquet(run_available_now(spark, out, "quota_stream"))
     return res.select(F.col("tiebreak").alias("event_id"), F.col("key").alias("user_id"), "admitted")

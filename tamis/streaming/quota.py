@@ -14,23 +14,25 @@ is dealt into periods of that length; a window inside each (key, period), the la
 periods (one row each) give every event its segment's first event. So a key that holds most events is walked by as many
 tasks as it has idle times; one that is never idle that long is one segment. Exempt events take no part.
 
-Stream: ``transformWithState`` keeps per key the bucket (tokens, last time) and a list of events that the watermark
+Stream: ``transformWithState`` keeps, for groups of keys, each key's bucket (tokens, last time) and the events that the watermark
 has not passed. An event-time timer releases them in order of time, so parts of the input may arrive in
 any order within the watermark's delay, over any number of micro-batches.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Row, Window, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tamis.functions.times import micros
 from tamis.session import materialize
 
 NS = 1_000_000_000
+EPOCH = dt.datetime(1970, 1, 1)
 
 # Code of this module runs on Python workers; ship it by value with the task so the
 # workers need not have the package installed.
@@ -156,65 +158,78 @@ def quota_audit(events: DataFrame, key: str, ts: str, rate: float, capacity: int
 
 
 class _Audit(StatefulProcessor):
-    """Per key: the bucket, and the events the watermark has not passed (released in order of time)."""
+    """Per group of keys: their buckets, and the events the watermark has not passed (released in order of time).
 
-    def __init__(self, bucket: TokenBucket, types: str):
-        self.bucket, self.types = bucket, types
+    The state of a group is one value of arrays, read and written once for all of its keys.
+    """
+
+    def __init__(self, bucket: TokenBucket, key_type: str, tiebreak_type: str):
+        self.bucket = bucket
+        self.state = (f"keys array<{key_type}>, us array<bigint>, tiebreaks array<{tiebreak_type}>, exempt array<boolean>, "
+                      f"level_keys array<{key_type}>, tokens array<double>, last_ns array<bigint>")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"us long, tiebreak {self.types}, exempt boolean")
-        self.level = handle.getValueState("level", "tokens double, last_ns long")
-
-    def _release(self, key, rows: list, upto_us: int):
-        """Rows up to a time, walked; the others wait, with a timer at the first of them."""
+        self.group = handle.getValueState("group", self.state)
+
+    @staticmethod
+    def _same(key):
+        """A key as one that equals itself and can be looked up."""
+        if isinstance(key, list):
+            return tuple(key)
+        return "NaN" if key != key else key
+
+    def _release(self, new: list, upto_us: int):
+        """Waiting rows (us, tiebreak, key, exempt) up to a time, walked; the others wait, with a timer at the first of them."""
+        kept = self.group.get()
+        rows, levels = new, {}
+        if kept is not None:
+            keys, us, tiebreaks, exempt, level_keys, tokens, last = kept
+            rows = [*zip(us, tiebreaks, keys, exempt), *new]
+            levels = {self._same(k): (k, (tok, ns)) for k, tok, ns in zip(level_keys, tokens, last)}
         rows.sort(key=lambda r: (r[0], r[1] is not None, r[1]))
         n = next((i for i, r in enumerate(rows) if r[0] > upto_us), len(rows))
         if rows[n:]:
-            self.waiting.put(rows[n:])
             self.handle.registerTimer(rows[n][0] // 1000)
-        else:
-            self.waiting.clear()
-        state = self.level.get() if self.level.exists() else None
-        before, adm, toks = state, [], []
-        for us, _, free in rows[:n]:
-            if free:
-                adm.append(True)
-                toks.append(float("nan"))
-                continue
-            ok, tok, state = self.bucket.step(state, us * 1000)
-            adm.append(ok)
-            toks.append(tok)
-        if state is not before:
-            self.level.update(state)
-        if n:
-            ts = pd.to_datetime([r[0] for r in rows[:n]], unit="us")
-            yield pd.DataFrame({"key": pd.Series([key[0]] * n, dtype=object), "ts": ts, "tiebreak": [r[1] for r in rows[:n]], "admitted": adm, "tokens": toks})
+        done = []
+        for us, tiebreak, key, free in rows[:n]:
+            ok, tok = True, float("nan")
+            if not free:
+                k = self._same(key)
+                before = levels[k][1] if k in levels else self.bucket.start()
+                ok, tok, state = self.bucket.step(before, us * 1000)
+                if state is not before:
+                    levels[k] = (key, state)
+            done.append(Row(key=key, ts=EPOCH + dt.timedelta(microseconds=us), tiebreak=tiebreak, admitted=ok, tokens=tok))
+        wait, of = rows[n:], list(levels.values())
+        self.group.update(([r[2] for r in wait], [r[0] for r in wait], [r[1] for r in wait], [r[3] for r in wait],
+                           [k for k, _ in of], [s[0] for _, s in of], [s[1] for _, s in of]))
+        return iter(done)
 
     def handleInputRows(self, key, rows, timerValues):
-        waiting = [tuple(r) for r in self.waiting.get()]
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        for pdf in rows:
-            pdf = pdf[~pdf["beat"]]  # not filtered before: Spark would push that below the watermark
-            us = pdf["us"].tolist()
-            waiting += list(zip(us, [None if pd.isna(x) else x for x in pdf["tiebreak"].tolist()], pdf["exempt"].tolist()))
-        yield from self._release(key, waiting, timerValues.getCurrentWatermarkInMs() * 1000)
+        # heartbeats are not filtered before: Spark would push that below the watermark
+        new = [(r["us"], r["tiebreak"], r["key"], r["exempt"]) for r in rows if not r["beat"]]
+        return self._release(new, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield from self._release(key, [tuple(r) for r in self.waiting.get()], timerValues.getCurrentWatermarkInMs() * 1000)
+        return self._release([], timerValues.getCurrentWatermarkInMs() * 1000)
 
     def close(self) -> None:
         pass
 
 
 def quota_audit_stream(events_stream: DataFrame, key: str, ts: str, rate: float, capacity: int, tiebreak: str | None = None,
-                       exempt: F.Column | None = None, delay: str = "0 seconds", heartbeat: F.Column | None = None) -> DataFrame:
+                       exempt: F.Column | None = None, delay: str = "0 seconds", heartbeat: F.Column | None = None,
+                       groups: int = 1024) -> DataFrame:
     """The audit of a stream whose events may be out of order by up to ``delay`` (the watermark's).
 
     Events wait in the state until the watermark has passed them and are then judged in order of (ts, tiebreak);
     an event later than the delay is judged when it comes, as one that arrives now, or dropped by the watermark. Rows for which ``heartbeat`` holds only move the
     watermark (a source that ends sends one, so that its last events are released). One key's bucket is sequential.
+    State is kept by ``groups`` groups of keys: a micro-batch costs a few calls to the state store per group, not per key;
+    a group's state is in one task's memory, so a stream of very many keys takes more groups.
     The query needs the RocksDB state store (``run_available_now`` sets it).
     """
     tb = tiebreak or ts
@@ -227,5 +242,6 @@ def quota_audit_stream(events_stream: DataFrame, key: str, ts: str, rate: float,
                        F.coalesce(heartbeat if heartbeat is not None else F.lit(False), F.lit(False)).alias("beat"), "_event_time")
     fields = {f.name: f.dataType for f in base.schema.fields}
     schema = _out_schema(fields["key"], T.TimestampNTZType(), fields["tiebreak"])
-    audit = _Audit(TokenBucket(rate, capacity), fields["tiebreak"].simpleString())
-    return base.groupBy("key").transformWithStateInPandas(audit, schema, "Append", "EventTime")
+    audit = _Audit(TokenBucket(rate, capacity), fields["key"].simpleString(), fields["tiebreak"].simpleString())
+    base = base.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)))
+    return base.groupBy("group").transformWithState(audit, schema, "Append", "EventTime")
