@@ -20,6 +20,8 @@ from tamis.streaming.moderate import moderate_stream_history
 
 START = datetime(2024, 1, 1)
 PARTS = 4
+#: Bytes of text in a file of the stream, about.
+FILE_BYTES = 32 << 20
 
 
 def _on(day) -> F.Column:
@@ -49,12 +51,19 @@ def as_of_verdict(spark, d):
     return _columns(moderate_as_of(dated(spark, d), BankHistory(change_log(spark, d)), id_col="doc_id"))
 
 
+def files_per_part(texts: DataFrame, file_bytes: int = FILE_BYTES) -> int:
+    """Files that a part is written in, so that a file has about ``file_bytes`` of text however large the table is."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-size // (PARTS * file_bytes)))
+
+
 def stream_as_of(spark, d):
     """The same from a stream of parts, with the log read from its table at every micro-batch."""
     texts, log = scratch_path(spark, "dated"), scratch_path(spark, "bank_log")
-    dated(spark, d).repartition(PARTS).write.parquet(texts)
+    files = files_per_part(dated(spark, d))
+    dated(spark, d).repartition(PARTS * files).write.parquet(texts)
     change_log(spark, d).write.parquet(log)
-    stream = spark.readStream.schema(dated(spark, d).schema).option("maxFilesPerTrigger", 1).parquet(texts)
+    stream = spark.readStream.schema(dated(spark, d).schema).option("maxFilesPerTrigger", files).parquet(texts)
     sink, ck = scratch_path(spark, "as_of"), scratch_path(spark, "as_of-ck")
     moderate_stream_history(stream, lambda: spark.read.parquet(log), sink, ck, id_col="doc_id").awaitTermination()
     return _columns(spark.read.parquet(sink))
